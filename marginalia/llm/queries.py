@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing, quality
+from marginalia.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
 from marginalia.session import table
 
 
@@ -14,6 +15,31 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimals, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, width=4, budget=4)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.new_folder(spark)
+    token_files.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(spark, folder, with_ids=False)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     report = exact_dedup.exact_duplicates(docs)
@@ -73,6 +99,9 @@ SELECT doc_id, size, source_size, target,
 """
 
 QUERIES = {
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mix": op7_source_mix,
     "op10_quality_ranking": op10_quality_ranking,
