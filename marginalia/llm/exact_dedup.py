@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a gate, each of 64 bits. 2**15 rows (half a MB) are two million keys.
 GATE_WORDS = 1 << 15
@@ -83,7 +85,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``keep_id, group_size, kept, text_sha256``."""
-    groups = copy_groups(docs, id_col, text_col)
+    # written out, so that the join below deals both sides itself and can split a group's many rows
+    groups = cut(copy_groups(docs, id_col, text_col))
     kept_columns = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(*kept_columns).withColumn("text_sha256", F.sha2(ascii_lower(docs[text_col]), 256))
     return (

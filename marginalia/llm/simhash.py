@@ -14,6 +14,16 @@ Inside a task the walk goes over sorted arrays, many node pairs at a time and
 depth first, so its memory is bounded by the slice; found links are merged at
 once and only a spanning link per fingerprint leaves the task.
 
+``near_duplicates`` links 64-bit fingerprints within a few bits. ``similar_documents``
+is for a similarity of shingle sets: at 0.8 two 64-bit fingerprints differ in ten
+bits or so, as unrelated ones sometimes do in a large corpus. It takes 256 bits, of
+which unrelated texts never agree on as many, and as roots of its tries the min-hash
+bands of the shingle sets: the same walk, entered at nodes that similar texts share.
+The classes that this gives are then walked once more with the shingle sets at hand,
+and only pairs whose exact similarity reaches the threshold stay linked. Pairs that
+are already connected are not compared, so a class of true copies costs little more
+than one comparison a member.
+
 Defined results
     null or empty text   no words: fingerprint 0, linked like any other
     few words            the whole sequence is the one shingle
@@ -92,24 +102,28 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _nodes(fps: DataFrame, budget: int) -> DataFrame:
-    """Each fingerprint once a block: ``node, side, depth, spent, turned, fp``.
-
-    ``turned`` is rotated so that the block leads; ``node`` names a pair of trie
-    nodes, which for most is one node with itself.
-    """
+def _at_blocks(fps: DataFrame, budget: int) -> DataFrame:
+    """Each fingerprint once a block, rotated so that the block leads: ``k, head, depth, turned, key``."""
     left = lambda c, n: F.call_function("shiftleft", c, F.lit(n)) if n else c
     right = lambda c, n: F.shiftrightunsigned(c, n) if n < 64 else F.lit(0).cast("long")
     turned = [
         F.struct(
             F.lit(k).alias("k"),
-            (left(F.col("fp"), at).bitwiseOR(right(F.col("fp"), 64 - at))).alias("turned"),
             right(left(F.col("fp"), at), 64 - bits).alias("head"),
             F.lit(bits).alias("depth"),
+            (left(F.col("fp"), at).bitwiseOR(right(F.col("fp"), 64 - at))).alias("turned"),
         )
         for k, (at, bits) in enumerate(blocks(budget))
     ]
-    rows = fps.select("fp", F.explode(F.array(*turned)).alias("t")).select("fp", "t.*")
+    return fps.select(F.col("fp").alias("key"), F.explode(F.array(*turned)).alias("t")).select("t.*", "key")
+
+
+def _node_pairs(rows: DataFrame, budget: int) -> DataFrame:
+    """``node`` names a pair of trie nodes, which for most rows is one node with itself.
+
+    A node of more than NODE_ROWS rows becomes the pairs of its descendants ``q``
+    bits down that differ in ``budget`` bits at most.
+    """
     full = rows.groupBy("k", "head").count().where(F.col("count") > NODE_ROWS)
     split = F.least(F.ceil(F.log2(F.col("count") / NODE_ROWS)) + 1, F.lit(10)).cast("int")
     rows = rows.join(full.select("k", "head", split.alias("q")), ["k", "head"], "left").fillna(0, ["q"])
@@ -124,8 +138,7 @@ def _nodes(fps: DataFrame, budget: int) -> DataFrame:
         (F.col("child") == F.col("other")).alias("alone"),
         (F.col("depth") + F.col("q")).cast("byte").alias("depth"),
         F.expr("bit_count(child ^ other)").cast("byte").alias("spent"),
-        "turned",
-        "fp",
+        *[c for c in ("turned", "key", "wide", "shingles") if c in rows.columns],
     )
 
 
@@ -172,41 +185,78 @@ def trie_join(values: np.ndarray, pairs: np.ndarray, budget: int, found) -> None
         stack += [below[i : i + SLICE] for i in range(0, len(below), SLICE)]
 
 
-def _spanning(budget: int):
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold; two empty sets are alike."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _spanning(budget: int, wide_budget: int | None = None, similarity: float | None = None):
+    """A task: walk the node pairs it was dealt and report links that span what they connect."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        node, side, depth, spent, turned, fp = (
-            t[c].to_numpy() for c in ("node", "side", "depth", "spent", "turned", "fp")
+        node, side, depth, spent, turned, key = (
+            t[c].to_numpy() for c in ("node", "side", "depth", "spent", "turned", "key")
         )
         alone = t["alone"].to_numpy()
         turned = turned.view(np.uint64)
         order = np.lexsort((turned, side, node))
-        node, side, depth, spent, turned, fp, alone = (x[order] for x in (node, side, depth, spent, turned, fp, alone))
+        node, side, depth, spent, turned, key, alone = (x[order] for x in (node, side, depth, spent, turned, key, alone))
         first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (side[1:] != side[:-1])])
         last = np.r_[first[1:], len(node)]
-        starts = []
         own = alone[first]
-        starts.append(np.stack([first, last, first, last, depth[first], spent[first]], 1)[own])
+        one = np.stack([first, last, first, last, depth[first], spent[first]], 1)[own]
         two = np.flatnonzero(~own[:-1] & (node[first[:-1]] == node[first[1:]]))
-        starts.append(np.stack([first[two], last[two], first[two + 1], last[two + 1], depth[first[two]], spent[first[two]]], 1))
-        keys, index = np.unique(fp, return_inverse=True)
+        both = np.stack([first[two], last[two], first[two + 1], last[two + 1], depth[first[two]], spent[first[two]]], 1)
+        keys, index = np.unique(key, return_inverse=True)
         label = np.arange(len(keys))
-        trie_join(turned, np.concatenate(starts).astype(np.int64), budget, lambda i, j: union(label, index[i], index[j]))
+        if wide_budget is not None:
+            packed = np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint64)
+            wide = packed.reshape(len(order), -1)[order] if len(order) else packed.reshape(0, 1)
+
+        if similarity is not None:
+            sets = t["shingles"].combine_chunks()
+            values, edges = sets.values.to_numpy(), sets.offsets.to_numpy()
+            members = [values[edges[k] : edges[k + 1]] for k in order]
+
+        def found(i: np.ndarray, j: np.ndarray) -> None:
+            apart = label[index[i]] != label[index[j]]
+            i, j = i[apart], j[apart]
+            if wide_budget is not None:
+                close = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_budget
+                i, j = i[close], j[close]
+            if similarity is None:
+                union(label, index[i], index[j])
+                return
+            for at in range(0, len(i), 64):
+                x, y = i[at : at + 64], j[at : at + 64]
+                apart = label[index[x]] != label[index[y]]
+                x, y = x[apart], y[apart]
+                like = np.array([_similar(members[a], members[b], similarity) for a, b in zip(x, y)], bool)
+                union(label, index[x[like]], index[y[like]])
+
+        trie_join(turned, np.concatenate([one, both]).astype(np.int64), budget, found)
         joined = np.flatnonzero(label != np.arange(len(keys)))
         yield pa.RecordBatch.from_arrays([pa.array(keys[joined]), pa.array(keys[label[joined]])], ["a", "b"])
 
     return task
 
 
+def _deal(nodes: DataFrame, rows: int, task, each: int = 1_000_000) -> DataFrame:
+    """Deal node pairs to tasks of about ``each`` rows and run ``task`` on each."""
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    return nodes.repartition(tasks, "node").mapInArrow(task, "a long, b long")
+
+
 def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """Distinct ``fps(fp)`` to ``a, b``: links that span every class within ``budget`` bits."""
-    n = fps.count()
-    spark = fps.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (budget + 1) // 1_000_000))
-    return _nodes(fps, budget).repartition(tasks, "node").mapInArrow(_spanning(budget), "a long, b long")
+    return _deal(_node_pairs(_at_blocks(fps, budget), budget), fps.count() * (budget + 1), _spanning(budget))
 
 
 def near_duplicates(
@@ -220,3 +270,91 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     component = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(component, "fp").select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: Bits of a wide fingerprint, the most that differ at the stated similarity, the same for one 64-bit word of it.
+WIDE_BITS, WIDE_BUDGET, WORD_BUDGET = 256, 64, 24
+#: Rows with their shingle sets that go to one task.
+SET_ROWS = 20_000
+#: Bands of min-hashes: a pair of similarity 0.8 shares none of them once in 5,000 pairs.
+BANDS, BAND_WIDTH = 12, 3
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_WIDTH + WIDE_BITS // 64), dtype=np.uint64) * 2 + 1
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct shingle hashes as unsigned numbers."""
+    return np.unique(shingle_hashes(text, width).copy().view(">u8").ravel().astype(np.uint64))
+
+
+def _mixed(shingles: np.ndarray, k: int) -> np.ndarray:
+    x = (shingles ^ _MIX[0, k]) * _MIX[1, k]
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """256 bits: each the majority over the set of a bit of its hashes."""
+    words = []
+    for k in range(WIDE_BITS // 64):
+        set_bits = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), 1 << 16):
+            mixed = _mixed(shingles[at : at + (1 << 16)], BANDS * BAND_WIDTH + k)
+            set_bits += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        words.append(np.packbits(2 * set_bits > len(shingles)).tobytes())
+    return b"".join(words)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One number for each band of min-hashes; a text without words has a band of its own kind."""
+    least = [int(_mixed(shingles, k).min()) if len(shingles) else 0 for k in range(BANDS * BAND_WIDTH)]
+    rows = np.array(least, np.uint64).reshape(BANDS, BAND_WIDTH)
+    return [xxhash.xxh64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in rows]
+
+
+def _wide_rows(marked: DataFrame) -> DataFrame:
+    """``turned``: the first word of the wide fingerprint, by which tries are walked."""
+    return marked.withColumn("turned", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long"))
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``id, root`` for ids that have a near copy; ``root`` is the least id of their class.
+
+    Links are pairs whose sets of ``width``-word shingles have at least the given
+    Jaccard similarity. Rows without an id link with nothing.
+    """
+    kind = T.StructType().add("wide", T.BinaryType()).add("bands", T.ArrayType(T.LongType()))
+    with_set = T.StructType().add("wide", T.BinaryType()).add("shingles", T.ArrayType(T.LongType()))
+
+    @F.pandas_udf(kind)
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"wide": [wide_fingerprint(x) for x in sets], "bands": [band_keys(x) for x in sets]})
+
+    @F.pandas_udf(with_set)
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"wide": [wide_fingerprint(x) for x in found], "shingles": [np.sort(x.view(np.int64)) for x in found]})
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    marked = cut(rows.select("key", marks("text").alias("m")).select("key", "m.*"))
+    banded = _wide_rows(marked).select("key", "wide", "turned", F.posexplode("bands").alias("k", "head"))
+    shared = banded.groupBy("k", "head").count().where("count > 1").select("k", "head")
+    banded = banded.join(shared, ["k", "head"]).withColumn("depth", F.lit(0))
+    loose = components(_deal(_node_pairs(banded, WORD_BUDGET), banded.count(), _spanning(WORD_BUDGET, WIDE_BUDGET)))
+
+    members = loose.select(F.col("id").alias("key"), F.col("root").alias("head")).join(rows, "key")
+    known = _wide_rows(members.select("key", "head", sets("text").alias("m")).select("key", "head", "m.*"))
+    known = cut(known.withColumn("k", F.lit(0)).withColumn("depth", F.lit(0)))
+    exact = _spanning(WORD_BUDGET, WIDE_BUDGET, similarity)
+    return components(_deal(_node_pairs(known, WORD_BUDGET), known.count(), exact, SET_ROWS))
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` without those that have a near copy with a smaller id."""
+    near = similar_documents(docs, id_col, text_col, width, similarity)
+    gone = near.where("id <> root").select(F.col("id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
