@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
+from marginalia.llm import bpe, chat, exact_dedup, mixing, quality, secrets, simhash, token_files
 from marginalia.session import table
 
 
@@ -51,6 +51,39 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    trial = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles)
+    trial = trial.withColumn("turn", F.col("turn").cast("long")).withColumn("text", F.lit("\\### Assistant: </turn> ok"))
+    formatted = chat.format_conversations(stored.unionByName(trial))
+    back = chat.read_back(formatted, chat.expand_examples(formatted))
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    digests = back.select(
+        F.col("conv_id").alias("_c"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+    )
+    sizes = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
+    return sizes.join(digests, sizes.conv_id.eqNullSafe(digests._c)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    samples = secrets.random_strings(spark).unionByName(secrets.samples_of(docs, "doc_id", "text"))
+    found = secrets.scan(docs, secrets.train(samples))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("base_spans"), k).alias(f"n_{b[0]}") for k, b in enumerate(secrets.BASE)],
+        F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.written(F.col("all_spans")).alias("spans"),
+    )
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -67,6 +100,21 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM n
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)
 """
 
+OP8_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, length(role) + length(text) + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+         + 3 * (length(role || text) - length(replace(replace(role || text, '<', ''), '>', ''))) + 20 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -104,6 +152,8 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_ranking": op10_quality_ranking,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_source_mix": OP7_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_chat_format": OP8_SQL}
