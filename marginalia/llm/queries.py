@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, exact_dedup, mixing, quality, secrets, simhash, token_files
+from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, quality, secrets, simhash, token_files
 from marginalia.session import table
 
 
@@ -15,6 +15,10 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -147,6 +151,7 @@ SELECT doc_id, size, source_size, target,
 """
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
