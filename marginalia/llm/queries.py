@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, quality, secrets, simhash, token_files
+from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, quality, secrets, simhash, substring_dedup, token_files
 from marginalia.session import table
 
 
@@ -19,6 +19,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -152,6 +156,7 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
