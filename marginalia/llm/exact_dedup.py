@@ -62,8 +62,8 @@ def _through(rows: DataFrame, gate: DataFrame, key: str) -> DataFrame:
     )
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more equal texts: ``text_sha256, keep_id, group_size``."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, text_sha256`` of the rows that may have a copy."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     by_length = rows.withColumn("_len", F.octet_length("_t").cast("long"))
     lengths = by_length.groupBy("_len").count().where("count > 1")
@@ -73,9 +73,12 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     prefixes = prefixed.groupBy("_pre").count().where("count > 1")
 
-    hashed = _through(prefixed, _gate(prefixes, "_pre"), "_pre").select(
+    return _through(prefixed, _gate(prefixes, "_pre"), "_pre").select(
         "_id", F.sha2(ascii_lower(F.col("_t")), 256).alias("text_sha256")
     )
+
+
+def _groups(hashed: DataFrame) -> DataFrame:
     return (
         hashed.groupBy("text_sha256")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -83,10 +86,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of two or more equal texts: ``text_sha256, keep_id, group_size``.
+
+    Written out, so that a join deals its rows by itself and can split a group.
+    """
+    return cut(_groups(_hashed(docs, id_col, text_col)))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``keep_id, group_size, kept, text_sha256``."""
-    # written out, so that the join below deals both sides itself and can split a group's many rows
-    groups = cut(copy_groups(docs, id_col, text_col))
+    groups = copy_groups(docs, id_col, text_col)
     kept_columns = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(*kept_columns).withColumn("text_sha256", F.sha2(ascii_lower(docs[text_col]), 256))
     return (
@@ -98,7 +108,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one with the largest id."""
-    marked = exact_duplicates(docs, id_col, text_col).where("kept")
-    # only rows that repeat a kept id meet here; singles pass by their own key
-    return marked.dropDuplicates(["text_sha256"]).select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, the one with the largest id.
+
+    The rows to drop are found on hashes alone and taken away by their id, so
+    texts are dealt by id and a large group of copies never meets in one task.
+    Where ids or whole rows repeat, the rows left over are made distinct by text.
+    """
+    hashed = cut(_hashed(docs, id_col, text_col))
+    groups = cut(_groups(hashed))
+    marked = hashed.join(groups, "text_sha256").select("_id", (~F.col("_id").eqNullSafe(F.col("keep_id"))).alias("lost"))
+    seen = cut(marked.groupBy("_id").agg(F.bool_or("lost").alias("lost"), F.count(F.lit(1)).alias("n")))
+    if not seen.where("n > 1 OR _id IS NULL").isEmpty():
+        kept = exact_duplicates(docs, id_col, text_col).where("kept")
+        return kept.dropDuplicates(["text_sha256"]).select(*docs.columns)
+    lost = seen.where("lost").select(F.col("_id").alias(id_col))
+    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
