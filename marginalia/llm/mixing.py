@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.session import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed by the task: weights by the source's place, the share of all words, the most copies.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -92,28 +94,29 @@ def mix(
     keep = [c for c in docs.columns if c not in RESULT]
     sized = docs.withColumn("size", word_count(docs[text_col])).select(*keep, "size")
     rows = (
-        sized.withColumn("_class", size_class(F.col("size")))
-        .withColumn("_salt", F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(salts)))
-        .withColumn("_src", F.col(source_col))
+        sized.withColumn("__mix_class", size_class(F.col("size")))
+        .withColumn("__mix_salt", F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(salts)))
+        .withColumn("__mix_src", F.col(source_col))
     )
-    buckets = rows.groupBy("_src", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    # counted once for both uses below; a row per source, class and salt
+    buckets = cut(rows.groupBy("__mix_src", "__mix_class", "__mix_salt").agg(F.count(F.lit(1)).alias("__mix_n"), F.sum("size").alias("__mix_words")))
     targets = source_targets(
-        buckets.groupBy(F.col("_src").alias("source")).agg(F.sum("_words").alias("source_size"))
-    ).withColumnRenamed("source", "_tsrc")
-    before = Window.partitionBy("_src").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    placed = placed.join(targets, F.col("_src").eqNullSafe(F.col("_tsrc"))).select(
-        F.col("_src").alias("_bsrc"), F.col("_class").alias("_bclass"), F.col("_salt").alias("_bsalt"),
-        "_before", "source_size", "target",
+        buckets.groupBy(F.col("__mix_src").alias("source")).agg(F.sum("__mix_words").alias("source_size"))
+    ).withColumnRenamed("source", "__mix_tsrc")
+    before = Window.partitionBy("__mix_src").orderBy("__mix_class", "__mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.withColumn("__mix_before", F.coalesce(F.sum("__mix_n").over(before), F.lit(0)))
+    placed = placed.join(targets, F.col("__mix_src").eqNullSafe(F.col("__mix_tsrc"))).select(
+        F.col("__mix_src").alias("__mix_bsrc"), F.col("__mix_class").alias("__mix_bclass"), F.col("__mix_salt").alias("__mix_bsalt"),
+        "__mix_before", "source_size", "target",
     )
-    inside = Window.partitionBy("_src", "_class", "_salt").orderBy("size", id_col)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    inside = Window.partitionBy("__mix_src", "__mix_class", "__mix_salt").orderBy("size", id_col)
+    ranked = rows.withColumn("__mix_rank", F.row_number().over(inside))
     joined = ranked.join(
         placed,
-        F.col("_src").eqNullSafe(F.col("_bsrc")) & (F.col("_class") == F.col("_bclass")) & (F.col("_salt") == F.col("_bsalt")),
+        F.col("__mix_src").eqNullSafe(F.col("__mix_bsrc")) & (F.col("__mix_class") == F.col("__mix_bclass")) & (F.col("__mix_salt") == F.col("__mix_bsalt")),
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank, start = F.col("_before") + F.col("_rank"), offset(F.col("_src"), seed)
+    rank, start = F.col("__mix_before") + F.col("__mix_rank"), offset(F.col("__mix_src"), seed)
     crossed = F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start)
     return joined.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(
         *keep, *RESULT
