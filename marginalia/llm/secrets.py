@@ -159,7 +159,7 @@ def scan(docs: DataFrame, models: CharacterModels, text_col: str = "text") -> Da
         found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
     )
     base = [spans(matches(text, pattern, group, least), k) for k, (_, pattern, group, least) in enumerate(BASE)]
-    rows = docs.withColumn("base_spans", F.array_sort(F.concat(*base))).withColumn("_c", matches(text, CANDIDATE, 0, 20))
+    rows = docs.withColumn("base_spans", F.array_sort(F.concat(*base))).withColumn("__candidates", matches(text, CANDIDATE, 0, 20))
 
     def is_random(s: Column) -> Column:
         value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
@@ -167,7 +167,7 @@ def scan(docs: DataFrame, models: CharacterModels, text_col: str = "text") -> Da
         alone = ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return alone & (ratio >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (s["end"] - s["start"])))
 
-    added = spans(F.filter("_c", is_random), len(BASE))
+    added = spans(F.filter("__candidates", is_random), len(BASE))
     return rows.withColumn("all_spans", F.array_sort(F.concat("base_spans", added))).select(*keep, "base_spans", "all_spans")
 
 

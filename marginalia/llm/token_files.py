@@ -134,7 +134,7 @@ def write_tokens(
                 lengths = np.array([len(c) // 4 for c in coded], "<i8")
                 starts = at + np.cumsum(lengths) - lengths
                 offsets.write(starts.astype("<i8").tobytes())
-                ids.write(batch["id"].fillna(NO_ID).to_numpy("<i8").tobytes())
+                ids.write(batch["id"].to_numpy("<i8").tobytes())
                 at, docs_here = at + int(lengths.sum()), docs_here + len(coded)
             offsets.write(np.array([at], "<i8").tobytes())
         for k in kinds:
@@ -143,8 +143,9 @@ def write_tokens(
 
     bounded_batches(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rows = docs.select(known.alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
     # one small row per part: their number is the number of files, not of documents
     counts = sorted(tuple(r) for r in rows.mapInPandas(write, "part long, docs long, tokens long").collect())
     base, index = 0, {"dtype": kind, "end_id": end_id, "parts": []}
