@@ -11,26 +11,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def content_name(entries: DataFrame) -> DataFrame:
-    """Per object the name of the segment its entries make: a digest of ranges and vectors in order."""
+def contents(entries: DataFrame) -> DataFrame:
+    """``object, content``: a digest of each object's ranges and vectors in order."""
     row = F.concat_ws(":", "ordinal", "start", "end", F.array_join(F.col("vector").cast("array<string>"), ","))
     listed = F.array_sort(F.collect_list(F.struct("ordinal", row.alias("row"))))
-    return entries.groupBy("object").agg(F.substring(F.sha2(F.array_join(listed.getField("row"), "\n"), 256), 1, 32).alias("segment"))
+    return entries.groupBy("object").agg(F.sha2(F.array_join(listed.getField("row"), "\n"), 256).alias("content"))
 
 
-def put(entries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+def put(entries: DataFrame, index: DataFrame, generation: int = 0) -> tuple[DataFrame, DataFrame]:
     """New entries ``segment, slot, object, ...`` and tombstones ``segment, slot`` for the objects in ``entries``.
 
-    An object whose content is unchanged adds nothing and buries nothing. An
-    object with no entries left is deleted by tombstones alone.
+    An object whose content is what the live ``index`` holds adds nothing and
+    buries nothing, in whatever segment it is by now. ``generation`` counts what was
+    buried or retired so far and is part of a new segment's name, so content that
+    comes back is not taken for the buried segment it once was.
     """
-    named = entries.join(content_name(entries), "object")
-    there = index.select("segment").distinct()
-    slot = F.row_number().over(Window.partitionBy("segment").orderBy("ordinal")) - 1
-    added = named.join(there, "segment", "left_anti").withColumn("slot", slot)
-    touched = named.select("object", "segment").distinct()
-    old = index.select("object", "segment", "slot").join(touched.withColumnRenamed("segment", "_now"), "object")
-    return added, old.where(F.col("segment") != F.col("_now")).select("segment", "slot")
+    held = contents(index.join(entries.select("object").distinct(), "object", "left_semi"))
+    changed = contents(entries).join(held, ["object", "content"], "left_anti")
+    name = F.substring(F.sha2(F.concat_ws("/", "content", F.lit(str(generation))), 256), 1, 32)
+    named = entries.join(changed.select("object", name.alias("segment")), "object")
+    added = named.withColumn("slot", F.row_number().over(Window.partitionBy("segment").orderBy("object", "ordinal")) - 1)
+    return added, index.join(changed.select("object"), "object", "left_semi").select("segment", "slot")
 
 
 def remove(objects: DataFrame, index: DataFrame) -> DataFrame:

@@ -129,15 +129,16 @@ def test_compaction_takes_the_smallest_tier(spark):
 def test_put_is_idempotent_and_buries_old_entries(spark):
     kinds = "object string, ordinal int, start int, end int, vector array<double>"
     v1 = spark.createDataFrame([("x", 0, 0, 5, [1.0]), ("x", 1, 5, 9, [2.0])], kinds)
-    empty = spark.createDataFrame([], "segment string, slot int, object string")
+    empty = spark.createDataFrame([], "segment string, slot int, " + kinds)
     added, dead = segments.put(v1, empty)
     assert added.count() == 2 and dead.count() == 0
-    index = added.select("segment", "slot", "object")
-    again, dead = segments.put(v1, index)
+    again, dead = segments.put(v1, added)
     assert again.count() == 0 and dead.count() == 0
     v2 = spark.createDataFrame([("x", 0, 0, 5, [3.0])], kinds)
-    added, dead = segments.put(v2, index)
-    assert added.count() == 1 and dead.count() == 2
+    changed, dead = segments.put(v2, added, 1)
+    assert changed.count() == 1 and dead.count() == 2
+    back, _ = segments.put(v1, changed, 3)
+    assert back.first().segment != added.first().segment
 
 
 def test_compact_renumbers_live_entries(spark):
