@@ -3,8 +3,7 @@
 Links stay a distributed table throughout; only counts reach the driver. Each
 round ends in a checkpoint in the shared folder, so lineage stays short and a
 lost executor costs a re-read. Minima are aggregated before the shuffle; the
-joins that hand them back are plain equi-joins, which adaptive execution splits
-when a hub holds many links.
+joins that hand them back are salted, so the links of a hub spread over tasks.
 """
 
 from __future__ import annotations
@@ -16,21 +15,31 @@ from pyspark.sql import functions as F
 from marginalia.session import cut
 
 
+#: Places that the links of one vertex are dealt to.
+SALTS = 16
+
+
 def _downward(links: DataFrame) -> DataFrame:
     """Each link once, from the larger end ``a`` to the smaller ``b``."""
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return ordered.where(F.col("a") != F.col("b")).distinct()
 
 
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` joined to ``least(a, m)``; each minimum is sent to SALTS places, each link to one."""
+    salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "_salt"]).drop("_salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _downward(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _downward(_with_least(both, least).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(links, least).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _downward(moved.union(least.select("a", F.col("m").alias("b"))))
 
 
