@@ -96,27 +96,23 @@ def mix(
     rows = (
         sized.withColumn("__mix_class", size_class(F.col("size")))
         .withColumn("__mix_salt", F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(salts)))
-        .withColumn("__mix_src", F.col(source_col))
+        .withColumn("__mix_src", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
     )
+    keys = ["__mix_src", "__mix_class", "__mix_salt"]
     # counted once for both uses below; a row per source, class and salt
-    buckets = cut(rows.groupBy("__mix_src", "__mix_class", "__mix_salt").agg(F.count(F.lit(1)).alias("__mix_n"), F.sum("size").alias("__mix_words")))
+    buckets = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__mix_n"), F.sum("size").alias("__mix_words")))
     targets = source_targets(
-        buckets.groupBy(F.col("__mix_src").alias("source")).agg(F.sum("__mix_words").alias("source_size"))
-    ).withColumnRenamed("source", "__mix_tsrc")
+        buckets.groupBy(F.expr("if(__mix_src = 'n', null, substring(__mix_src, 2))").alias("source")).agg(F.sum("__mix_words").alias("source_size"))
+    ).withColumn("__mix_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     before = Window.partitionBy("__mix_src").orderBy("__mix_class", "__mix_salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.withColumn("__mix_before", F.coalesce(F.sum("__mix_n").over(before), F.lit(0)))
-    placed = placed.join(targets, F.col("__mix_src").eqNullSafe(F.col("__mix_tsrc"))).select(
-        F.col("__mix_src").alias("__mix_bsrc"), F.col("__mix_class").alias("__mix_bclass"), F.col("__mix_salt").alias("__mix_bsalt"),
-        "__mix_before", "source_size", "target",
-    )
-    inside = Window.partitionBy("__mix_src", "__mix_class", "__mix_salt").orderBy("size", id_col)
+    placed = placed.join(targets, "__mix_src").select(*keys, "__mix_before", "source_size", "target")
+    inside = Window.partitionBy(*keys).orderBy("size", id_col)
     ranked = rows.withColumn("__mix_rank", F.row_number().over(inside))
-    joined = ranked.join(
-        placed,
-        F.col("__mix_src").eqNullSafe(F.col("__mix_bsrc")) & (F.col("__mix_class") == F.col("__mix_bclass")) & (F.col("__mix_salt") == F.col("__mix_bsalt")),
-    )
+    # the same keys as the row numbers: the rows stay where they are
+    joined = ranked.join(placed, keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank, start = F.col("__mix_before") + F.col("__mix_rank"), offset(F.col("__mix_src"), seed)
+    rank, start = F.col("__mix_before") + F.col("__mix_rank"), offset(F.col(source_col), seed)
     crossed = F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start)
     return joined.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(
         *keep, *RESULT
