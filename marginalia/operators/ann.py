@@ -23,7 +23,7 @@ def build(vectors: DataFrame, centres: list[list[float]]) -> DataFrame:
 
 def search(index: DataFrame, queries: DataFrame, centres: list[list[float]], probes: int, k: int) -> DataFrame:
     """``q, segment, slot, score, rk`` of ``queries(q, qv)``."""
-    scores = F.array(*[F.struct((-dot(F.col("_q"), F.array(*[F.lit(float(x)) for x in c]))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
+    scores = F.transform(topics.constant(centres), lambda c, i: F.struct((-dot(F.col("_q"), c)).alias("s"), i.alias("cell")))
     asked = queries.select("q", as_doubles(F.col("qv")).alias("_q")).withColumn("near", F.slice(F.array_sort(scores), 1, probes))
     probed = asked.select("q", "_q", F.explode("near.cell").alias("cell"))
     return topk(index.join(probed, "cell").withColumn("score", dot(F.col("vector"), F.col("_q"))).select("q", "segment", "slot", "score"), k)

@@ -23,8 +23,10 @@ def default_count(n: int) -> int:
     return min(max(math.floor(math.sqrt(n / 2) + 0.5), 2), 20)
 
 
-def _to_centre(centre: list[float]) -> Column:
-    return dot(F.col("_v"), F.array(*[F.lit(float(x)) for x in centre]))
+def constant(centres: list[list[float]]) -> Column:
+    """The centres as one constant: an array of arrays that Catalyst folds to a literal."""
+    rows = ("array(" + ", ".join(f"{float(x)!r}D" for x in c) + ")" for c in centres)
+    return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def seed(points: DataFrame, k: int) -> list[list[float]]:
@@ -35,7 +37,7 @@ def seed(points: DataFrame, k: int) -> list[list[float]]:
     first = points.orderBy("segment", "slot").first()
     chosen, seen = [list(first["_v"])], {(first["segment"], first["slot"])}
     while len(chosen) < k:
-        nearest = F.greatest(*[_to_centre(c) for c in chosen]) if len(chosen) > 1 else _to_centre(chosen[0])
+        nearest = F.array_max(F.transform(constant(chosen), lambda c: dot(F.col("_v"), c)))
         far = points.select("segment", "slot", "_v", nearest.alias("near")).orderBy("near", "segment", "slot").first()
         if (far["segment"], far["slot"]) in seen:
             break
@@ -46,7 +48,7 @@ def seed(points: DataFrame, k: int) -> list[list[float]]:
 
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """``cluster, similarity``: the nearest centre, ties to the first."""
-    scored = F.array(*[F.struct(_to_centre(c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centres)])
+    scored = F.transform(constant(centres), lambda c, i: F.struct(dot(F.col("_v"), c).alias("s"), (-i).alias("i")))
     best = F.array_max(scored)
     return points.withColumn("_best", best).withColumn("cluster", (-F.col("_best.i")).cast("int")).withColumn("similarity", F.col("_best.s")).drop("_best")
 
