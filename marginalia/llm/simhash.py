@@ -118,14 +118,15 @@ def _at_blocks(fps: DataFrame, budget: int) -> DataFrame:
     return fps.select(F.col("fp").alias("key"), F.explode(F.array(*turned)).alias("t")).select("t.*", "key")
 
 
-def _node_pairs(rows: DataFrame, budget: int) -> DataFrame:
+def _node_pairs(rows: DataFrame, budget: int, most: int | None = None) -> DataFrame:
     """``node`` names a pair of trie nodes, which for most rows is one node with itself.
 
-    A node of more than NODE_ROWS rows becomes the pairs of its descendants ``q``
+    A node of more than ``most`` rows, NODE_ROWS if not given, becomes the pairs of its descendants ``q``
     bits down that differ in ``budget`` bits at most.
     """
-    full = rows.groupBy("k", "head").count().where(F.col("count") > NODE_ROWS)
-    split = F.least(F.ceil(F.log2(F.col("count") / NODE_ROWS)) + 1, F.lit(10)).cast("int")
+    most = most or NODE_ROWS
+    full = rows.groupBy("k", "head").count().where(F.col("count") > most)
+    split = F.least(F.ceil(F.log2(F.col("count") / most)) + 1, F.lit(10)).cast("int")
     rows = rows.join(full.select("k", "head", split.alias("q")), ["k", "head"], "left").fillna(0, ["q"])
     child = F.when(F.col("q") == 0, F.lit(0).cast("long")).otherwise(
         F.expr("shiftrightunsigned(shiftleft(turned, depth), 64 - q)")
@@ -274,8 +275,8 @@ def near_duplicates(
 
 #: Bits of a wide fingerprint, the most that differ at the stated similarity, the same for one 64-bit word of it.
 WIDE_BITS, WIDE_BUDGET, WORD_BUDGET = 256, 64, 24
-#: Rows with their shingle sets that go to one task.
-SET_ROWS = 20_000
+#: Rows with their shingle sets that go to one task, and of one class.
+SET_ROWS, SET_NODE_ROWS = 20_000, 1024
 #: Bands of min-hashes: a pair of similarity 0.8 shares none of them once in 5,000 pairs.
 BANDS, BAND_WIDTH = 12, 3
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_WIDTH + WIDE_BITS // 64), dtype=np.uint64) * 2 + 1
@@ -348,7 +349,7 @@ def similar_documents(
     known = _wide_rows(members.select("key", "head", sets("text").alias("m")).select("key", "head", "m.*"))
     known = cut(known.withColumn("k", F.lit(0)).withColumn("depth", F.lit(0)))
     exact = _spanning(WORD_BUDGET, WIDE_BUDGET, similarity)
-    return components(_deal(_node_pairs(known, WORD_BUDGET), known.count(), exact, SET_ROWS))
+    return components(_deal(_node_pairs(known, WORD_BUDGET, SET_NODE_ROWS), known.count(), exact, SET_ROWS))
 
 
 def drop_similar(
