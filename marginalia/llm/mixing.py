@@ -92,7 +92,8 @@ def mix(
 ) -> DataFrame:
     """Every row of ``docs`` with ``size, source_size, target, copies, taken``."""
     keep = [c for c in docs.columns if c not in RESULT]
-    sized = docs.withColumn("size", word_count(docs[text_col])).select(*keep, "size")
+    # the explode of one value keeps Catalyst from counting again for each use of the size
+    sized = docs.withColumn("size", F.explode(F.array(word_count(docs[text_col])))).select(*keep, "size")
     rows = (
         sized.withColumn("__mix_class", size_class(F.col("size")))
         .withColumn("__mix_salt", F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(salts)))
