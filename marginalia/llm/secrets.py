@@ -52,37 +52,32 @@ LEAST_RATIO, LEAST_MEAN = 10.0, 0.35
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """``start, end`` of the matches whose group has ``least`` characters or more."""
+    """``start, end, value`` of the matches whose group has ``least`` characters or more."""
     zipped = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.length(m)).alias("len"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda m: F.length(m)).alias("own"),
+        F.split(text, pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"),
+        F.regexp_extract_all(text, F.lit(pattern), group).alias("own"),
     )
-    none = F.expr("cast(array() as array<struct<start:int,end:int,own:int>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    begun = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + F.coalesce(m["len"], F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), m["own"].alias("own"))
-        return F.struct(end.alias("at"), F.when(m["len"].isNull(), acc["found"]).otherwise(F.array_append(acc["found"], span)).alias("found"))
+        start = acc["at"] + F.length(m["gap"])
+        end = start + F.coalesce(F.length(m["value"]), F.lit(0))
+        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
+        long_enough = F.coalesce(F.length(m["own"]) >= least, F.lit(False))
+        return F.struct(end.alias("at"), F.when(long_enough, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), F.filter(found, lambda s: s["own"] >= least)).otherwise(none)
-
-
-def cell(value: Column, i: Column) -> Column:
-    """Place of the pair at ``i``, ``i + 1`` in the table; characters outside the alphabet are one."""
-    at = lambda k: F.instr(F.lit(ALPHABET), F.substring(value, k, F.lit(1)))
-    return at(i) * SIZE + at(i + 1)
+    found = F.aggregate(zipped, begun, step, lambda acc: acc["found"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def pairs(value: Column) -> Column:
-    """The cells of all neighbouring characters of a string."""
-    last = F.length(value) - 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: cell(value, i))).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
+    """Places in the table of all neighbouring characters; characters outside the alphabet are one."""
+    at = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    n = F.size(at) - 1
+    cells = F.zip_with(F.slice(at, 1, n), F.slice(at, 2, n), lambda a, b: a * SIZE + b)
+    return F.when(F.length(value) > 1, cells).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 @dataclass(frozen=True)
@@ -162,8 +157,7 @@ def scan(docs: DataFrame, models: CharacterModels, text_col: str = "text") -> Da
     rows = docs.withColumn("base_spans", F.array_sort(F.concat(*base))).withColumn("__candidates", matches(text, CANDIDATE, 0, 20))
 
     def is_random(s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        ratio = models.ratio(value)
+        ratio = models.ratio(s["value"])
         alone = ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return alone & (ratio >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (s["end"] - s["start"])))
 
