@@ -20,6 +20,7 @@ Defined results
     null id                   such rows count as one, which links with nothing
     empty table               an empty result
     other columns             not kept
+    labels                    of any type; those that are not whole numbers are compared by hash
 The axes are fitted on ``SAMPLE`` vectors in expectation; that affects speed only.
 """
 
@@ -168,9 +169,9 @@ def near_duplicates(
     threshold: float = 0.93,
 ) -> DataFrame:
     """One row per id: ``vec_id, n_links, component_id, kept`` under the name of ``id_col``."""
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")
-    )
+    whole = dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = rows.groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("id", "r.label", "r.embedding")
     good = usable(rows)
     axes = principal_axes(good, good.count())
