@@ -5,10 +5,9 @@ which the two prefixes differ, and drops a pair as soon as the sum is over the
 budget. To spread it, the 64 bits are cut into ``budget + 1`` blocks. Two
 fingerprints within the budget agree on a whole block, so of the tries that start
 with block 1, 2, ... one holds the two below the same node after that block: each
-such node is a piece of work of its own, entered with nothing spent. A node with
-more than ``NODE_ROWS`` fingerprints is cut again into the pairs of its
-descendants some bits further down that are still within the budget, so that no
-task depends on the size of one node.
+such node is a piece of work of its own, entered with nothing spent. The rows of a
+node with more than ``NODE_ROWS`` are dealt to groups, and every two groups are
+walked together, so that no task depends on the size of one node.
 
 Inside a task the walk goes over sorted arrays, many node pairs at a time and
 depth first, so its memory is bounded by the slice; found links are merged at
@@ -118,27 +117,24 @@ def _at_blocks(fps: DataFrame, budget: int) -> DataFrame:
     return fps.select(F.col("fp").alias("key"), F.explode(F.array(*turned)).alias("t")).select("t.*", "key")
 
 
-def _node_pairs(rows: DataFrame, budget: int, most: int | None = None) -> DataFrame:
-    """``node`` names a pair of trie nodes, which for most rows is one node with itself.
+def _node_pairs(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``node`` names a trie node, entered at ``depth`` with nothing spent.
 
-    A node of more than ``most`` rows, NODE_ROWS if not given, becomes the pairs of its descendants ``q``
-    bits down that differ in ``budget`` bits at most.
+    The rows of a node with more than ``most``, NODE_ROWS if not given, are dealt to
+    groups by a hash, and every two groups become a piece of their own: near copies
+    share their leading bits, so going further down would leave them together.
     """
     most = most or NODE_ROWS
     full = rows.groupBy("k", "head").count().where(F.col("count") > most)
-    split = F.least(F.ceil(F.log2(F.col("count") / most)) + 1, F.lit(10)).cast("int")
-    rows = rows.join(full.select("k", "head", split.alias("q")), ["k", "head"], "left").fillna(0, ["q"])
-    child = F.when(F.col("q") == 0, F.lit(0).cast("long")).otherwise(
-        F.expr("shiftrightunsigned(shiftleft(turned, depth), 64 - q)")
-    )
-    rows = rows.withColumn("child", child)
-    near = F.expr(f"filter(sequence(0L, shiftleft(1L, q) - 1), y -> bit_count(y ^ child) <= {budget})")
-    return rows.withColumn("other", F.explode(near)).select(
-        F.xxhash64("k", "head", F.least("child", "other"), F.greatest("child", "other")).alias("node"),
-        (F.col("child") > F.col("other")).cast("byte").alias("side"),
-        (F.col("child") == F.col("other")).alias("alone"),
-        (F.col("depth") + F.col("q")).cast("byte").alias("depth"),
-        F.expr("bit_count(child ^ other)").cast("byte").alias("spent"),
+    split = F.least(F.ceil(F.col("count") / most), F.lit(1024)).cast("long")
+    rows = rows.join(full.select("k", "head", split.alias("groups")), ["k", "head"], "left").fillna(1, ["groups"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit("deal")), F.col("groups")))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
+        F.xxhash64("k", "head", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
+        (F.col("own") > F.col("other")).cast("byte").alias("side"),
+        (F.col("own") == F.col("other")).alias("alone"),
+        F.col("depth").cast("byte").alias("depth"),
+        F.lit(0).cast("byte").alias("spent"),
         *[c for c in ("turned", "key", "wide", "shingles") if c in rows.columns],
     )
 
@@ -257,7 +253,7 @@ def _deal(nodes: DataFrame, rows: int, task, each: int = 1_000_000) -> DataFrame
 
 def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """Distinct ``fps(fp)`` to ``a, b``: links that span every class within ``budget`` bits."""
-    return _deal(_node_pairs(_at_blocks(fps, budget), budget), fps.count() * (budget + 1), _spanning(budget))
+    return _deal(_node_pairs(_at_blocks(fps, budget)), fps.count() * (budget + 1), _spanning(budget))
 
 
 def near_duplicates(
@@ -343,13 +339,13 @@ def similar_documents(
     banded = _wide_rows(marked).select("key", "wide", "turned", F.posexplode("bands").alias("k", "head"))
     shared = banded.groupBy("k", "head").count().where("count > 1").select("k", "head")
     banded = banded.join(shared, ["k", "head"]).withColumn("depth", F.lit(0))
-    loose = components(_deal(_node_pairs(banded, WORD_BUDGET), banded.count(), _spanning(WORD_BUDGET, WIDE_BUDGET)))
+    loose = components(_deal(_node_pairs(banded), banded.count(), _spanning(WORD_BUDGET, WIDE_BUDGET)))
 
     members = loose.select(F.col("id").alias("key"), F.col("root").alias("head")).join(rows, "key")
     known = _wide_rows(members.select("key", "head", sets("text").alias("m")).select("key", "head", "m.*"))
     known = cut(known.withColumn("k", F.lit(0)).withColumn("depth", F.lit(0)))
     exact = _spanning(WORD_BUDGET, WIDE_BUDGET, similarity)
-    return components(_deal(_node_pairs(known, WORD_BUDGET, SET_NODE_ROWS), known.count(), exact, SET_ROWS))
+    return components(_deal(_node_pairs(known, SET_NODE_ROWS), known.count(), exact, SET_ROWS))
 
 
 def drop_similar(
