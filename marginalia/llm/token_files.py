@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -40,7 +42,7 @@ from marginalia.session import bounded_batches, shared_dir
 #: The pattern by which byte-level tokenizers split text (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_ID = -(1 << 63)
-PIECES, READ_ROWS = 300_000, 4096
+PIECES, READ_ROWS = 600_000, 4096
 
 
 class TextEncoder:
@@ -67,7 +69,10 @@ class TextEncoder:
         self.pieces = Memo(self._ids, PIECES)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
