@@ -270,7 +270,7 @@ def near_duplicates(
 
 
 #: Bits of a wide fingerprint, the most that differ at the stated similarity, the same for one 64-bit word of it.
-WIDE_BITS, WIDE_BUDGET, WORD_BUDGET = 256, 64, 24
+WIDE_BITS, WIDE_BUDGET, WORD_BUDGET = 256, 72, 24
 #: Rows with their shingle sets that go to one task, and of one class.
 SET_ROWS, SET_NODE_ROWS = 20_000, 1024
 #: Bands of min-hashes: a pair of similarity 0.8 shares none of them once in 5,000 pairs.
