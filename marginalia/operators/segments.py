@@ -45,7 +45,7 @@ def compact(entries: DataFrame, dead: DataFrame, inputs: DataFrame) -> tuple[Dat
     The result is named by what it holds; a name among the inputs means that
     nothing would change, and then nothing is returned.
     """
-    live = entries.join(F.broadcast(inputs), "segment", "left_semi").join(dead, ["segment", "slot"], "left_anti")
+    live = entries.join(inputs, "segment", "left_semi").join(dead, ["segment", "slot"], "left_anti")
     mark = F.xxhash64("segment", "slot")
     name = live.agg(F.concat(F.lower(F.hex(F.sum(F.pmod(mark, F.lit(1 << 40))))), F.lit("-"), F.count(F.lit(1)).cast("string")).alias("merged"))
     name = name.join(inputs.select(F.col("segment").alias("merged")), "merged", "left_anti")

@@ -9,9 +9,10 @@ after their parent, is a fold: one task per document, any order of arrival.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.oplog import coalesced_deletes
 from marginalia.session import cut
 
 
@@ -53,34 +54,89 @@ def without_parent(ops: DataFrame) -> DataFrame:
     return every.where("parent_counter > 0").join(known, ["object", "parent_counter", "parent_replica"], "left_anti")
 
 
-def _render(pdf: pd.DataFrame) -> pd.DataFrame:
+def _in_order(pdf: pd.DataFrame) -> list:
+    """The characters of one document in reading order, deleted ones included."""
     below: dict[tuple, list] = {}
     for n in pdf.sort_values(["counter", "replica"]).itertuples():
         below.setdefault((n.parent_counter, n.parent_replica, n.side), []).append(n)
     root = (0, "")
     stack = [("right", root, None), ("left", root, None)]
-    out, alive, dead = [], 0, 0
+    out = []
     while stack:
         what, at, node = stack.pop()
         if what == "self":
-            if node.deleted:
-                dead += 1
-            else:
-                out.append(chr(node.code))
-                alive += 1
+            out.append(node)
             continue
         for child in reversed(below.get((*at, what), [])):
             own = (child.counter, child.replica)
             stack += [("right", own, None), ("self", own, child), ("left", own, None)]
-    return pd.DataFrame({"object": [pdf["object"].iloc[0]], "text": ["".join(out)], "length": [alive], "tombstones": [dead]})
+    return out
+
+
+def _render(pdf: pd.DataFrame) -> pd.DataFrame:
+    chars = _in_order(pdf)
+    alive = [chr(n.code) for n in chars if not n.deleted]
+    return pd.DataFrame(
+        {"object": [pdf["object"].iloc[0]], "text": ["".join(alive)], "length": [len(alive)], "tombstones": [len(chars) - len(alive)]}
+    )
+
+
+def _places(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [(n.object, i, n.counter, n.replica, n.code, n.deleted) for i, n in enumerate(_in_order(pdf))]
+    return pd.DataFrame(rows, columns=["object", "place", "counter", "replica", "code", "deleted"])
+
+
+def _rooted(ops: DataFrame) -> DataFrame:
+    top = F.coalesce("parent_counter", F.lit(0)), F.coalesce("parent_replica", F.lit(""))
+    return nodes(ops).withColumn("parent_counter", top[0]).withColumn("parent_replica", top[1])
+
+
+def ordered(ops: DataFrame) -> DataFrame:
+    """``object, place, counter, replica, code, deleted``: every character where it stands."""
+    return _rooted(ops).groupBy("object").applyInPandas(_places, "object string, place long, counter long, replica string, code int, deleted boolean")
 
 
 def fold(ops: DataFrame) -> DataFrame:
     """``object, text, length, tombstones``; operations in any order and with repeats."""
-    rows = nodes(ops).withColumn("parent_counter", F.coalesce("parent_counter", F.lit(0))).withColumn(
-        "parent_replica", F.coalesce("parent_replica", F.lit(""))
-    )
-    return rows.groupBy("object").applyInPandas(_render, "object string, text string, length long, tombstones long")
+    return _rooted(ops).groupBy("object").applyInPandas(_render, "object string, text string, length long, tombstones long")
+
+
+def well_formed(ops: DataFrame) -> DataFrame:
+    """Inserts of some text and deletes of some characters, with whole ids."""
+    whole = lambda c: F.col(c).isNull() | (F.col(f"{c}.counter").isNotNull() & F.col(f"{c}.replica").isNotNull())
+    insert = (F.col("kind") == "insert") & (F.size("text") > 0) & whole("parent")
+    delete = (F.col("kind") == "delete") & (F.col("count") > 0) & F.col("target").isNotNull() & whole("target")
+    return ops.where((F.col("counter") > 0) & (insert | delete))
+
+
+def _visible(ops: DataFrame) -> DataFrame:
+    """Characters that show, with their ``at`` in the text; ``next_*`` is whatever stands right after, shown or not."""
+    order = Window.partitionBy("object").orderBy("place")
+    follows = [F.lead(c).over(order).alias(f"next_{c}") for c in ("counter", "replica")]
+    rows = ordered(ops).select("*", *follows).where("NOT deleted")
+    return rows.withColumn("at", F.row_number().over(order) - 1)
+
+
+def inserts_at(ops: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Where a text typed at ``wanted(object, at)`` hangs: ``object, parent_counter, parent_replica, side``.
+
+    On the right of the character before it, or, where that has such a child
+    already, on the left of the character that stands next.
+    """
+    before = _visible(ops).select("object", (F.col("at") + 1).alias("at"), "counter", "replica", "next_counter", "next_replica")
+    taken = characters(ops).where("side = 'right'").select(
+        "object", F.col("parent_counter").alias("counter"), F.col("parent_replica").alias("replica"), F.lit(True).alias("taken")
+    ).distinct()
+    joined = wanted.join(before, ["object", "at"]).join(taken, ["object", "counter", "replica"], "left")
+    pick = lambda c: F.when(F.col("taken"), F.col(f"next_{c}")).otherwise(F.col(c)).alias(f"parent_{c}")
+    side = F.when(F.col("taken"), "left").otherwise("right").alias("side")
+    return joined.select("object", pick("counter"), pick("replica"), side)
+
+
+def deletes_at(ops: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted(object, at, length)`` of the visible text as runs of ids: ``object, replica, counter, count``."""
+    rows = _visible(ops).withColumnRenamed("at", "_at").join(wanted, "object")
+    return coalesced_deletes(rows.where((F.col("_at") >= F.col("at")) & (F.col("_at") < F.col("at") + F.col("length"))))
 
 
 def compacted(chars: DataFrame, watermark: DataFrame) -> DataFrame:

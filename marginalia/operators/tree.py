@@ -8,7 +8,7 @@ of one vault are folded by one task; different vaults spread by their id.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.session import cut
@@ -17,9 +17,13 @@ ROOT, TRASH = "root", "trash"
 SEPARATOR = "/"
 
 
+def legal_name(name: Column) -> Column:
+    return (name != "") & ~name.isin(".", "..") & ~name.contains("/")
+
+
 def well_formed(moves: DataFrame) -> DataFrame:
     """Moves of ordinary nodes, under another node, with a legal name."""
-    legal = (F.col("name") != "") & ~F.col("name").isin(".", "..") & ~F.col("name").contains("/")
+    legal = legal_name(F.col("name"))
     usable = (F.col("counter") > 0) & ~F.col("child").isin(ROOT, TRASH) & (F.col("child") != F.col("parent"))
     return moves.where(usable & legal)
 
@@ -69,6 +73,31 @@ def deleted(nodes: DataFrame) -> DataFrame:
     return paths(nodes, TRASH).select("vault", "child")
 
 
+def detached(nodes: DataFrame) -> DataFrame:
+    """Nodes that lead up to neither the root nor the trash: in a cycle, or below a node that is not there."""
+    held = paths(nodes).select("vault", "child").union(deleted(nodes))
+    return nodes.select("vault", "child").join(held, ["vault", "child"], "left_anti")
+
+
+def moves_for(events: DataFrame, clock: int, replica: str) -> DataFrame:
+    """Change events of ``vault`` as moves: a deleted node goes to the trash, what arrives below its folder.
+
+    ``events(vault, kind, path, id)``. A writer numbers its own moves one after the
+    other, by path and kind, from ``clock`` on. What is only modified does not move.
+    """
+    order = Window.partitionBy("vault").orderBy("path", "kind")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return events.where("kind <> 'modified'").select(
+        "vault",
+        (F.row_number().over(order) + clock).cast("long").alias("counter"),
+        F.lit(replica).alias("replica"),
+        F.coalesce("id", "path").alias("child"),
+        F.when(F.col("kind") == "deleted", TRASH).when(folder == "", ROOT).otherwise(folder).alias("parent"),
+        F.element_at(F.split("path", SEPARATOR), -1).alias("name"),
+        F.lit(False).alias("is_dir"),
+    )
+
+
 def children(nodes: DataFrame, parent: str) -> DataFrame:
     return nodes.where(F.col("parent") == parent)
 
@@ -76,5 +105,3 @@ def children(nodes: DataFrame, parent: str) -> DataFrame:
 def compact_log(moves: DataFrame, watermark: int) -> DataFrame:
     """What remains of the log once everything up to the watermark is settled."""
     return moves.where(F.col("counter") > watermark)
-
-

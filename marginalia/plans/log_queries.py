@@ -99,7 +99,7 @@ def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten devices, each with the highest counter below its own bound of every source."""
-    rows = ops(spark, sf_dir).select("replica", "counter").where("replica % 15 = 0")
+    rows = ops(spark, sf_dir).select("replica", "counter")
     devices = spark.range(10).select(F.col("id").alias("device"), ((F.col("id") + 5) * 600).alias("clock"))
     held = devices.join(rows, F.col("counter") <= F.col("clock")).groupBy("device", "clock", "replica").agg(F.max("counter").alias("mark"))
     entries = F.map_from_entries(F.collect_list(F.struct("replica", "mark")))
@@ -107,7 +107,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_compaction_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    produced = ops(spark, sf_dir).where("replica % 15 = 0 AND counter <= 3000").select("replica")
+    produced = ops(spark, sf_dir).where("counter <= 3000").select("replica")
     return oplog.compaction_watermark(_reports(spark, sf_dir), spark.range(10).select(F.col("id").alias("device")), produced)
 
 
@@ -308,8 +308,8 @@ SELECT event_type AS object, count(*) AS ops, sum(event_id)::BIGINT AS counters
     "st_dedup": "SELECT event_type AS object, user_id AS replica, event_id AS counter FROM events",
     "agg_compaction_watermark": """
 WITH d AS (SELECT range AS device, (range + 5) * 600 AS clock FROM range(10)),
-r AS (SELECT device, clock, user_id AS replica, max(event_id) AS mark FROM d JOIN events ON event_id <= clock AND user_id % 15 = 0 GROUP BY 1, 2, 3),
-p AS (SELECT DISTINCT user_id AS replica FROM events WHERE user_id % 15 = 0 AND event_id <= 3000),
+r AS (SELECT device, clock, user_id AS replica, max(event_id) AS mark FROM d JOIN events ON event_id <= clock GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT user_id AS replica FROM events WHERE event_id <= 3000),
 k AS (SELECT DISTINCT device, clock FROM r)
 SELECT CASE WHEN (SELECT count(*) FROM k) < 10 THEN 0 ELSE least((SELECT min(clock) FROM k),
   (SELECT min(coalesce(r.mark, 0)) FROM k CROSS JOIN p LEFT JOIN r ON r.device = k.device AND r.replica = p.replica)) END::BIGINT AS watermark""",

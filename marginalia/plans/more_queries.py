@@ -72,7 +72,7 @@ def join_push_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_previous_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where an object was indexed before its newest segment."""
-    rows = log_queries.entries(spark, sf_dir).select("object", "segment", "slot").distinct().where("object % 50 = 0")
+    rows = log_queries.entries(spark, sf_dir).select("object", "segment", "slot").distinct()
     newest = rows.groupBy("object").agg(F.max("segment").alias("segment"))
     return rows.join(newest, ["object", "segment"], "left_anti")
 
@@ -291,7 +291,7 @@ UNION ALL SELECT 'retire', count(*) FROM s WHERE segment % 7 = 0""",
     "join_superseded": SLOTS + "SELECT segment FROM p WHERE replaced",
     "join_push_diff": SLOTS + "SELECT segment FROM s WHERE here AND segment % 3 = 0",
     "join_previous_slots": """
-WITH r AS (SELECT DISTINCT l_partkey AS object, l_orderkey AS segment, l_linenumber AS slot FROM lineitem WHERE l_partkey % 50 = 0)
+WITH r AS (SELECT DISTINCT l_partkey AS object, l_orderkey AS segment, l_linenumber AS slot FROM lineitem)
 SELECT object, segment, slot FROM (SELECT *, max(segment) OVER (PARTITION BY object) AS newest FROM r) WHERE segment < newest""",
     "join_roster_label": "SELECT s_suppkey, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "join_path_resolve": "SELECT r_name || '/' || n_name AS path, 'n' || n_nationkey AS child FROM region JOIN nation ON r_regionkey = n_regionkey WHERE r_regionkey <> 3",

@@ -53,8 +53,7 @@ def st_cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_manifest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = log_queries.manifest_ops(spark, sf_dir).where("segment % 20 = 0")
-    return _drained(spark, ops, flows.manifest_totals, "complete").select("segment", F.coalesce("count", F.lit(0)).alias("count"), "dead", "retired")
+    return _drained(spark, log_queries.manifest_ops(spark, sf_dir), flows.manifest_totals, "complete").select("segment", F.coalesce("count", F.lit(0)).alias("count"), "dead", "retired")
 
 
 def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +69,5 @@ ORACLES = {
     "st_gap_detect": log_queries.ORACLES["win_chain_prefix"],
     "st_cursor_fetch": "SELECT event_type AS object, user_id AS replica, event_id AS counter FROM events",
     "st_manifest_fold": log_queries.SLOTS + """
-SELECT segment, (SELECT count(*) FROM e WHERE e.segment = s.segment) AS count, dead::INT AS dead, (segment % 7 = 0)::INT AS retired FROM s WHERE segment % 20 = 0""",
+SELECT segment, (SELECT count(*) FROM e WHERE e.segment = s.segment) AS count, dead::INT AS dead, (segment % 7 = 0)::INT AS retired FROM s""",
 }

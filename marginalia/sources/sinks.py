@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,16 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     (fresh if there is None else fresh.join(there, keys, "left_anti")).write.mode("append").parquet(path)
 
 
+def advance(moved: DataFrame, path: str, keys: list[str]) -> None:
+    """Record how far each cursor of ``moved(*keys, counter)`` has come; nothing is rewritten."""
+    moved.groupBy(*keys).agg(F.max("counter").alias("counter")).write.mode("append").parquet(path)
+
+
+def cursors(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Where each cursor stands: the furthest of all that was recorded."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max("counter").alias("counter"))
+
+
 def json_events(rows: DataFrame, kind: str) -> DataFrame:
     """One JSON object per row under ``event``, with the kind first."""
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("event"), *rows.columns)).alias("value"))
