@@ -25,7 +25,7 @@ def pack(fields: list[tuple[str, Column]]) -> Column:
 
 
 def _number_at(raw: Column, at: Column, size: int) -> Column:
-    return F.conv(F.hex(F.substring(raw, at, F.lit(size))), 16, -10).cast("long")
+    return F.conv(F.hex(F.substring(raw, F.least(at.cast("long"), F.lit((1 << 31) - 1)).cast("int"), F.lit(size))), 16, -10).cast("long")
 
 
 def unpack(raw: Column, fields: list[tuple[str, str]]) -> Column:
@@ -36,8 +36,9 @@ def unpack(raw: Column, fields: list[tuple[str, str]]) -> Column:
             out.append(_number_at(raw, at, 8).alias(name))
             at = at + 8
         else:
-            size = _number_at(raw, at, 4)
-            text = F.substring(raw, (at + 4).cast("int"), size.cast("int")).cast("string")
+            # a size past the end leaves the record too short, and so refused
+            size = F.least(_number_at(raw, at, 4), F.octet_length(raw).cast("long"))
+            text = F.substring(raw, F.least(at + 4, F.lit((1 << 31) - 1)).cast("int"), size.cast("int")).cast("string")
             fine = fine & F.is_valid_utf8(text)
             out.append(text.alias(name))
             at = at + 4 + size

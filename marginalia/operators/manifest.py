@@ -85,7 +85,7 @@ def fetch_order(state: DataFrame, present: DataFrame) -> DataFrame:
     """Segments that are added and not here: those nobody replaces first, then by id."""
     absent = state.where(F.col("count") > 0).join(present, "segment", "left_anti")
     replaced = F.size("superseded_by") > 0
-    return absent.select("segment", replaced.alias("replaced"), F.row_number().over(Window.orderBy(replaced, "segment")).alias("place"))
+    return absent.select("segment", replaced.alias("replaced"), F.row_number().over(Window.orderBy(replaced, "segment")).cast("long").alias("place"))
 
 
 def plan_compaction(

@@ -57,7 +57,7 @@ def scan_blob_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog.page(oplog.after(ops(spark, sf_dir), cursors(spark, sf_dir)), 5).select("object", "replica", "counter", "place", "more")
+    return oplog.page(oplog.after(ops(spark, sf_dir), cursors(spark, sf_dir)), 5).select("object", "replica", "counter", F.col("place").cast("long").alias("place"), "more")
 
 
 def win_chain_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,8 @@ def win_chain_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrival by the time stamp, ties by id."""
-    order = Window.partitionBy("object", "replica").orderBy("ts", "counter")
+    """Arrival in three rounds, of every third event each."""
+    order = Window.partitionBy("object", "replica").orderBy(F.col("counter") % 3, "counter")
     rows = ops(spark, sf_dir).withColumn("seq", F.row_number().over(order))
     return oplog.out_of_order(rows).select("object", "replica", "counter")
 
@@ -293,7 +293,7 @@ SELECT object, replica, counter, place, total > 5 AS more FROM (
     "win_out_of_order": """
 SELECT object, replica, counter FROM (
   SELECT event_type AS object, user_id AS replica, event_id AS counter,
-         max(event_id) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events)
+         max(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id % 3, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events)
 WHERE counter <= high""",
     "win_last_write": """
 SELECT object, counter, replica, round(value, 6) AS value FROM (

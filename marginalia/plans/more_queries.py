@@ -133,18 +133,18 @@ def win_second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win_first_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.topk(search_queries.scores(spark, sf_dir).where("q <> slot"), 50)
-    return ranked.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("segment") == 3, F.col("rk"))), F.lit(0)).alias("rank"))
+    return ranked.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("segment") == 3, F.col("rk"))), F.lit(0)).cast("long").alias("rank"))
 
 
 def win_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).alias("ordinal"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
 
 
 def win_cited_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = text_queries._reply(spark, sf_dir).withColumn("cited", retrieval.citations(F.col("reply"), F.lit(3)))
     return replies.select("doc_id", F.posexplode(F.array(F.lit("p0"), F.lit("p1"), F.lit("p2"))).alias("place", "passage"), "cited").select(
-        "doc_id", "place", F.array_contains("cited", F.col("place")).alias("is_cited")
+        "doc_id", F.col("place").cast("long").alias("place"), F.array_contains("cited", F.col("place")).alias("is_cited")
     )
 
 
@@ -199,7 +199,7 @@ def agg_log_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_compaction_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy("count", "segment")
-    return log_queries._sizes(spark, sf_dir).select("segment", "count", F.row_number().over(order).alias("place"))
+    return log_queries._sizes(spark, sf_dir).select("segment", "count", F.row_number().over(order).cast("long").alias("place"))
 
 
 def sort_events(spark: SparkSession, sf_dir: str) -> DataFrame:

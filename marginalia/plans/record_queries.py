@@ -30,7 +30,7 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_index_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live slots, each with its place in its segment."""
     live = manifest.live_entries(log_queries.live_slots(spark, sf_dir), log_queries.dead_slots(spark, sf_dir))
-    return live.select("segment", "slot", F.row_number().over(Window.partitionBy("segment").orderBy("slot")).alias("place"))
+    return live.select("segment", "slot", F.row_number().over(Window.partitionBy("segment").orderBy("slot")).cast("long").alias("place"))
 
 
 def scan_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def scan_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_relay_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next fifty operations of each object past a cursor, and whether more follow."""
     order = Window.partitionBy("object").orderBy("counter", "replica")
-    rows = log_queries.ops(spark, sf_dir).where("counter > 1000").select("object", "counter", "replica", F.row_number().over(order).alias("place"))
+    rows = log_queries.ops(spark, sf_dir).where("counter > 1000").select("object", "counter", "replica", F.row_number().over(order).cast("long").alias("place"))
     page = rows.where("place <= 51")
     more = page.groupBy("object").agg((F.max("place") > 50).alias("more"))
     return page.where("place <= 50").join(more, "object")
@@ -53,7 +53,7 @@ def scan_relay_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_relay_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three reports of every vault."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("place"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("place"))
     return rows.where("place <= 3")
 
 
@@ -85,7 +85,7 @@ def scan_eval_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tree.paths(text_queries._nodes(spark, sf_dir))
-    return rows.select("path", "child", F.row_number().over(Window.partitionBy("vault").orderBy("path", "child")).alias("place"))
+    return rows.select("path", "child", F.row_number().over(Window.partitionBy("vault").orderBy("path", "child")).cast("long").alias("place"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -129,7 +129,7 @@ def proj_oplog_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of an object's operations by their packed keys."""
     key = F.concat(F.unhex(F.md5(F.col("replica").cast("string").cast("binary"))), records.number(F.col("counter")))
     order = Window.partitionBy("object").orderBy(key)
-    return log_queries.ops(spark, sf_dir).select("object", "counter", F.row_number().over(order).alias("place"))
+    return log_queries.ops(spark, sf_dir).select("object", "counter", F.row_number().over(order).cast("long").alias("place"))
 
 
 def proj_encode_op(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def proj_encode_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [("long", "counter"), ("string", "model"), ("long", "segment"), ("long", "count")]
     rows = log_queries.manifest_ops(spark, sf_dir).where("kind = 'add'").distinct()
     coded = rows.select(records.pack([(k, F.col(c)) for k, c in kinds]).alias("raw"))
-    return coded.select(F.octet_length("raw").alias("bytes"), records.unpack(F.col("raw"), kinds).alias("o")).select("bytes", "o.*")
+    return coded.select(F.octet_length("raw").cast("long").alias("bytes"), records.unpack(F.col("raw"), kinds).alias("o")).select("bytes", "o.*")
 
 
 def proj_encode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,12 +243,12 @@ def agg_topic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, notes and cohesion of each topic, and its share of the mean over all."""
     rows = _topics(spark, sf_dir)
     every = rows.agg(F.sum(F.col("chunks") * F.col("cohesion")).alias("_s"), F.sum("chunks").alias("_n"))
-    return rows.crossJoin(every).select("cluster", "chunks", "notes", F.round("cohesion", 6).alias("cohesion"), F.round(F.col("_s") / F.col("_n"), 6).alias("overall"))
+    return rows.crossJoin(every).select(F.col("cluster").cast("long").alias("cluster"), "chunks", "notes", F.round("cohesion", 6).alias("cohesion"), F.round(F.col("_s") / F.col("_n"), 6).alias("overall"))
 
 
 def sort_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy(F.desc("chunks"), F.desc("cohesion"), "cluster")
-    return _topics(spark, sf_dir).select("cluster", F.row_number().over(order).alias("place"))
+    return _topics(spark, sf_dir).select(F.col("cluster").cast("long").alias("cluster"), F.row_number().over(order).cast("long").alias("place"))
 
 
 def agg_fetch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +324,7 @@ def crypto_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     about, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", records.seal(text, KEY, about).alias("sealed"))
     return rows.select(
-        "doc_id", F.octet_length("sealed").alias("bytes"), F.md5(records.unseal(F.col("sealed"), KEY, about).cast("binary")).alias("text_md5"),
+        "doc_id", F.octet_length("sealed").cast("long").alias("bytes"), F.md5(records.unseal(F.col("sealed"), KEY, about).cast("binary")).alias("text_md5"),
         records.unseal(F.col("sealed"), KEY, F.lit("another")).isNull().alias("shut"),
     )
 
@@ -373,7 +373,7 @@ WHERE place <= 50""",
     "scan_relay_reports": """
 SELECT o_custkey, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) WHERE place <= 3""",
     "scan_relay_piece": """
-SELECT doc_id AS segment, 2000 AS "offset", least(1000, strlen(text) - 2000) AS length FROM documents WHERE strlen(text) > 2000""",
+SELECT doc_id AS segment, 2000::BIGINT AS "offset", least(1000, strlen(text) - 2000) AS length FROM documents WHERE strlen(text) > 2000""",
     "limit_listing": "SELECT DISTINCT l_orderkey AS segment FROM lineitem WHERE l_orderkey > 1000 ORDER BY 1 LIMIT 4096",
     "limit_envelopes": "SELECT c_custkey FROM customer ORDER BY 1 LIMIT 256",
     "scan_eval_tsv": """
@@ -434,5 +434,5 @@ SELECT 100 + row_number() OVER (ORDER BY path, kind) AS counter, CASE WHEN id =
 FROM f WHERE kind <> 'modified'""",
     "tree_cycle_check": "SELECT 'n' || n_nationkey AS child FROM nation WHERE n_nationkey IN (4, 9) UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_nationkey IN (4, 9)",
     "crypto_open": "SELECT doc_id, strlen(coalesce(text, '')) + 28 AS bytes, md5(coalesce(text, '')) AS text_md5, true AS shut FROM documents",
-    "crypto_seal_det": "SELECT n, 1 AS seals, count(*) AS texts FROM (SELECT coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY 1) GROUP BY n",
+    "crypto_seal_det": "SELECT n, 1::BIGINT AS seals, count(*) AS texts FROM (SELECT coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY 1) GROUP BY n",
 }

@@ -34,7 +34,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
-    return ranked.select("q", F.col("slot").alias("vec_id"), F.round("score", 6).alias("score"), "rk")
+    return ranked.select("q", F.col("slot").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win_rank_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.topk_per_segment(scores(spark, sf_dir), 3)
-    return ranked.select("q", "segment", F.col("slot").alias("vec_id"), F.round("score", 6).alias("score"), "rk")
+    return ranked.select("q", "segment", F.col("slot").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 def join_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.candidates(scores(spark, sf_dir), K)
     hits = hits.withColumn("object", F.col("slot")).withColumn("start", F.lit(0)).withColumn("end", F.lit(500))
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object"), "text")
-    return retrieval.resolve(hits, documents).withColumn("link_ratio", (F.col("slot") * 37 % 8000).cast("int"))
+    return retrieval.resolve(hits, documents).withColumn("link_ratio", F.col("slot") * 37 % 8000)
 
 
 def join_hit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def win_topic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = topics.centroids(rows)
     scored = rows.join(sums, "cluster").withColumn("score", topics.dot(F.col("_v"), F.col("sums")) / F.sqrt(topics.dot(F.col("sums"), F.col("sums"))))
     ranked = scored.select(F.col("cluster").alias("q"), F.lit(0).alias("segment"), F.col("vec_id").alias("slot"), "score")
-    return search.topk(ranked, 3).select(F.col("q").alias("label"), F.col("slot").alias("vec_id"), F.round("score", 6).alias("similarity"), "rk")
+    return search.topk(ranked, 3).select(F.col("q").alias("label"), F.col("slot").alias("vec_id"), F.round("score", 6).alias("similarity"), F.col("rk").cast("long").alias("rk"))
 
 
 def topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def fold_kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = [list(map(float, r["vector"])) for r in live.where("slot < 4").orderBy("slot").collect()]
     points = live.select("segment", "slot", F.col("vector").cast("array<double>").alias("_v"))
     placed = topics.assign(points, centres)
-    return placed.groupBy("cluster").agg(
+    return placed.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(
         F.count(F.lit(1)).alias("chunks"), F.count_distinct(F.col("slot") % 100).alias("notes"), F.round(F.avg("similarity"), 6).alias("cohesion")
     )
 

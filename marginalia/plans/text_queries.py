@@ -214,11 +214,11 @@ def fn_link_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.words(F.regexp_replace("text", r"[^\x00-\x7F]", " "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("words"), F.md5(F.array_join(words, " ").cast("binary")).alias("words_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.md5(F.array_join(words, " ").cast("binary")).alias("words_md5"))
 
 
 def fn_utf8_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.length("text").alias("characters"), F.is_valid_utf8("text").alias("valid"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("characters"), F.is_valid_utf8("text").alias("valid"))
 
 
 def vec_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
