@@ -67,7 +67,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_hit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = pool(spark, sf_dir)
-    return hits.select("q", F.col("slot").alias("vec_id"), "rk", "resolved", F.when(F.col("text").isNotNull(), F.col("end") - F.col("start")).otherwise(0).alias("passage_bytes"))
+    return hits.select("q", F.col("slot").alias("vec_id"), F.col("rk").cast("long").alias("rk"), "resolved", F.when(F.col("text").isNotNull(), F.col("end") - F.col("start")).otherwise(0).alias("passage_bytes"))
 
 
 def topk_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:

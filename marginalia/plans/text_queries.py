@@ -202,7 +202,7 @@ def agg_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunker.line_offsets(_notes(spark, sf_dir)).select(F.col("object").alias("doc_id"), "line", "start", "end")
+    return chunker.line_offsets(_notes(spark, sf_dir)).select(F.col("object").alias("doc_id"), F.col("line").cast("long").alias("line"), "start", "end")
 
 
 def fn_link_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
