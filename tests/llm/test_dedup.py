@@ -238,5 +238,17 @@ def test_hot_passages_are_salted(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(range(1, 60))
 
 
+def test_a_smaller_document_that_holds_a_part_of_a_passage_hides_no_repeat(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows = []
+    for i in range(0, 90, 3):
+        passage = words(50)
+        rows += [(i, " ".join(passage[:40] + words(20))), (i + 1, " ".join(words(30) + passage)), (i + 2, " ".join(passage + words(25)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.other_id) for r in got) == [(i + 2, i + 1) for i in range(0, 90, 3)]
+    assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.similarity) == (0, 50, 30, 80, 1.0) for r in got)
+
+
 def test_passages_on_an_empty_table(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
