@@ -250,5 +250,18 @@ def test_a_smaller_document_that_holds_a_part_of_a_passage_hides_no_repeat(spark
     assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.similarity) == (0, 50, 30, 80, 1.0) for r in got)
 
 
+def test_passages_with_a_changed_word_are_found(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows, pairs = [], 400
+    for i in range(0, 2 * pairs, 2):
+        passage = words(50)
+        changed = [*passage]
+        changed[rng.randrange(5, 45)] = "changed"
+        rows += [(i, " ".join(words(60) + passage + words(60))), (i + 1, " ".join(words(60) + changed + words(60)))]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert len(got) >= 0.99 * pairs and all(i % 2 for i in got)
+
+
 def test_passages_on_an_empty_table(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
