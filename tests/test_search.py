@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from marginalia.operators import ann, manifest, oplog, retrieval, search, segments, topics
+from marginalia.operators import ann, chunker, manifest, oplog, retrieval, search, segments, topics
+from marginalia.plans import more_queries
 
 POOL = "q long, segment int, slot long, score double, rk int, resolved boolean, link_ratio int"
 
@@ -159,3 +160,12 @@ def test_watermark_waits_for_every_device(spark):
     assert mark(devices("d1", "d2")) == 40 and mark(devices("d1", "d2", "d3")) == 0 and mark(devices().limit(0)) == 0
     slow = spark.createDataFrame([("d1", 100, {"d1": 50, "d2": 40}), ("d2", 10, {"d1": 45, "d2": 60})], reports.schema)
     assert oplog.compaction_watermark(slow, devices("d1", "d2"), produced).first().watermark == 10
+
+
+def test_registered_status_queries_look_at_the_end_of_a_text(spark, monkeypatch, tmp_path):
+    rows = [(1, "a" * 300), (2, "a" * 300 + "é"), (3, "a" * 300), (4, "é" * 500), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(more_queries.flt_utf8(spark, str(tmp_path)).collect()) == {1: True, 2: True, 3: False, 4: True, 5: True}
+    monkeypatch.setattr(chunker, "MAX_DOCUMENT", 600)
+    got = dict(more_queries.chunk_status(spark, str(tmp_path)).collect())
+    assert got == {1: "ok", 2: "ok", 3: "not-utf8", 4: "too-large", 5: "ok"}
