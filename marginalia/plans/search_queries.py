@@ -137,7 +137,7 @@ def win_topic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = live_vectors(spark, sf_dir)
-    centres = topics.fit(live, iterations=6)
+    centres = topics.fit(live)
     notes = live.withColumn("object", F.col("slot") % 100).withColumn("start", F.col("slot"))
     shown = F.array_join(F.transform("examples", lambda e: e["start"].cast("string")), ",")
     report = topics.topic_map(notes, centres)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from marginalia.operators import ann, chunker, manifest, oplog, retrieval, search, segments, topics
-from marginalia.plans import more_queries
+from marginalia.plans import more_queries, search_queries
 
 POOL = "q long, segment int, slot long, score double, rk int, resolved boolean, link_ratio int"
 
@@ -169,3 +169,10 @@ def test_registered_status_queries_look_at_the_end_of_a_text(spark, monkeypatch,
     monkeypatch.setattr(chunker, "MAX_DOCUMENT", 600)
     got = dict(more_queries.chunk_status(spark, str(tmp_path)).collect())
     assert got == {1: "ok", 2: "ok", 3: "not-utf8", 4: "too-large", 5: "ok"}
+
+
+def test_the_registered_topic_map_fits_with_the_default_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(topics, "fit", lambda vectors, k=None, iterations=topics.ITERATIONS: asked.append(iterations) or [[1.0] * 64, [-1.0] * 64])
+    search_queries.topic_map(spark, "/root/testdata/sf0.001")
+    assert asked == [topics.ITERATIONS]
