@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from marginalia.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a gate, each of 64 bits. 2**15 rows (half a MB) are two million keys.
-GATE_WORDS = 1 << 15
+#: Most rows of a gate, each of 64 bits: 2**18 rows (4 MB) are sixteen million keys.
+GATE_WORDS = 1 << 18
 PREFIX_CHARS = 64
 
 
@@ -112,14 +112,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The rows to drop are found on hashes alone and taken away by their id, so
     texts are dealt by id and a large group of copies never meets in one task.
-    Where ids or whole rows repeat, the rows left over are made distinct by text.
+    That needs an id for each row: where an id of ``docs`` is null or occurs
+    twice, rows are told apart by the hash of their text as well.
     """
+    if not docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        kept = exact_duplicates(docs.select(F.struct(*docs.columns).alias("_row"), id_col, text_col), id_col, text_col).where("kept")
+        return kept.dropDuplicates(["text_sha256"]).select("_row.*")
     hashed = cut(_hashed(docs, id_col, text_col))
-    groups = cut(_groups(hashed))
-    marked = hashed.join(groups, "text_sha256").select("_id", (~F.col("_id").eqNullSafe(F.col("keep_id"))).alias("lost"))
-    seen = cut(marked.groupBy("_id").agg(F.bool_or("lost").alias("lost"), F.count(F.lit(1)).alias("n")))
-    if not seen.where("n > 1 OR _id IS NULL").isEmpty():
-        kept = exact_duplicates(docs, id_col, text_col).where("kept")
-        return kept.dropDuplicates(["text_sha256"]).select(*docs.columns)
-    lost = seen.where("lost").select(F.col("_id").alias(id_col))
+    marked = hashed.join(cut(_groups(hashed)), "text_sha256")
+    lost = marked.where(F.col("_id") != F.col("keep_id")).select(F.col("_id").alias(id_col))
     return docs.join(lost, id_col, "left_anti").select(*docs.columns)

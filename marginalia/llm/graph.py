@@ -25,10 +25,15 @@ def _downward(links: DataFrame) -> DataFrame:
     return ordered.where(F.col("a") != F.col("b")).distinct()
 
 
+def with_value(rows: DataFrame, values: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` joined to the one row of ``values`` for their ``key``: that is sent to SALTS places, each of ``rows`` to one by ``spread``."""
+    salted = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` joined to ``least(a, m)``; each minimum is sent to SALTS places, each link to one."""
-    salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "_salt"]).drop("_salt")
+    """``links`` joined to ``least(a, m)``."""
+    return with_value(links, least, "a", "b")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

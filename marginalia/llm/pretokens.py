@@ -41,14 +41,20 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
+#: Pieces longer than this are made anew each time, so that what a worker remembers is bounded in bytes.
+LONGEST = 64
+
+
 class Memo(dict):
-    """``key -> make(key)`` for at most twice ``limit`` keys, those used lately among them."""
+    """``key -> make(key)`` for at most twice ``limit`` keys of LONGEST at most, those used lately among them."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)

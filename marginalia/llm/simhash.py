@@ -29,8 +29,12 @@ Defined results
     equal fingerprints   one vertex; their documents share a component
     repeated rows        the same fingerprint, the same component
     null id              never a component's id unless all its ids are null
+    repeated ids         ``drop_similar`` takes each row for a document of its own
+    chains               a class is what links reach: of a chain one document stays,
+                         also where its ends are not alike
     empty table          an empty result
-    other columns        carried through; clashing names are replaced
+    other columns        ``fingerprint`` and ``drop_similar`` carry them through, the
+                         reports keep the id alone
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.graph import components, union
+from marginalia.llm.graph import components, union, with_value
 from marginalia.session import bounded_batches, cut
 
 SEED = 42
@@ -117,16 +121,17 @@ def _at_blocks(fps: DataFrame, budget: int) -> DataFrame:
     return fps.select(F.col("fp").alias("key"), F.explode(F.array(*turned)).alias("t")).select("t.*", "key")
 
 
-def _node_pairs(rows: DataFrame, most: int | None = None) -> DataFrame:
+def _node_pairs(rows: DataFrame, most: int | None = None, weight: Column | None = None) -> DataFrame:
     """``node`` names a trie node, entered at ``depth`` with nothing spent.
 
-    The rows of a node with more than ``most``, NODE_ROWS if not given, are dealt to
-    groups by a hash, and every two groups become a piece of their own: near copies
-    share their leading bits, so going further down would leave them together.
+    The rows of a node that weigh more than ``most``, NODE_ROWS if not given, are dealt
+    to groups by a hash, and every two groups become a piece of their own: near copies
+    share their leading bits, so going further down would leave them together. A row
+    weighs 1 if nothing else is said.
     """
     most = most or NODE_ROWS
-    full = rows.groupBy("k", "head").count().where(F.col("count") > most)
-    split = F.least(F.ceil(F.col("count") / most), F.lit(1024)).cast("long")
+    full = rows.groupBy("k", "head").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).where(F.col("count") > most)
+    split = F.ceil(F.col("count") / most).cast("long")
     rows = rows.join(full.select("k", "head", split.alias("groups")), ["k", "head"], "left").fillna(1, ["groups"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit("deal")), F.col("groups")))
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
@@ -265,14 +270,14 @@ def near_duplicates(
     roots = components(fingerprint_links(classes.select("fp"), budget)).select(F.col("id").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    component = with_value(rooted.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
     return marked.join(component, "fp").select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 #: Bits of a wide fingerprint, the most that differ at the stated similarity, the same for one 64-bit word of it.
 WIDE_BITS, WIDE_BUDGET, WORD_BUDGET = 256, 72, 24
-#: Rows with their shingle sets that go to one task, and of one class.
-SET_ROWS, SET_NODE_ROWS = 20_000, 1024
+#: Shingles whose sets go to one task, and those of one class in one of its pieces; a set counts for SET_LEAST at least.
+TASK_SHINGLES, NODE_SHINGLES, SET_LEAST = 8_000_000, 500_000, 128
 #: Bands of min-hashes: a pair of similarity 0.8 shares none of them once in 5,000 pairs.
 BANDS, BAND_WIDTH = 12, 3
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_WIDTH + WIDE_BITS // 64), dtype=np.uint64) * 2 + 1
@@ -338,20 +343,26 @@ def similar_documents(
     marked = cut(rows.select("key", marks("text").alias("m")).select("key", "m.*"))
     banded = _wide_rows(marked).select("key", "wide", "turned", F.posexplode("bands").alias("k", "head"))
     shared = banded.groupBy("k", "head").count().where("count > 1").select("k", "head")
-    banded = banded.join(shared, ["k", "head"]).withColumn("depth", F.lit(0))
-    loose = components(_deal(_node_pairs(banded), banded.count(), _spanning(WORD_BUDGET, WIDE_BUDGET)))
+    nodes = cut(_node_pairs(banded.join(shared, ["k", "head"]).withColumn("depth", F.lit(0))))
+    loose = components(_deal(nodes, nodes.count(), _spanning(WORD_BUDGET, WIDE_BUDGET)))
 
     members = loose.select(F.col("id").alias("key"), F.col("root").alias("head")).join(rows, "key")
     known = _wide_rows(members.select("key", "head", sets("text").alias("m")).select("key", "head", "m.*"))
     known = cut(known.withColumn("k", F.lit(0)).withColumn("depth", F.lit(0)))
+    weight = F.greatest(F.size("shingles"), F.lit(SET_LEAST)).cast("long")
     exact = _spanning(WORD_BUDGET, WIDE_BUDGET, similarity)
-    return components(_deal(_node_pairs(known, SET_NODE_ROWS), known.count(), exact, SET_ROWS))
+    pieces = _node_pairs(known, NODE_SHINGLES, weight)
+    return components(_deal(pieces, pieces.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0], exact, TASK_SHINGLES))
 
 
 def drop_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``docs`` without those that have a near copy with a smaller id."""
+    """``docs`` with one document of each class of near copies, the one of the smallest id, and all that have no id."""
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        # a number for each row, written down so that it stays; rows of smaller ids come first only within a partition
+        rows = cut(docs.withColumn("_row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())))
+        return drop_similar(rows, "_row", text_col, width, similarity).select(*docs.columns)
     near = similar_documents(docs, id_col, text_col, width, similarity)
     gone = near.where("id <> root").select(F.col("id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

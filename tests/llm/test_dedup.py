@@ -71,6 +71,12 @@ def test_exact_drop_and_repeats(spark):
     assert sorted(exact_dedup.drop_copies(docs(spark, again)).select("doc_id", "text").collect(), key=lambda r: r.text) == [(2, "a"), (3, "b"), (None, "c")]
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, simhash.drop_similar])
+def test_a_text_is_kept_though_its_id_repeats_beside_a_copy(spark, drop):
+    rows = [(5, "aa"), (5, "unique text"), (9, "AA"), (7, "other"), (None, "x"), (5, "unique text")]
+    assert sorted(r.text.lower() for r in drop(docs(spark, rows)).collect()) == ["aa", "other", "unique text", "x"]
+
+
 def test_exact_on_an_empty_table(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0 == exact_dedup.drop_copies(docs(spark, [])).count()
 
@@ -142,6 +148,22 @@ def test_similar_documents_reach_the_similarity_and_no_others(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_large_classes_of_near_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_SHINGLES", 1200)
+    monkeypatch.setattr(simhash, "TASK_SHINGLES", 2400)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(1 + i % 4):
+            words[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    want = classes(60, [(i, j) for i in range(60) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8])
+    got = dict(simhash.similar_documents(docs(spark, rows)).collect())
+    assert [got.get(i, i) for i in range(60)] == want and 1 <= len(set(want)) < 40
+
+
 def test_similar_documents_on_odd_input(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, ""), (4, None), (5, "  "), (6, "z")]
     assert sorted((r.doc_id or 0) for r in simhash.drop_similar(docs(spark, rows)).collect()) == [0, 1, 3, 6]
