@@ -6,18 +6,22 @@ two remaining norms bounds the cosine, and a pair whose bound is under the
 threshold is dropped. What survives is settled by the cosine of the original
 vectors in double precision, so neither the axes nor the tiles change a result.
 
-Tiles hold at most about ``TILE`` vectors of one label. They are slices along the
-first axis, as two unit vectors within the threshold are close on every axis: only
-tiles whose ranges come that close meet. A slice with too many vectors, such as
-thousands of copies of one, is dealt into several tiles by a hash. A task compares
-two tiles; it returns counts per vector and links that span what it connected, so
-its output is as long as its tiles and never as long as the pairs it found.
+Equal vectors of a label are one vector with a weight: they are found by a 128-bit
+hash on narrow rows, and only one of them is compared, so thousands of copies cost
+as much as one. Tiles hold about ``TILE`` vectors of one label. They are cells of a
+grid over the first two axes, at quantiles of the vectors themselves: two unit
+vectors within the threshold are close in that plane, so only tiles come together
+whose ranges are. A cell with too many vectors is dealt into several tiles by a hash.
+A task compares two tiles; it returns counts per vector and links that span what it
+connected, so its output is as long as its tiles and never as long as the pairs it found.
 
 Defined results
     null, zero or not finite  a vector with such values links with nothing; the
                               same for a null label and for vectors of another width
-    repeated ids              one row remains, the least by label and vector
-    null id                   such rows count as one, which links with nothing
+    repeated rows             one row remains of those with the same id, label and vector
+    repeated ids              each vector is compared and has its row; classes of equal
+                              vectors whose least id is the same share a component
+    null id                   links with nothing
     empty table               an empty result
     other columns             not kept
     labels                    of any type; those that are not whole numbers are compared by hash
@@ -31,23 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.graph import components, union
 from marginalia.session import cut
 
 TILE, SAMPLE, SLICES, AXES = 1024, 4096, 4096, 16
+#: Places that the tiles of one stretch of the first axis are dealt to where tiles meet.
+SALTS = 16
 SLACK = 1e-9
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """Rows that can link, with their width ``dim``."""
+def usable() -> Column:
+    """Whether a row can link."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
-    return rows.where(good).where(fine & some).withColumn("dim", F.size(v))
+    return F.coalesce(good & fine & some, F.lit(False))
 
 
 def principal_axes(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
@@ -97,7 +103,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, th
 
 def _compare(threshold: float, axes: dict[int, np.ndarray]):
     def task(pair: pd.DataFrame) -> pd.DataFrame:
-        ids, side = pair["id"].to_numpy(), pair["side"].to_numpy()
+        ids, side, weight = pair["id"].to_numpy(), pair["side"].to_numpy(), pair["n"].to_numpy()
         x = units(np.array(pair["embedding"].tolist(), np.float64))
         r = x @ axes[x.shape[1]] if x.shape[1] in axes else x
         own = not side.any()
@@ -109,9 +115,9 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
             i, j = close_pairs(x[rows], x[b], r[rows], r[b], threshold)
             i, j = rows[i], b[j]
             i, j = i[i != j], j[i != j]
-            np.add.at(links, i, 1)
+            np.add.at(links, i, weight[j])
             if not own:
-                np.add.at(links, j, 1)
+                np.add.at(links, j, weight[i])
             union(label, i, j)
         on = np.flatnonzero(links)
         return pd.DataFrame({"id": ids[on], "links": links[on], "other": ids[label[on]]})
@@ -119,46 +125,65 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
     return task
 
 
+def _quantiles(rows: DataFrame, keys: list[str], lead: str, name: str, size: Column) -> DataFrame:
+    """``rows`` with ``name``: slices of about ``size`` rows of each key along ``lead``. ``size`` is a column of ``rows``."""
+    fine = F.floor((F.col(lead) + 1) / 2 * SLICES)
+    counts = rows.groupBy(*keys, fine.alias("fine")).agg(F.count(F.lit(1)).alias("count"), F.first(size).alias("size"))
+    w = Window.partitionBy(*keys).orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.select(*keys, "fine", F.floor(F.coalesce(F.sum("count").over(w), F.lit(0)) / F.col("size")).alias(name))
+    return rows.withColumn("fine", fine).join(slices, [*keys, "fine"]).drop("fine")
+
+
+def _meeting(tiles: DataFrame, reach: float) -> DataFrame:
+    """``tile, tile_b, pair`` of the tiles that may hold two vectors within ``reach``, each pair once.
+
+    Tiles are placed in the stretches of the first axis that they touch, the second
+    side with the reach added; of the stretches that two share the first counts.
+    """
+    wide = max(reach, 1 / 64)
+    at = lambda c: F.floor(c / wide)
+    own = tiles.withColumn("cell", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi"))))).withColumn("salt", F.pmod("tile", F.lit(SALTS)))
+    other = tiles.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi", "lo2", "hi2", "slice", "sub", "part")])
+    other = other.withColumn("cell", F.explode(F.sequence(at(F.col("lo_b") - reach), at(F.col("hi_b") + reach))))
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    apart = lambda lo, hi: F.greatest(F.col(f"{lo}_b") - F.col(hi), F.col(lo) - F.col(f"{hi}_b"), F.lit(0.0))
+    first = F.greatest(at(F.col("lo")), at(F.col("lo_b") - reach))
+    return (
+        own.join(other, ["label", "dim", "cell", "salt"])
+        .where((F.struct("slice", "sub", "part") <= F.struct("slice_b", "sub_b", "part_b")) & (F.col("cell") == first))
+        .where(F.pow(apart("lo", "hi"), 2) + F.pow(apart("lo2", "hi2"), 2) <= reach * reach)
+        .select("tile", "tile_b", F.xxhash64("tile", "tile_b").alias("pair"))
+    )
+
+
 def _tiled(rows: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Rows once for each pair of tiles they meet in: ``pair, side, id, embedding``."""
+    """Rows once for each pair of tiles they meet in: ``pair, side, id, n, embedding``."""
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            first = np.zeros(len(batch))
+            plane = np.zeros((len(batch), 2))
             for dim, at in batch.groupby("dim").indices.items():
                 x = units(np.array(batch["embedding"].iloc[at].tolist(), np.float64))
-                first[at] = x @ axes[dim][:, 0] if dim in axes else x[:, 0]
-            yield batch.assign(lead=first)
-
-    led = cut(rows.select("id", "label", "dim", "embedding").mapInPandas(leading, "id long, label long, dim int, embedding array<double>, lead double"))
-    # each label cut into as many slices as it has tiles, at quantiles of its own leading values
-    fine = F.floor((F.col("lead") + 1) / 2 * SLICES)
-    counts = led.groupBy("label", "dim", fine.alias("fine")).count()
-    w = Window.partitionBy("label", "dim").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counts.select(
-        "label", "dim", "fine", F.floor(F.coalesce(F.sum("count").over(w), F.lit(0)) / TILE).alias("slice")
-    )
-    sliced = led.withColumn("fine", fine).join(slices, ["label", "dim", "fine"]).drop("fine")
-    full = sliced.groupBy("label", "dim", "slice").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).alias("parts"), F.min("lead").alias("lo"), F.max("lead").alias("hi")
-    )
-    tiles = full.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn(
-        "tile", F.xxhash64("label", "dim", "slice", "part")
-    )
-    reach = math.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK
-    other = tiles.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi", "slice", "part")])
-    meets = (
-        tiles.join(other, ["label", "dim"])
-        .where((F.struct("slice", "part") <= F.struct("slice_b", "part_b")) & (F.col("lo_b") - F.col("hi") <= reach) & (F.col("lo") - F.col("hi_b") <= reach))
-        .select("tile", "tile_b", F.xxhash64("tile", "tile_b").alias("pair"))
-    )
+                turned = x @ axes[dim][:, :2] if dim in axes else x[:, :2]
+                plane[at, : turned.shape[1]] = turned
+            yield batch.assign(lead=plane[:, 0], lead2=plane[:, 1])
+
+    columns = "id long, n long, label long, dim int, embedding array<double>, lead double, lead2 double"
+    led = cut(rows.select("id", "n", "label", "dim", "embedding").mapInPandas(leading, columns))
+    # a label of n vectors has n / TILE tiles: as many slices along the first axis as each has along the second
+    totals = led.groupBy("label", "dim").agg((F.ceil(F.sqrt(F.ceil(F.count(F.lit(1)) / TILE))) * TILE).alias("wide"))
+    sliced = _quantiles(led.join(totals, ["label", "dim"]), ["label", "dim"], "lead", "slice", F.col("wide")).drop("wide")
+    sliced = _quantiles(sliced, ["label", "dim", "slice"], "lead2", "sub", F.lit(TILE))
+    place = ["label", "dim", "slice", "sub"]
+    ends = [f(c).alias(n) for c, lo, hi in (("lead", "lo", "hi"), ("lead2", "lo2", "hi2")) for f, n in ((F.min, lo), (F.max, hi))]
+    full = sliced.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"), *ends)
+    tiles = full.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("tile", F.xxhash64(*place, "part"))
+    meets = _meeting(tiles, math.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK)
     sides = meets.select("tile", "pair", F.lit(0).cast("byte").alias("side")).union(
         meets.where("tile <> tile_b").select("tile_b", "pair", F.lit(1).cast("byte"))
     )
-    placed = sliced.join(full.select("label", "dim", "slice", "parts"), ["label", "dim", "slice"]).withColumn(
-        "tile", F.xxhash64("label", "dim", "slice", F.pmod(F.xxhash64("id"), F.col("parts")))
-    )
-    return placed.select("tile", "id", "embedding").join(sides, "tile").select("pair", "side", "id", "embedding")
+    placed = sliced.join(full.select(*place, "parts"), place).withColumn("tile", F.xxhash64(*place, F.pmod(F.xxhash64("id"), F.col("parts"))))
+    return placed.select("tile", "id", "n", "embedding").join(sides, "tile").select("pair", "side", "id", "n", "embedding")
 
 
 def near_duplicates(
@@ -168,20 +193,29 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = 0.93,
 ) -> DataFrame:
-    """One row per id: ``vec_id, n_links, component_id, kept`` under the name of ``id_col``."""
+    """One row per vector: ``vec_id, n_links, component_id, kept`` under the name of ``id_col``."""
     whole = dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint")
     label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    rows = rows.groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("id", "r.label", "r.embedding")
-    good = usable(rows)
-    axes = principal_axes(good, good.count())
+    rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64("embedding", F.lit("second")))
+    same = ["label", "h1", "h2"]
+    marked = cut(rows.select("id", *same, usable().alias("good")).distinct())
+    groups = cut(marked.where("good").groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    firsts = rows.join(groups, [*same, "id"]).dropDuplicates([*same, "id"])
+    good = firsts.select("id", "n", "label", F.size("embedding").alias("dim"), "embedding")
+    axes = principal_axes(good, groups.count())
     found = cut(_tiled(good, axes, threshold).groupBy("pair").applyInPandas(_compare(threshold, axes), "id long, links long, other long"))
     roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    out = rows.select("id").join(counts, "id", "left").join(roots, "id", "left")
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    # a row for each group of equal vectors: what it links to, and its component
+    told = cut(groups.join(counts, "id", "left").join(roots, "id", "left").select(
+        *same, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"), F.lit(True).alias("good")
+    ))
+    out = marked.join(told, [*same, "good"], "left")
+    component = F.coalesce("root", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("root", "id").alias("component_id"),
-        (F.coalesce("root", "id").eqNullSafe(F.col("id"))).alias("kept"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("id")).alias("kept"),
     )

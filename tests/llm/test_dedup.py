@@ -195,6 +195,24 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows) + len(odd)
 
 
+def test_many_copies_of_one_vector_cost_as_one(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    copies = spark.range(100_000).selectExpr("id AS vec_id", "array(1D, 2D, 3D) AS embedding", "1 AS label")
+    more = spark.createDataFrame([(200_000, [1.0, 2.0, 3.01], 1), (200_001, [-1.0, 0.0, 0.0], 1), (200_002, [1.0, 2.0, 3.0], 2), (7, [0.0, 1.0, 0.0], 1)], copies.schema)
+    got = embedding_dedup.near_duplicates(copies.unionByName(more)).groupBy("n_links", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 7, 1), (0, 200_001, 1), (0, 200_002, 1), (100_000, 0, 100_001)]
+
+
+def test_tiles_meet_where_their_vectors_may(spark):
+    rng = np.random.default_rng(6)
+    boxes = [(i, *np.sort(rng.uniform(-1, 1, 2)).tolist(), *np.sort(rng.uniform(-1, 1, 2)).tolist()) for i in range(60)]
+    tiles = spark.createDataFrame([(1, 3, i, *b, i, 0, 0) for i, *b in boxes], "label long, dim int, tile long, lo double, hi double, lo2 double, hi2 double, slice long, sub long, part long")
+    gap = lambda a, b: max(a[0] - b[1], b[0] - a[1], 0.0)
+    for reach in (0.05, 0.4):
+        got = sorted((r.tile, r.tile_b) for r in embedding_dedup._meeting(tiles, reach).collect())
+        assert got == [(i, j) for i, *a in boxes for j, *b in boxes if i <= j and gap(a[:2], b[:2]) ** 2 + gap(a[2:], b[2:]) ** 2 <= reach**2]
+
+
 def test_embeddings_with_text_labels(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
