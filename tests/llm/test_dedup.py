@@ -290,6 +290,60 @@ def test_a_smaller_document_that_holds_a_part_of_a_passage_hides_no_repeat(spark
     assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.similarity) == (0, 50, 30, 80, 1.0) for r in got)
 
 
+def test_near_copies_behind_a_part_of_their_passage_are_found(spark):
+    """An edited part in the smallest document, a passage, and the passage with one word changed."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows, n = [], 150
+    for i in range(0, 3 * n, 3):
+        passage = words(55)
+        changed = [*passage]
+        changed[rng.randrange(8, 47)] = "changed"
+        rows += [(i, " ".join(passage[:42] + words(30))), (i + 1, " ".join(words(30) + passage)), (i + 2, " ".join(changed + words(25)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert all(r.doc_id == r.other_id + 1 and r.doc_id % 3 == 2 for r in got)
+    assert len({r.doc_id for r in got}) >= 0.98 * n
+
+
+def test_a_repeat_beside_an_edited_passage_in_the_smallest_document_is_found(spark):
+    rng = random.Random(22)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows, n = [], 100
+    for i in range(0, 3 * n, 3):
+        passage = words(55)
+        edited = [w if k not in (15, 35) else "edited" for k, w in enumerate(passage)]
+        rows += [(i, " ".join(edited + words(30))), (i + 1, " ".join(words(30) + passage)), (i + 2, " ".join(words(9) + passage + words(25)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.other_id == r.doc_id - 1} >= {i + 2 for i in range(0, 3 * n, 3)}
+
+
+def test_windows_agree_where_their_beginnings_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, length = 9, 6
+        c, d = rng.integers(10, 40, n), rng.integers(10, 40, n)
+        kinds = rng.choice([0, 1, 2], n)
+        pack = lambda x: np.array([int(substring_dedup.packed(x[i : i + 1], x[i : i + 1] - rng.integers(0, 9), x[i : i + 1] + rng.integers(0, 9), int(kinds[i]))[0]) for i in range(n)])
+        at, other = pack(c), pack(d)
+        (a0, a1), (b0, b1) = substring_dedup.beginnings(at, length), substring_dedup.beginnings(other, length)
+        want = np.zeros(n, bool)
+        for x in range(60):
+            for y in range(60):
+                here = (a0 <= x) & (x <= a1) & (b0 <= y) & (y <= b1)
+                if len(set(kinds[here])) >= 2:
+                    want |= here
+        assert (substring_dedup.agreeing(at, other, length, 2) == want).all()
+
+
+def test_passages_in_very_long_and_repetitive_texts(spark):
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(n)]
+    passage = words(60)
+    rows = [(1, " ".join(words(120_000) + passage)), (2, " ".join(passage + words(90_000))), (3, "same " * 50_000), (4, "same " * 40_000), (5, "x" * 1_000_000)]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(2, 1), (4, 3)}
+
+
 def test_passages_with_a_changed_word_are_found(spark):
     rng = random.Random(3)
     words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
