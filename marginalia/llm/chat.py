@@ -4,9 +4,10 @@ A conversation becomes one text in which every turn stands between marks. Inside
 roles and texts the characters that could form a mark are replaced by entities,
 which also makes the text reversible: ``read_turns`` gives the turns back. Each
 assistant turn is then an example of its own: all before it is context, its reply
-alone is trainable. An example is a span of the one text, so a conversation of n
-turns takes space for n turns and not for all its prefixes; ``with_context`` cuts
-the texts out where a trainer wants them.
+alone is trainable. At rest an example is a span of the one text, so a conversation
+of n turns takes space for n turns and not for all its prefixes; ``expand_examples``
+cuts context and target out, a row at a time and without a shuffle, and ``read_back``
+takes what is trainable from those rows.
 
 A conversation's turns meet in one task, as its text must be one value; different
 conversations spread over all tasks by their id.
@@ -75,13 +76,7 @@ def format_conversations(
 
 
 def expand_examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: ``conv_id, example, loss_start, loss_end``."""
-    spans = formatted.select("conv_id", F.posexplode("loss").alias("example", "s"))
-    return spans.select("conv_id", "example", F.col("s.start").alias("loss_start"), F.col("s.end").alias("loss_end"))
-
-
-def with_context(formatted: DataFrame) -> DataFrame:
-    """Examples as texts: ``conv_id, example, context, target``; only the target is trainable."""
+    """One row per assistant turn: ``conv_id, example, context, target``; only the target is trainable."""
     spans = formatted.select("conv_id", "formatted", F.posexplode("loss").alias("example", "s"))
     return spans.select(
         "conv_id",
@@ -91,28 +86,23 @@ def with_context(formatted: DataFrame) -> DataFrame:
     )
 
 
-def read_turns(formatted: DataFrame) -> DataFrame:
-    """The turns of each text, as they were before: ``conv_id, no, role, text``, with ``start`` and ``end`` of the body."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("formatted", F.lit(TURN), 1).alias("role"), F.regexp_extract_all("formatted", F.lit(TURN), 2).alias("body")
-    )
-    turns = formatted.select("conv_id", F.posexplode(pairs).alias("no", "t")).select("conv_id", "no", "t.role", "t.body")
-    order = Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head, body = F.length("role") + len(OPEN) + len(MIDDLE), F.length("body")
-    end = F.sum(head + body + len(CLOSE)).over(order) - len(CLOSE)
-    return turns.withColumn("end", end).select(
-        "conv_id", "no", unescape(F.col("role")).alias("role"), unescape(F.col("body")).alias("text"), (F.col("end") - body).alias("start"), "end"
-    )
+def read_turns(formatted: Column) -> Column:
+    """The turns of a text, as they were before: an array of ``role, text``."""
+    pairs = F.arrays_zip(F.regexp_extract_all(formatted, F.lit(TURN), 1).alias("role"), F.regexp_extract_all(formatted, F.lit(TURN), 2).alias("text"))
+    return F.transform(pairs, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+
 
+def read_back(formatted: DataFrame) -> DataFrame:
+    """``conv_id, formatted, turns, loss_text, examples, context_chars``: what the texts and their examples say.
 
-def read_back(formatted: DataFrame, examples: DataFrame) -> DataFrame:
-    """``conv_id, turns, loss_text``: what the text and the examples' spans say, unescaped."""
-    spans = examples.select(F.col("conv_id").alias("_c"), F.col("loss_start").alias("_s"), F.col("loss_end").alias("_e"))
-    turns = read_turns(formatted)
-    seen = turns.join(
-        spans, turns.conv_id.eqNullSafe(spans._c) & (turns.start == spans._s) & (turns.end == spans._e), "left"
+    ``loss_text`` is all targets of a conversation, unescaped, in the order of its examples.
+    """
+    examples = expand_examples(formatted)
+    target = F.struct("example", unescape(F.col("target")).alias("text"))
+    told = examples.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(target)).alias("_t"), F.count(F.lit(1)).alias("examples"), F.sum(F.length("context")).alias("context_chars")
     )
-    row = F.struct("no", "role", "text", F.col("_s").isNotNull().alias("masked"))
-    rows = seen.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    masked = F.filter("turns", lambda t: t.masked)
-    return rows.withColumn("loss_text", F.array_join(F.transform(masked, lambda t: t.text), ""))
+    told = told.select(F.col("conv_id").alias("_c"), F.array_join("_t.text", "").alias("loss_text"), "examples", "context_chars")
+    rows = formatted.withColumn("turns", read_turns(F.col("formatted"))).join(told, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("conv_id", "formatted", "turns", F.coalesce("loss_text", F.lit("")).alias("loss_text"), zero("examples"), zero("context_chars"))

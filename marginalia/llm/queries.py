@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, quality, secrets, simhash, substring_dedup, token_files
-from marginalia.session import table
+from marginalia.session import cut, table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,26 +64,25 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
     trial = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles)
     trial = trial.withColumn("turn", F.col("turn").cast("long")).withColumn("text", F.lit("\\### Assistant: </turn> ok"))
-    formatted = chat.format_conversations(stored.unionByName(trial))
-    back = chat.read_back(formatted, chat.expand_examples(formatted))
+    # written once: the texts are read for their turns and again for their examples
+    back = chat.read_back(cut(chat.format_conversations(stored.unionByName(trial))))
     turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    digests = back.select(
-        F.col("conv_id").alias("_c"),
+    return back.select(
+        "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
-    )
-    sizes = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
-    return sizes.join(digests, sizes.conv_id.eqNullSafe(digests._c)).select(
-        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("examples").alias("n_examples"),
+        "context_chars",
     )
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    samples = secrets.random_strings(spark).unionByName(secrets.samples_of(docs, "doc_id", "text"))
-    found = secrets.scan(docs, secrets.train(samples))
+    models, _ = secrets.learnt(docs)
+    found = secrets.scan(docs, models)
     return found.select(
         "doc_id",
         *[secrets.count_of(F.col("base_spans"), k).alias(f"n_{b[0]}") for k, b in enumerate(secrets.BASE)],
@@ -113,14 +112,18 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 f AS (
-  SELECT *, length(role) + length(text) + 4 * (length(role || text) - length(replace(role || text, '&', '')))
-         + 3 * (length(role || text) - length(replace(replace(role || text, '<', ''), '>', ''))) + 20 AS chars FROM c)
+  SELECT *, length(role) + 4 * (length(role) - length(replace(role, '&', ''))) + 3 * (length(role) - length(replace(replace(role, '<', ''), '>', ''))) + 12 AS head,
+         length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(replace(text, '<', ''), '>', ''))) + 8 AS tail FROM c),
+p AS (
+  SELECT *, sum(head + tail) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tail AS context FROM f)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
-FROM f GROUP BY conv_id
+       sum(head + tail)::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples,
+       coalesce(sum(context) FILTER (role = 'assistant'), 0)::BIGINT AS context_chars
+FROM p GROUP BY conv_id
 """
 
 OP7_SQL = """
