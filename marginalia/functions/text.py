@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -64,23 +66,47 @@ def model_id(family: str, version: str, quantisation: str, pooling: str, dimensi
 
 def hashed_vector(tokens: list[str], dimension: int) -> np.ndarray:
     """Words, pairs and triples with weights 1, 2 and 3, each at a hashed place with a hashed sign; unit length."""
+    return _hashed([t.encode() for t in tokens], dimension)
+
+
+def _hashed(tokens: list[bytes], dimension: int) -> np.ndarray:
     v = np.zeros(dimension)
-    for n in (1, 2, 3):
-        for i in range(len(tokens) - n + 1):
-            h = int.from_bytes(blake2b(" ".join(tokens[i : i + n]).encode(), digest_size=8).digest(), "big")
-            v[h % dimension] += n if h >> 32 & 1 else -n
     if not tokens:
         v[0] = 1.0
+        return v
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    for n in range(1, min(3, len(tokens)) + 1):
+        spans = zip(starts[: len(tokens) - n + 1].tolist(), (ends[n - 1 :] - 1).tolist())
+        h = np.frombuffer(b"".join([blake2b(joined[a:b], digest_size=8).digest() for a, b in spans]), ">u8")
+        sign = np.where(h >> np.uint64(32) & np.uint64(1), n, -n)
+        v += np.bincount((h % np.uint64(dimension)).astype(np.int64), sign, dimension)
     length = float(np.sqrt((v * v).sum()))
     return v / length if length else v
 
 
-def hash_embed(dimension: int = 128):
-    """A UDF from the array of a text's words to its vector; null where the words cancel out."""
+def hashed_texts(dimension: int = 128) -> Callable[[list[str | None]], np.ndarray]:
+    """An embedder: texts to a matrix of :func:`hashed_vector` of their words."""
+    find = re.compile(rb"[a-z0-9\x80-\xff]+").findall
+    return lambda texts: np.array([_hashed(find((t or "").encode("utf-8", "surrogatepass").lower()), dimension) for t in texts])
+
+
+def embedded(embedder: Callable[[list[str | None]], np.ndarray]):
+    """A UDF from texts to vectors by any embedder, a function from a list of texts to a matrix; null for a zero vector.
+
+    The embedder travels to the tasks and is called a batch at a time, so a model is
+    loaded once a worker where it keeps it.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(tokens: pd.Series) -> pd.Series:
-        vectors = (hashed_vector([] if t is None else list(t), dimension) for t in tokens)
-        return pd.Series([v.tolist() if v.any() else None for v in vectors], dtype=object)
+    def embed(texts: pd.Series) -> pd.Series:
+        rows = embedder(texts.tolist()) if len(texts) else []
+        return pd.Series([row if row.any() else None for row in rows], dtype=object)
 
     return embed
+
+
+def hash_embed(dimension: int = 128):
+    """A UDF from a text to its hashed vector; null where its words cancel out."""
+    return embedded(hashed_texts(dimension))

@@ -7,8 +7,11 @@ search reads ``probes / cells`` of the vectors and ranks them exactly.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.vectors import as_doubles, dot
 from marginalia.operators import topics
@@ -21,11 +24,22 @@ def build(vectors: DataFrame, centres: list[list[float]]) -> DataFrame:
     return topics.assign(points, centres).select("segment", "slot", F.col("cluster").alias("cell"), F.col("_v").alias("vector"))
 
 
+def probed_cells(centres: list[list[float]], probes: int):
+    """A UDF: the ``probes`` cells whose centres are most like a vector, ties to the first."""
+    c = np.array(centres, np.float64).T
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def of(vectors: pd.Series) -> pd.Series:
+        scores = np.stack(vectors.to_numpy()) @ c if len(vectors) else np.zeros((0, c.shape[1]))
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)), dtype=object)
+
+    return of
+
+
 def search(index: DataFrame, queries: DataFrame, centres: list[list[float]], probes: int, k: int) -> DataFrame:
     """``q, segment, slot, score, rk`` of ``queries(q, qv)``."""
-    scores = F.transform(topics.constant(centres), lambda c, i: F.struct((-dot(F.col("_q"), c)).alias("s"), i.alias("cell")))
-    asked = queries.select("q", as_doubles(F.col("qv")).alias("_q")).withColumn("near", F.slice(F.array_sort(scores), 1, probes))
-    probed = asked.select("q", "_q", F.explode("near.cell").alias("cell"))
+    asked = queries.select("q", as_doubles(F.col("qv")).alias("_q"))
+    probed = asked.select("q", "_q", F.explode(probed_cells(centres, probes)("_q")).alias("cell"))
     return topk(index.join(probed, "cell").withColumn("score", dot(F.col("vector"), F.col("_q"))).select("q", "segment", "slot", "score"), k)
 
 

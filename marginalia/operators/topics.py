@@ -1,20 +1,25 @@
 """Topics: deterministic spherical k-means over live vectors, and its report.
 
-Points stay in the table. A round broadcasts the centres, k of them and at most
-twenty by default, assigns in the scan and aggregates sums per cluster and axis.
+Points stay in the table. A round sends the centres, k of them and at most twenty by
+default, to the scan; there a matrix product in Arrow batches assigns the points, and
+each task adds up one vector per cluster before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.functions.vectors import as_doubles, dot
+from marginalia.functions.vectors import as_doubles
 
-ITERATIONS, EXAMPLES, LOOSE = 25, 3, 0.45
+ITERATIONS, EXAMPLES, LOOSE, STILL = 25, 3, 0.45, 1e-12
 
 
 def default_count(n: int) -> int:
@@ -23,10 +28,22 @@ def default_count(n: int) -> int:
     return min(max(math.floor(math.sqrt(n / 2) + 0.5), 2), 20)
 
 
-def constant(centres: list[list[float]]) -> Column:
-    """The centres as one constant: an array of arrays that Catalyst folds to a literal."""
-    rows = ("array(" + ", ".join(f"{float(x)!r}D" for x in c) + ")" for c in centres)
-    return F.expr("array(" + ", ".join(rows) + ")")
+def matrix(values: pa.Array) -> np.ndarray:
+    """An array of equally long lists as rows."""
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def nearest(centres: list[list[float]]):
+    """A UDF: ``cluster, similarity`` of the centre most like a vector, ties to the first."""
+    c = np.array(centres, np.float64).T
+
+    @F.pandas_udf(T.StructType().add("cluster", T.IntegerType()).add("similarity", T.DoubleType()))
+    def of(vectors: pd.Series) -> pd.DataFrame:
+        scores = np.stack(vectors.to_numpy()) @ c if len(vectors) else np.zeros((0, c.shape[1]))
+        at = scores.argmax(axis=1)
+        return pd.DataFrame({"cluster": at.astype(np.int32), "similarity": scores[np.arange(len(at)), at]})
+
+    return of
 
 
 def seed(points: DataFrame, k: int) -> list[list[float]]:
@@ -37,8 +54,8 @@ def seed(points: DataFrame, k: int) -> list[list[float]]:
     first = points.orderBy("segment", "slot").first()
     chosen, seen = [list(first["_v"])], {(first["segment"], first["slot"])}
     while len(chosen) < k:
-        nearest = F.array_max(F.transform(constant(chosen), lambda c: dot(F.col("_v"), c)))
-        far = points.select("segment", "slot", "_v", nearest.alias("near")).orderBy("near", "segment", "slot").first()
+        near = points.select("segment", "slot", "_v", nearest(chosen)("_v").alias("n"))
+        far = near.orderBy("n.similarity", "segment", "slot").first()
         if (far["segment"], far["slot"]) in seen:
             break
         seen.add((far["segment"], far["slot"]))
@@ -48,15 +65,29 @@ def seed(points: DataFrame, k: int) -> list[list[float]]:
 
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """``cluster, similarity``: the nearest centre, ties to the first."""
-    scored = F.transform(constant(centres), lambda c, i: F.struct(dot(F.col("_v"), c).alias("s"), (-i).alias("i")))
-    best = F.array_max(scored)
-    return points.withColumn("_best", best).withColumn("cluster", (-F.col("_best.i")).cast("int")).withColumn("similarity", F.col("_best.s")).drop("_best")
+    return points.withColumn("_best", nearest(centres)("_v")).select(*points.columns, "_best.cluster", "_best.similarity")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's points added up: a row per cluster."""
+    totals: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        v, cluster = matrix(batch["_v"]), batch["cluster"].to_numpy()
+        for c in np.unique(cluster).tolist():
+            rows = v[cluster == c]
+            n, held = totals.get(c, (0, 0.0))
+            totals[c] = (n + len(rows), held + rows.sum(axis=0))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(totals, pa.int32()), pa.array([n for n, _ in totals.values()], pa.int64()), pa.array([list(x) for _, x in totals.values()], pa.list_(pa.float64()))],
+        ["cluster", "n", "sums"],
+    )
 
 
 def centroids(assigned: DataFrame) -> DataFrame:
-    """``cluster, n, sums``: sums per axis, added up before the shuffle."""
-    axes = assigned.select("cluster", F.posexplode("_v").alias("axis", "x"))
-    sums = axes.groupBy("cluster", "axis").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    """``cluster, n, sums``: sums per axis, added up in each task before the shuffle."""
+    parts = assigned.select(F.col("cluster").cast("int").alias("cluster"), "_v").mapInArrow(_sums, "cluster int, n long, sums array<double>")
+    axes = parts.select("cluster", "n", F.posexplode("sums").alias("axis", "x"))
+    sums = axes.groupBy("cluster", "axis").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     row = F.array_sort(F.collect_list(F.struct("axis", "x")))
     return sums.groupBy("cluster").agg(F.max("n").alias("n"), row.alias("r")).select("cluster", "n", F.col("r.x").alias("sums"))
 
@@ -69,20 +100,18 @@ def fit(vectors: DataFrame, k: int | None = None, iterations: int = ITERATIONS)
         k = min(k or default_count(n), n)
         if k < 2:
             return []
-        centres = seed(points, k)
-        mark = None
+        centres = np.array(seed(points, k))
         for _ in range(iterations):
-            placed = assign(points, centres)
-            seen = placed.agg(F.sum(F.pmod(F.xxhash64("segment", "slot", "cluster"), F.lit(1 << 31)))).first()[0]
-            if seen == mark:
-                break
-            mark = seen
-            for row in centroids(placed).collect():  # k rows
+            moved = centres.copy()
+            for row in centroids(assign(points, centres.tolist())).collect():  # k rows
                 sums = np.array(row["sums"])
                 length = float(np.linalg.norm(sums))
                 if length > 0:
-                    centres[row["cluster"]] = (sums / length).tolist()
-        return centres
+                    moved[row["cluster"]] = sums / length
+            still, centres = np.allclose(moved, centres, rtol=0, atol=STILL), moved
+            if still:  # nothing has changed its cluster: only the order of additions may differ
+                break
+        return centres.tolist()
     finally:
         points.unpersist()
 

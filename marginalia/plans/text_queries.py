@@ -223,7 +223,7 @@ def fn_utf8_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    v = docs.select("doc_id", text.hash_embed(64)(text.words(F.col("text"))).alias("v"))
+    v = docs.select("doc_id", text.hash_embed(64)("text").alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 

@@ -46,7 +46,7 @@ def entries(spark: SparkSession, index: str) -> DataFrame:
 
 
 def embedded(passages: DataFrame, column: str = "text", dimension: int = DIMENSION) -> DataFrame:
-    return passages.withColumn("vector", text.hash_embed(dimension)(text.words(F.col(column))))
+    return passages.withColumn("vector", text.hash_embed(dimension)(column))
 
 
 def build(notes: DataFrame, index: str, dimension: int = DIMENSION) -> DataFrame:

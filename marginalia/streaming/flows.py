@@ -25,6 +25,9 @@ def debounced(hints: DataFrame, quiet_ms: int = QUIET_MS, max_delay_ms: int = MA
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # hints of nobody only move the watermark on
+            yield pd.DataFrame([], columns=["vault", "path", "renamed", "flushed_at"])
+            return
         pending, oldest, newest = state.get if state.exists else ("", -1, -1)
         held = dict(x.rsplit("\x01", 1) for x in pending.split("\x02") if x)
         out = []

@@ -36,5 +36,6 @@ def test_query_equals_its_sql(spark, sql, name):
 
 
 def test_the_entry_point(spark):
-    assert __spark_entry__.entry(spark).count() == 50
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert __spark_entry__.entry(spark).count() == 10 * asked > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
