@@ -3,6 +3,15 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written and
 read again as the next one's documents. All but the last return the columns of
 documents; the last returns the ids that each document encodes to.
+
+Defined results
+    null or empty text   the empty text: scored like any other, one of them stays
+    null id              never dropped for another's sake but where its text is an exact copy
+    repeated ids         each row is a document of its own in every stage
+    no usable labels     nothing can be ranked: every score is 0.5 and all documents stay
+    empty table          an empty result
+    near copies          pairs whose sets of five-word shingles are similar to 0.8 or
+                         more, exactly; their classes are what such links reach
 """
 
 from __future__ import annotations

@@ -6,9 +6,11 @@ repeats; the fold is a union of sets, so it is one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import numbered
+
 TIER_RATIO = 4
 
 
@@ -85,7 +87,7 @@ def fetch_order(state: DataFrame, present: DataFrame) -> DataFrame:
     """Segments that are added and not here: those nobody replaces first, then by id."""
     absent = state.where(F.col("count") > 0).join(present, "segment", "left_anti")
     replaced = F.size("superseded_by") > 0
-    return absent.select("segment", replaced.alias("replaced"), F.row_number().over(Window.orderBy(replaced, "segment")).cast("long").alias("place"))
+    return numbered(absent.select("segment", replaced.alias("replaced")), ["replaced", "segment"])
 
 
 def plan_compaction(

@@ -79,8 +79,12 @@ def compaction_watermark(reports: DataFrame, devices: DataFrame, produced: DataF
     """
     known = devices.join(reports, "device", "left")
     sources = produced.select("replica").distinct()
-    acked = known.where("clock IS NOT NULL").crossJoin(sources).select(F.coalesce(F.try_element_at("have", "replica"), F.lit(0)).alias("mark"))
-    low = acked.agg(F.min("mark").alias("acked"))
+    heard = known.where("clock IS NOT NULL")
+    # a source that fewer devices than all have heard of stands at 0
+    marks = heard.select("device", F.explode("have").alias("replica", "mark")).groupBy("replica").agg(F.count(F.lit(1)).alias("seen"), F.min("mark").alias("low"))
+    devices_heard = heard.agg(F.count(F.lit(1)).alias("all"))
+    acked = sources.join(marks, "replica", "left").crossJoin(F.broadcast(devices_heard)).where(F.col("all") > 0)
+    low = acked.agg(F.min(F.when(F.col("seen") == F.col("all"), F.col("low")).otherwise(0)).alias("acked"))
     each = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("clock").isNull()).alias("silent"), F.min("clock").alias("clock"))
     value = F.when((F.col("n") == 0) | (F.col("silent") > 0), F.lit(0)).otherwise(F.least("clock", F.coalesce("acked", "clock")))
     return each.crossJoin(low).select(value.cast("long").alias("watermark"))
@@ -91,10 +95,14 @@ def text_watermark(held: DataFrame, replicas: DataFrame) -> DataFrame:
 
     ``held(replica, origin, counter)``.
     """
+    known = replicas.select("replica").distinct()
     top = held.groupBy("replica", "origin").agg(F.max("counter").alias("top"))
-    origins = held.select("origin").distinct()
-    every = replicas.select("replica").distinct().crossJoin(origins).join(top, ["replica", "origin"], "left")
-    return every.groupBy("origin").agg(F.min(F.coalesce("top", F.lit(0))).alias("watermark"))
+    # origins that any replica holds; those that some known replica lacks stand at 0
+    marks = top.join(known.withColumn("_asked", F.lit(True)), "replica", "left").groupBy("origin").agg(
+        F.count("_asked").alias("holders"), F.min(F.when(F.col("_asked"), F.col("top"))).alias("low")
+    )
+    total = F.broadcast(known.agg(F.count(F.lit(1)).alias("all")))
+    return marks.crossJoin(total).where(F.col("all") > 0).select("origin", F.when(F.col("holders") == F.col("all"), F.col("low")).otherwise(0).alias("watermark"))
 
 
 def report_have(cursors: DataFrame, own: DataFrame) -> DataFrame:
@@ -109,6 +117,11 @@ def stale_sources(produced: DataFrame, cursors: DataFrame) -> DataFrame:
     return joined.where(F.col("counter") > F.coalesce("_served", F.lit(0))).select("replica", "counter", F.coalesce("_served", F.lit(0)).alias("served"))
 
 
+def last_id(counter: Column, kind: Column, length: Column, count: Column) -> Column:
+    """The last id that an operation consumes; the one before its own where it consumes none."""
+    return counter + op_span(kind, length, count) - 1
+
+
 def op_span(kind: Column, length: Column, count: Column) -> Column:
     """Ids that an operation consumes: one per character or per deleted character."""
     return F.when(kind == "insert", length).otherwise(count)

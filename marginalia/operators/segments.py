@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.session import numbered
+
 
 def contents(entries: DataFrame) -> DataFrame:
     """``object, content``: a digest of each object's ranges and vectors in order."""
@@ -50,14 +52,34 @@ def compact(entries: DataFrame, dead: DataFrame, inputs: DataFrame) -> tuple[Dat
     name = live.agg(F.concat(F.lower(F.hex(F.sum(F.pmod(mark, F.lit(1 << 40))))), F.lit("-"), F.count(F.lit(1)).cast("string")).alias("merged"))
     name = name.join(inputs.select(F.col("segment").alias("merged")), "merged", "left_anti")
     base = live.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.select("segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = numbered(base, ["segment"], "base", F.col("n")).select("segment", "base")
     inside = F.row_number().over(Window.partitionBy("segment").orderBy("slot")) - 1
     merged = live.withColumn("_in", inside).join(placed, "segment").crossJoin(F.broadcast(name))
     rows = merged.withColumn("slot", (F.col("base") + F.col("_in")).cast("long")).withColumn("segment", F.col("merged")).drop("_in", "base", "merged")
     return rows, inputs.crossJoin(F.broadcast(name)).select("segment", F.col("merged").alias("superseded_by"))
 
 
+def opened(manifest: DataFrame, entries: DataFrame, model: str, dimension: int) -> DataFrame:
+    """Every segment that ``manifest(segment, model, dimension, count, digest)`` names: ``segment, refused``.
+
+    ``refused`` is null where the segment may be searched, and else says why not: it is
+    of another model or width, its entries are missing, fewer or more than were
+    written, or not the ones whose digest was stored.
+    """
+    held = digests(entries).select("segment", F.col("count").alias("_count"), F.col("digest").alias("_digest"))
+    reason = F.when(F.col("model") != model, "model-mismatch").when(F.col("dimension") != dimension, "width-mismatch").when(
+        F.col("_count").isNull(), "missing"
+    ).when(F.col("_count") != F.col("count"), "truncated").when(F.col("_digest") != F.col("digest"), "damaged")
+    return manifest.join(held, "segment", "left").select("segment", reason.alias("refused"))
+
+
+def digests(entries: DataFrame) -> DataFrame:
+    """``segment, count, digest``: of a segment's slots and objects in order."""
+    row = F.concat_ws(":", "slot", "object")
+    listed = F.array_sort(F.collect_list(F.struct("slot", row.alias("row"))))
+    return entries.groupBy("segment").agg(F.count(F.lit(1)).alias("count"), F.sha2(F.array_join(listed.getField("row"), ","), 256).alias("digest"))
+
+
 def adoptable(segments: DataFrame, model: str, dimension: int) -> DataFrame:
     """Foreign segments that may be searched here, with the reason where one may not."""
     reason = F.when(F.col("model") != model, "model-mismatch").when(F.col("dimension") != dimension, "width-mismatch").when(

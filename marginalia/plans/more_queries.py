@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import codecs, text, vectors
 from marginalia.operators import chunker, manifest, oplog, retrieval, search, segments, snapshot, text_crdt, tree
 from marginalia.plans import log_queries, search_queries, text_queries
-from marginalia.session import table
+from marginalia.session import numbered, table
 
 
 def flt_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def proj_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proj_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("turn < 3")
+    turns = table(spark, sf_dir, "conversations")
     asked = turns.where("turn = 0").select(F.col("conv_id").alias("q"), F.md5("text").alias("question"))
     passages = turns.where("turn > 0").select(F.col("conv_id").alias("q"), F.col("turn").alias("place"), F.md5("text").alias("text"))
     return retrieval.prompt(asked, passages)
@@ -186,9 +186,13 @@ def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of the sorted listing of live files."""
-    lines = tree.paths(text_queries._nodes(spark, sf_dir)).select(F.struct("path", F.concat("path", F.lit("|"), "child", F.lit("|"), F.when(F.col("is_dir"), "d").otherwise("f")).alias("line")).alias("l"))
-    return lines.agg(F.md5(F.array_join(F.array_sort(F.collect_list("l")).getField("line"), "\n")).alias("state"))
+    """A digest of the live tree: of each folder's sorted listing, of the folders in each of 256 parts, and of the parts."""
+    line = F.concat("path", F.lit("|"), "child", F.lit("|"), F.when(F.col("is_dir"), "d").otherwise("f"))
+    rows = tree.paths(text_queries._nodes(spark, sf_dir)).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), line.alias("line"))
+    listed = lambda key, text: F.md5(F.array_join(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))).getField("t"), "\n"))
+    folders = rows.groupBy("folder").agg(listed("line", "line").alias("digest"))
+    parts = folders.groupBy(F.substring(F.md5("folder"), 1, 2).alias("part")).agg(listed("folder", "digest").alias("digest"))
+    return parts.agg(listed("part", "digest").alias("state"))
 
 
 def agg_tombstone_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +205,7 @@ def agg_log_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_compaction_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy("count", "segment")
-    return log_queries._sizes(spark, sf_dir).select("segment", "count", F.row_number().over(order).cast("long").alias("place"))
+    return numbered(log_queries._sizes(spark, sf_dir).select("segment", "count"), ["count", "segment"])
 
 
 def sort_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,13 +244,29 @@ def vec_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idx_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge of every hundredth order's slots: how many live rows, numbered without gaps."""
-    rows = log_queries.live_slots(spark, sf_dir).where("segment % 100 = 0").select(F.col("segment").cast("string").alias("segment"), "slot")
+    """Merge of all orders' slots: how many live rows, numbered without gaps."""
+    rows = log_queries.live_slots(spark, sf_dir).select(F.col("segment").cast("string").alias("segment"), "slot")
     dead = log_queries.dead_slots(spark, sf_dir).select(F.col("segment").cast("string").alias("segment"), "slot")
     merged, _ = segments.compact(rows, dead, rows.select("segment").distinct())
     return merged.agg(F.count(F.lit(1)).alias("live"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"))
 
 
+def idx_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as they were sealed, against entries of which some are lost, cut short or changed since."""
+    sealed = log_queries.live_slots(spark, sf_dir).withColumn("object", F.col("slot") * 7)
+    n = F.col("segment")
+    held = sealed.where((n % 31 != 0) & ~((n % 29 == 0) & (F.col("slot") == 1))).withColumn("object", F.when(n % 23 == 0, F.col("object") + 1).otherwise(F.col("object")))
+    manifest_ = segments.digests(sealed).withColumn("model", F.when(n % 11 == 0, "other").otherwise("own")).withColumn("dimension", F.when(n % 13 == 0, 32).otherwise(64))
+    return segments.opened(manifest_, held, "own", 64).select("segment", F.coalesce("refused", F.lit("opened")).alias("outcome"))
+
+
+def proj_last_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last id each operation consumes, the latest of each note."""
+    ops = text_queries._text_ops(spark, sf_dir)
+    last = oplog.last_id(F.col("counter"), F.col("kind"), F.size("text"), F.col("count"))
+    return ops.groupBy("object").agg(F.max(last).cast("long").alias("last_id"))
+
+
 def idx_put_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as objects of ten; every fourth object changes, the rest must be left alone."""
     base = table(spark, sf_dir, "embeddings").select(
@@ -274,7 +293,7 @@ QUERIES = {
         set_wants, set_devices, set_intersect_recall, win_best_broadcast, win_second_best, win_first_match_rank, win_ordinal, win_cited_flag,
         proj_op_span, proj_encode_tree, proj_basename, proj_prompt, proj_object_for_path, agg_coverage, agg_state_hash, agg_tombstone_count,
         agg_log_size, sort_compaction_inputs, sort_events, fn_is_substring, fn_atx_heading, fn_json_extract_string, vec_dot, vec_normalise,
-        idx_compact, idx_put_object, chunk_status,
+        idx_compact, idx_open, proj_last_id, idx_put_object, chunk_status,
     )
 }
 ORACLES = {
@@ -321,11 +340,15 @@ SELECT object, sum(n + CASE WHEN event_id % 5 = 0 THEN n ELSE 0 END)::BIGINT AS
     "proj_encode_tree": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS counter FROM customer",
     "proj_basename": "SELECT page_id, split_part(url, '/', -1) AS name FROM pages",
     "proj_prompt": """
-WITH p AS (SELECT conv_id, string_agg('[' || turn || '] ' || md5(text), chr(10) ORDER BY turn) AS body FROM conversations WHERE turn IN (1, 2) GROUP BY 1)
+WITH p AS (SELECT conv_id, string_agg('[' || turn || '] ' || md5(text), chr(10) ORDER BY turn) AS body FROM conversations WHERE turn > 0 GROUP BY 1)
 SELECT conv_id AS q, 'Question: ' || md5(text) || chr(10) || chr(10) || 'Passages:' || chr(10) || body AS prompt FROM conversations JOIN p USING (conv_id) WHERE turn = 0""",
     "agg_coverage": SLOTS + "SELECT count(*) FILTER (NOT dead) AS vault_passages, count(DISTINCT object) FILTER (NOT dead) AS vault_notes FROM e",
     "agg_state_hash": text_queries.NODES + """
-SELECT md5(string_agg(path || '|' || child || '|' || CASE WHEN is_dir THEN 'd' ELSE 'f' END, chr(10) ORDER BY path)) AS state FROM p WHERE top = 'root'""",
+
+, l AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path || '|' || child || '|' || CASE WHEN is_dir THEN 'd' ELSE 'f' END AS line FROM p WHERE top = 'root'),
+f AS (SELECT folder, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY folder),
+t AS (SELECT substr(md5(folder), 1, 2) AS part, md5(string_agg(digest, chr(10) ORDER BY folder)) AS digest FROM f GROUP BY 1)
+SELECT md5(string_agg(digest, chr(10) ORDER BY part)) AS state FROM t""",
     "agg_tombstone_count": f"""
 SELECT object, sum(n)::BIGINT AS nodes, coalesce(sum(n) FILTER (event_id % 5 = 0), 0)::BIGINT AS tombstones, coalesce(sum(n) FILTER (event_id % 5 <> 0), 0)::BIGINT AS length
 FROM ({TEXT_OPS}) GROUP BY 1""",
@@ -343,7 +366,15 @@ SELECT doc_id, count(*) AS headings FROM m WHERE regexp_matches(raw, '^[ ]{0,3}#
     "vec_dot": """
 SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1""",
     "vec_normalise": "SELECT vec_id, vec_id % 9 = 0 AS degenerate, CASE WHEN vec_id % 9 = 0 THEN 0 ELSE 1 END::DOUBLE AS norm FROM embeddings",
-    "idx_compact": SLOTS + "SELECT count(*) AS live, count(*) AS slots, count(*) - 1 AS last FROM e WHERE segment % 100 = 0 AND NOT dead",
+    "idx_compact": SLOTS + "SELECT count(*) AS live, count(*) AS slots, count(*) - 1 AS last FROM e WHERE NOT dead",
+    "idx_open": """
+WITH e AS (SELECT DISTINCT l_orderkey AS segment, l_linenumber AS slot FROM lineitem),
+s AS (SELECT segment, count(*) AS n, count(*) FILTER (slot = 1) AS firsts FROM e GROUP BY segment)
+SELECT segment, CASE WHEN segment % 11 = 0 THEN 'model-mismatch' WHEN segment % 13 = 0 THEN 'width-mismatch' WHEN segment % 31 = 0 THEN 'missing'
+                     WHEN segment % 29 = 0 AND firsts = n THEN 'missing' WHEN segment % 29 = 0 AND firsts > 0 THEN 'truncated' WHEN segment % 23 = 0 THEN 'damaged' ELSE 'opened' END AS outcome FROM s""",
+    "proj_last_id": """
+SELECT user_id::VARCHAR AS object, max(event_id * 100 + length(event_type) + CASE WHEN event_id % 5 = 0 THEN 50 ELSE 0 END)::BIGINT AS last_id FROM events GROUP BY 1""",
+    "flt_utf8": "SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
     "idx_put_object": """
 SELECT count(*) AS added, count(*) AS buried FROM embeddings WHERE vec_id // 10 % 4 = 0""",
 }

@@ -234,7 +234,7 @@ def fn_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     head = F.when(n % 4 == 0, "VERDICT: ANSWER\n").when(n % 4 == 1, "** verdict: no-answer\n").when(n % 4 == 2, "\n# Verdict: Answer\n").otherwise("")
-    body = F.concat(F.substring(F.regexp_replace("text", r"[\[\]\n]", ""), 1, 40), F.lit(" ["), n % 9, F.lit("] and ["), n % 3, F.lit("]["), n % 3, F.lit("]"))
+    body = F.concat(F.regexp_replace("text", r"[\[\]\n]", ""), F.lit(" ["), n % 9, F.lit("] and ["), n % 3, F.lit("]["), n % 3, F.lit("]"))
     cited = F.when(n % 5 == 0, F.lit("nothing")).otherwise(body)
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, cited).alias("reply"))
 
@@ -304,7 +304,7 @@ p AS (SELECT child, name AS path, is_dir, parent AS top FROM x WHERE parent IN (
 REPLY = """
 WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'VERDICT: ANSWER' || chr(10) WHEN 1 THEN '** verdict: no-answer' || chr(10)
                                          WHEN 2 THEN chr(10) || '# Verdict: Answer' || chr(10) ELSE '' END
-           || CASE WHEN doc_id % 5 = 0 THEN 'nothing' ELSE substring(regexp_replace(text, '[\\[\\]\\n]', '', 'g'), 1, 40)
+           || CASE WHEN doc_id % 5 = 0 THEN 'nothing' ELSE regexp_replace(text, '[\\[\\]\\n]', '', 'g')
               || ' [' || doc_id % 9 || '] and [' || doc_id % 3 || '][' || doc_id % 3 || ']' END AS reply FROM documents)
 """
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -59,6 +60,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list, name: str = "place", value: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: its row number in ``order``, from 1, or the sum of ``value`` over the rows before.
+
+    The rows are dealt by ranges of the order and numbered inside each; only the
+    totals of the ranges, one row a task, are added up in one place.
+    """
+    one = F.lit(1).cast("long") if value is None else value
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_one", one))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_part").agg(F.sum("_one").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_base") + F.sum("_one").over(inside)
+    # one row for each task of the sort: as many as spark.sql.shuffle.partitions
+    rows = ranged.join(F.broadcast(bases), "_part").withColumn(name, upto if value is None else upto - F.col("_one"))
+    return rows.drop("_part", "_one", "_base")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows Arrow sends to Python at once, as texts may be very long.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.operators import snapshot
-from marginalia.session import cut
+from marginalia.session import cut, shared_dir
 from marginalia.sources.sinks import append_new
 
 QUIET_MS, MAX_DELAY_MS = 40, 400
@@ -105,14 +106,31 @@ def apply_pages(state_path: str, keys: list[str]) -> Callable[[DataFrame, int],
     return batch
 
 
-def reconcile_batches(spark: SparkSession, previous: DataFrame, current: Callable[[], DataFrame], emit: Callable[[DataFrame], None]):
-    """For ``foreachBatch`` over debounced hints: look at what they cover, emit events, keep the new snapshot."""
-    held = {"snapshot": cut(previous)}
+def reconcile_batches(spark: SparkSession, previous: DataFrame, current: Callable[[], DataFrame], emit: Callable[[DataFrame], None], kept: str | None = None):
+    """For ``foreachBatch`` over debounced hints: look at what they cover, emit events, keep the new snapshot.
 
-    def batch(hints: DataFrame, _: int) -> None:
+    Snapshots are written under ``kept`` by the batch that made them, and a batch goes on
+    from the latest one before it; so a restart, or a batch that comes again, finds what
+    it had before. ``previous`` counts where there is none.
+    """
+    base = kept or f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/{n}")
+        marks = spark.createDataFrame([(n,)], "batch long")
+        append_new(marks, f"{base}/batches", ["batch"])
+
+    def latest(n: int) -> DataFrame:
+        done = spark.read.parquet(f"{base}/batches").where(F.col("batch") < n).agg(F.max("batch")).first()[0]
+        return spark.read.parquet(f"{base}/{done}")
+
+    append_new(spark.createDataFrame([(-1,)], "batch long"), f"{base}/batches", ["batch"])
+    previous.write.mode("ignore").parquet(f"{base}/-1")
+
+    def batch(hints: DataFrame, n: int) -> None:
         if hints.isEmpty():
             return
-        before, now = held["snapshot"], cut(current())
+        before, now = latest(n), cut(current())
         asked = hints.select("path", "renamed")
         covered = snapshot.hinted(before.select("path").union(now.select("path")).distinct(), asked)
         within = lambda d: d.join(covered.select("path"), "path", "left_semi")
@@ -120,7 +138,7 @@ def reconcile_batches(spark: SparkSession, previous: DataFrame, current: Callabl
         rest = before.join(covered.select("path"), "path", "left_anti")
         known = before.select("path", F.col("id").alias("_id"))
         seen = within(now).join(known, "path", "left").withColumn("id", F.coalesce("_id", "id")).drop("_id")
-        held["snapshot"] = cut(rest.unionByName(seen))
+        write(rest.unionByName(seen), n)
 
     return batch
 

@@ -299,3 +299,15 @@ def test_reconcile_batches_keep_the_snapshot(spark):
     step(hint("a"), 0)
     step(hint("a", "c"), 1)
     assert seen == [[("modified", "a", "A")], [("moved", "c", "A")]]
+
+
+def test_reconcile_batches_go_on_after_a_restart(spark, tmp_path):
+    row = lambda p, i, ino, h: (p, i, 1, ino, 1, h)
+    first = spark.createDataFrame([row("a", "A", 1, "x")], SNAPSHOT)
+    seen, hint = [], spark.createDataFrame([("v", "a", True)], "vault string, path string, renamed boolean")
+    for n, state in enumerate(["y", "y", "z"]):
+        step = flows.reconcile_batches(
+            spark, first, lambda s=state: spark.createDataFrame([row("a", None, 1, s)], SNAPSHOT), lambda e: seen.append([r.kind for r in e.collect()]), str(tmp_path / "kept")
+        )
+        step(hint, max(n - 1, 0))
+    assert seen == [["modified"], ["modified"], ["modified"]]  # the first, the first again, and the change after it
