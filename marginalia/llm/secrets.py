@@ -205,13 +205,14 @@ def samples_of(docs: DataFrame, text_col: str) -> DataFrame:
     return both.select("s.value", "s.secret").distinct()
 
 
-def identifiers(docs: DataFrame, text_col: str) -> DataFrame:
-    """``value``: ordinary identifiers as long as secrets are, three following words of a text each."""
-    words = F.regexp_extract_all(_rest(text_col), F.lit(r"[A-Za-z0-9]{4,}"), 0)
-    rows = docs.select(F.explode(F.array(words)).alias("w"))
-    begins = F.filter(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: i > 0)
-    named = F.transform(begins, lambda i: F.array_join(F.slice("w", i, 3), "_"))
-    return rows.where(F.size("w") > 2).select(F.explode(named).alias("value"))
+def identifiers(words: DataFrame) -> DataFrame:
+    """``value``: ordinary identifiers as long as secrets are, of about three of the distinct ``words(value)`` each.
+
+    Words meet by a hash in as many slots as a third of their number, so a slot holds a few.
+    """
+    slots = max(words.count() // 3, 1)
+    slot = F.pmod(F.xxhash64("value", F.lit("slot")), F.lit(slots))
+    return words.groupBy(slot.alias("slot")).agg(F.array_join(F.sort_array(F.collect_list("value")), "_").alias("value")).select("value")
 
 
 def calibrated(models: CharacterModels, secret: DataFrame, ordinary: DataFrame) -> tuple[CharacterModels, dict[str, float]]:
@@ -238,7 +239,7 @@ def learnt(docs: DataFrame, text_col: str = "text") -> tuple[CharacterModels, di
     found = cut(samples_of(docs, text_col))
     models = train(random_strings(spark).unionByName(found.where(~unseen(F.col("value")))))
     secret = random_strings(spark, first=RANDOM_STRINGS).unionByName(found.where(F.col("secret") & unseen(F.col("value"))))
-    return calibrated(models, secret, identifiers(docs, text_col).where(unseen(F.col("value"))))
+    return calibrated(models, secret, identifiers(found.where(~F.col("secret") & unseen(F.col("value"))).select("value")))
 
 
 def scan(docs: DataFrame, models: CharacterModels, text_col: str = "text") -> DataFrame:
