@@ -53,7 +53,7 @@ class Memo(dict):
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        if len(key) > LONGEST:
+        if isinstance(key, (str, bytes)) and len(key) > LONGEST:
             return self.make(key)
         value = self.older.get(key)
         if value is None:
