@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, quality, secrets, simhash, substring_dedup, token_files
+from marginalia.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, phrases, quality, secrets, sharding, simhash, substring_dedup, token_files, whitening
 from marginalia.session import cut, table
 
 
@@ -99,6 +99,21 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sharding.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return packed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "words")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 OP6_SQL = """
 WITH n AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -157,6 +172,33 @@ SELECT doc_id, size, source_size, target,
        ((floor(rank * rate + start) - floor((rank - 1) * rate + start)) * size)::BIGINT AS taken FROM x
 """
 
+OP12_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s),
+f AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS n
+  FROM i, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.m, a, k, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1 : k], ' ')
+         JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[1 : 2], ' ') AS phrase FROM c WHERE m = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2 : 3], ' ') FROM c WHERE m = 3) GROUP BY ALL),
+d AS (
+  SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, encode(y.phrase)) AS rank
+  FROM y LEFT JOIN o ON y.lang = o.lang AND y.phrase = o.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT d.lang, rank, phrase, a, l, r, t.n, score::BIGINT AS score FROM d JOIN t ON t.lang = d.lang WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_repeated_passages": op2_repeated_passages,
@@ -168,5 +210,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_ranking": op10_quality_ranking,
+    "op11_balanced_shards": op11_balanced_shards,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_chat_format": OP8_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_chat_format": OP8_SQL, "op12_collocations": OP12_SQL}
