@@ -266,14 +266,6 @@ def st_lamport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.join(seen, F.col("o_custkey") == F.col("replica"), "left").select("o_orderkey", (F.coalesce("high", F.lit(0)) + F.col("n")).alias("counter"))
 
 
-def st_watermark_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of each source's log once all that every reader holds is dropped."""
-    rows = log_queries.ops(spark, sf_dir)
-    held = rows.groupBy("object", "replica").agg(F.max("counter").alias("top"))
-    marks = held.groupBy("replica").agg(F.min("top").alias("mark"))
-    return rows.join(marks, "replica").where(F.col("counter") > F.col("mark")).select("object", "replica", "counter")
-
-
 # ------------------------------------------------------------------ edits
 
 
@@ -356,7 +348,7 @@ QUERIES = {
         scan_tree, scan_index_live, scan_segment, scan_relay_fetch, scan_relay_reports, scan_relay_piece, limit_listing, limit_envelopes, scan_eval_tsv, sort_listing,
         sink_oplog, sink_cursor, sink_segment, sink_delete_object, proj_oplog_key, proj_encode_op, proj_encode_manifest, proj_encode_report, proj_entry_to_hit,
         flt_prefix_range, flt_loopback, flt_legal_name, flt_malformed_op, join_missing_segments, set_except_missing, idx_complete, idx_adopt, agg_topic_rollup,
-        sort_topics, agg_fetch_stats, st_lamport, st_watermark_compact, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
+        sort_topics, agg_fetch_stats, st_lamport, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
         crypto_open, crypto_seal_det,
     )
 }
@@ -419,9 +411,6 @@ FROM events GROUP BY 1""",
     "st_lamport": """
 SELECT o_orderkey, coalesce(high, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS counter
 FROM orders LEFT JOIN (SELECT user_id, max(event_id) AS high FROM events GROUP BY 1) ON user_id = o_custkey""",
-    "st_watermark_compact": """
-WITH h AS (SELECT event_type, user_id, max(event_id) AS top FROM events GROUP BY 1, 2), m AS (SELECT user_id, min(top) AS mark FROM h GROUP BY 1)
-SELECT event_type AS object, user_id AS replica, event_id AS counter FROM events JOIN m USING (user_id) WHERE event_id > mark""",
     "fold_text_walk": CHARS + "SELECT object, count(*) AS chars, sum(place * code)::BIGINT AS mark FROM o GROUP BY 1",
     "gen_insert": CHARS + """
 SELECT v.object, CASE WHEN length(t) = i THEN counter ELSE counter + 1 END AS parent_counter, CASE WHEN length(t) = i THEN 'right' ELSE 'left' END AS side FROM v WHERE nth = 1""",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.operators import chunker, retrieval, snapshot, text_crdt, tree
+from marginalia.plans import state_queries
 from marginalia.session import table
 from marginalia.sources.sinks import json_events
 
@@ -128,15 +129,8 @@ def join_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as moves: each puts a customer under another, vaults by nation; cycles are skipped."""
-    orders = table(spark, sf_dir, "orders")
-    moves = orders.select(
-        (F.col("o_custkey") % 25).cast("string").alias("vault"), F.col("o_orderkey").alias("counter"), F.lit("a").alias("replica"),
-        F.concat(F.lit("c"), F.col("o_custkey")).alias("child"),
-        F.when(F.col("o_orderkey") % 3 == 0, "root").otherwise(F.concat(F.lit("c"), (F.col("o_orderkey") * 7) % 150 * 25 + F.col("o_custkey") % 25)).alias("parent"),
-        F.concat(F.lit("f"), F.col("o_custkey")).alias("name"), F.lit(True).alias("is_dir"),
-    )
-    return tree.fold(moves).select("vault", "child", "parent")
+    """Orders as moves: each puts a customer under another of its vault of thirty; cycles are skipped."""
+    return tree.fold(state_queries.moves(spark, sf_dir)).select("vault", "child", "parent")
 
 
 def _text_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +338,7 @@ SELECT lower(path) AS folded, count(*) AS n, string_agg(path, '|' ORDER BY path)
     "tree_path": NODES + "SELECT child, path, is_dir FROM p WHERE top = 'root'",
     "tree_listing": NODES + "SELECT path, child FROM p WHERE top = 'root' AND NOT is_dir",
     "tree_is_deleted": NODES + "SELECT child FROM p WHERE top = 'trash'",
+    "fold_tree": state_queries.FOLD,
     "join_children": "SELECT 'n' || n_nationkey AS child, n_name AS name FROM nation WHERE n_regionkey = 1",
     "fold_text": """
 SELECT user_id::VARCHAR AS object, md5(coalesce(string_agg(event_type, '' ORDER BY event_id) FILTER (event_id % 5 <> 0), '')) AS text_md5,
