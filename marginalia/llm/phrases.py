@@ -2,7 +2,7 @@
 
 Words are counted first; those that occur ``min_count`` times are the prefixes that may
 grow. Each of their occurrences is a pointer to the words that follow in its piece, up to
-the longest phrase asked for and no further than the next word that is not frequent.
+the longest phrase asked for and only as long as each pair of neighbours may be frequent.
 Pointers that see the same words travel as one with a weight, so a passage that thousands
 of documents share costs a row a task. All pointers of a prefix go to one task, which
 extends the prefix to the right, depth first, each time with the pointers that agree.
@@ -11,7 +11,8 @@ A prefix with more than ``TASK`` occurrences is not one task: its pointers are d
 second and third word, so every phrase of three words or more is still grown whole in one
 place, and only counts of two-word phrases are parts, which a sum puts together. How many
 parts a prefix has, and whether it is frequent at all, is looked up in a table of ``SLOTS``
-sums by hash: of fixed size, and never too low, so a collision costs rows and no result.
+sums by hash, and whether a pair may be frequent in ``BITS`` bits by its hash: both of fixed
+size and never too low, so a collision costs rows and no result.
 
 Defined results
     null or empty text   no words
@@ -34,6 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +48,13 @@ PIECE_ENDS, WORD_GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 END = b"."
 #: Occurrences of a prefix, and pointers of a group, that a task is meant for.
 TASK = 8_000
-SLOTS = 1 << 22
+SLOTS, BITS = 1 << 22, 1 << 26
 #: Bytes of a text split at once, words that a worker remembers and positions it sums up before it hands them on.
 SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 2_000_000
 #: Places where the best of a language are chosen first.
 SALTS = 64
+#: An odd number that spreads the hash of a word over 64 bits.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _READ = bytes.maketrans(
     PIECE_ENDS + WORD_GAPS + bytes(range(65, 91)), END * len(PIECE_ENDS) + b" " * len(WORD_GAPS) + bytes(range(97, 123))
@@ -113,19 +118,88 @@ def parts_by_slot(frequent: DataFrame) -> np.ndarray:
     return table
 
 
-def _windows(ids: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of ``width`` ids, each a row that ends in -1 from where it can't go on, and how often each occurs.
+class _Vocabulary:
+    """The words a worker has met in a language: a number for each frequent one, -1 for the others and for the end of a piece."""
+
+    def __init__(self, lang: str, shares: np.ndarray) -> None:
+        self.code, self.shares = lang.encode(), shares
+        self.index: dict[bytes, int] = {END: -1}
+        self.names: list[bytes] = []
+        self.slots: list[int] = []
+        self.hashes: list[int] = []
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        for word in {*found}.difference(self.index):
+            at, self.index[word] = slot(self.code, word), -1
+            if self.shares[at]:
+                self.index[word] = len(self.names)
+                self.names.append(word)
+                self.slots.append(at)
+                self.hashes.append(xxhash.xxh64_intdigest(self.code + b"\x00" + word))
+        return np.array([*map(self.index.__getitem__, found), -1], np.int64)
+
+
+def _in_bulk(batches: Iterator[pa.RecordBatch], shares: np.ndarray) -> Iterator[tuple[str, _Vocabulary, np.ndarray]]:
+    """The texts of a task as numbers of words, many texts of a language at a time."""
+    known: dict[str, _Vocabulary] = {}
+    pending: dict[str, list[np.ndarray]] = {}
+    waiting = 0
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+            for found in tokens(text):
+                words = known.get(lang) or known.setdefault(lang, _Vocabulary(lang, shares))
+                pending.setdefault(lang, []).append(words.numbers(found))
+                waiting += len(found)
+                remembered = sum(len(v.index) for v in known.values())
+                if waiting > PENDING or remembered > REMEMBERED:
+                    for each, stretches in pending.items():
+                        yield each, known[each], np.concatenate(stretches)
+                    pending, waiting = {}, 0
+                    if remembered > REMEMBERED:
+                        known = {}
+    for each, stretches in pending.items():
+        yield each, known[each], np.concatenate(stretches)
+
+
+def _pairs(ids: np.ndarray, words: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where two frequent words follow one another, and a hash of each two."""
+    h = np.array(words.hashes, np.uint64)
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return at, (h[ids[at]] * SPREAD) ^ (h[ids[at + 1]] >> np.uint64(1))
+
+
+def pair_bits(docs: DataFrame, parts: np.ndarray, min_count: int, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """BITS bits, set where the hash of a pair of neighbours falls that occurs ``min_count`` times."""
+    table = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, ids in _in_bulk(batches, table.value):
+            if words.names:
+                pair, n = np.unique(_pairs(ids, words)[1], return_counts=True)
+                for at in range(0, len(pair), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["pair", "n"])
+
+    counts = _texts(docs, text_col, lang_col).mapInArrow(hashed, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= min_count).select(F.pmod("pair", F.lit(BITS)).alias("bit"))
+    word, bit = F.shiftright("bit", 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    got = often.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _windows(ids: np.ndarray, goes_on: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of two to ``width`` ids, each a row that ends in -1 from where it can't go on, and how often each occurs.
 
-    Ids from ``words`` down to 0 are frequent words; -1 is anything that ends a window.
+    ``goes_on`` says for each position whether the next word may follow it in a phrase.
     """
-    padded = np.concatenate([ids, np.full(width - 1, -1, ids.dtype)])
-    starts = np.flatnonzero((padded[: len(ids)] >= 0) & (padded[1 : len(ids) + 1] >= 0))
-    key, alive, bound = padded[starts].astype(np.int64), np.ones(len(starts), bool), words + 1
-    columns = [padded[starts]]
+    padded, on = np.concatenate([ids, np.full(width, -1, ids.dtype)]), np.concatenate([goes_on, np.zeros(width, bool)])
+    starts = np.flatnonzero(on)
+    alive, columns = np.ones(len(starts), bool), [padded[starts]]
+    key, bound = padded[starts].astype(np.int64), words + 1
     for k in range(1, width):
-        now = padded[starts + k]
-        alive = alive & (now >= 0)
-        now = np.where(alive, now, -1)
+        alive = alive & on[starts + k - 1]
+        now = np.where(alive, padded[starts + k], -1)
         columns.append(now)
         if bound * (words + 2) >= 1 << 62:
             distinct, key = np.unique(key, return_inverse=True)
@@ -135,65 +209,46 @@ def _windows(ids: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.nd
     return np.stack([c[first] for c in columns], axis=1), count
 
 
-def pointers(docs: DataFrame, parts: np.ndarray, max_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, words, n, part, split``: what occurrences of frequent words see to their right, equal ones added up in each task.
+def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, prefix, seen, n, part, split``: what occurrences of frequent words see to their right, equal ones added up in each task.
 
-    ``words`` begins with the prefix itself and has two words at least. ``part`` is a hash by
-    which tasks are dealt: of the prefix, and where that is split of the next two words as well.
+    ``seen`` has one word at least. ``part`` is a hash by which tasks are dealt: of the
+    prefix, and where that is split of the next two words as well.
     """
-    table = docs.sparkSession.sparkContext.broadcast(parts)
+    context = docs.sparkSession.sparkContext
+    table, flags = context.broadcast(parts), context.broadcast(bits)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = table.value
-        known: dict[str, tuple[dict[bytes, int], list[bytes], list[int]]] = {}
-        pending: dict[str, list[np.ndarray]] = {}
-        waiting = remembered = 0
-
-        def summed(lang: str, stretches: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, names, slots = known[lang]
-            if not names:
-                return
-            seen, count = _windows(np.concatenate(stretches), max_words, len(names))
-            used, where = (seen >= 0).sum(axis=1), np.array(slots, np.int64)[seen[:, 0]]
-            share = shares[where].astype(np.int64)
-            for at in range(0, len(seen), 100_000):
-                some = slice(at, at + 100_000)
-                rows = [[names[i] for i in row[:k]] for row, k in zip(seen[some].tolist(), used[some].tolist())]
-                tail = np.array([zlib.crc32(b" ".join(row[1:3])) for row in rows], np.int64)
-                part = where[some] + SLOTS * (tail % share[some])
-                text = pa.array([b" ".join(row) for row in rows], pa.binary()).cast(pa.string())
-                columns = [pa.repeat(pa.scalar(lang), len(rows)), text, pa.array(count[some], pa.int64()), pa.array(part), pa.array(share[some] > 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "n", "part", "split"])
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                for found in tokens(text):
-                    index, names, slots = known.setdefault(lang, ({END: -1}, [], []))
-                    code = lang.encode()
-                    for word in {*found}.difference(index):
-                        at, index[word] = slot(code, word), -1
-                        remembered += 1
-                        if shares[at]:
-                            index[word] = len(names)
-                            names.append(word)
-                            slots.append(at)
-                    pending.setdefault(lang, []).append(np.array([*map(index.__getitem__, found), -1], np.int64))
-                    waiting += len(found)
-                    if waiting > PENDING or remembered > REMEMBERED:
-                        for each, stretches in pending.items():
-                            yield from summed(each, stretches)
-                        pending, waiting = {}, 0
-                        if remembered > REMEMBERED:
-                            known, remembered = {}, 0
-        for each, stretches in pending.items():
-            yield from summed(each, stretches)
-
-    schema = "lang string, words string, n long, part long, split boolean"
+        shares, often = table.value, flags.value
+        for lang, words, ids in _in_bulk(batches, shares):
+            if not words.names:
+                continue
+            at, pair = _pairs(ids, words)
+            pair %= np.uint64(BITS)
+            goes_on = np.zeros(len(ids), bool)
+            goes_on[at] = (often[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) == 1
+            windows, count = _windows(ids, goes_on, max_words, len(words.names))
+            names, hashes, slots = pa.array(words.names, pa.binary()), np.array(words.hashes, np.uint64), np.array(words.slots, np.int64)
+            share = shares[slots[windows[:, 0]]].astype(np.int64)
+            third = hashes[windows[:, 2]] * (windows[:, 2] >= 0).astype(np.uint64) if max_words > 2 else np.uint64(0)
+            tail = ((hashes[windows[:, 1]] * SPREAD ^ third) >> np.uint64(8)).astype(np.int64)
+            part = slots[windows[:, 0]] + SLOTS * (tail % share)
+            for k in range(0, len(windows), 100_000):
+                some = slice(k, k + 100_000)
+                column = lambda j: names.take(pa.array(windows[some, j], mask=windows[some, j] < 0))
+                seen = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
+                n = len(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), n), column(0).cast(pa.string()), seen.cast(pa.string()), pa.array(count[some]), pa.array(part[some]), pa.array(share[some] > 1)],
+                    ["lang", "prefix", "seen", "n", "part", "split"],
+                )
+
+    schema = "lang string, prefix string, seen string, n long, part long, split boolean"
     return _texts(docs, text_col, lang_col).mapInArrow(projected, schema)
 
 
-def grow(prefix: list[str], seen: list[tuple[list[str], int]], min_count: int, whole: bool) -> Iterator[tuple[str, int, int]]:
-    """``phrase, words, n`` of each frequent extension of ``prefix``, depth first.
+def grow(prefix: str, length: int, seen: list[tuple[str, int]], min_count: int, whole: bool) -> Iterator[tuple[str, int, int]]:
+    """``phrase, words, n`` of each frequent extension of ``prefix`` of ``length`` words, depth first.
 
     ``seen`` are the projected pointers: the words that follow the prefix from here on, with weights.
     Where the prefix is dealt to several tasks (``whole`` is false), its own extensions are
@@ -201,14 +256,19 @@ def grow(prefix: list[str], seen: list[tuple[list[str], int]], min_count: int, w
     """
     following: dict[str, list] = {}
     for words, n in seen:
-        if words:
-            following.setdefault(words[0], []).append((words[1:], n))
-    for word, projected in following.items():
-        n = sum(weight for _, weight in projected)
+        word, _, rest = words.partition(" ")
+        at = following.get(word)
+        if at is None:
+            at = following[word] = [0, []]
+        at[0] += n
+        if rest:
+            at[1].append((rest, n))
+    for word, (n, projected) in following.items():
         if n >= min_count or not whole:
-            longer = [*prefix, word]
-            yield " ".join(longer), len(longer), n
-            yield from grow(longer, projected, min_count, True)
+            longer = f"{prefix} {word}"
+            yield longer, length + 1, n
+            if projected:
+                yield from grow(longer, length + 1, projected, min_count, True)
 
 
 def frequent_phrases(docs: DataFrame, frequent: DataFrame, n_words: int, min_count: int = 10, max_words: int = 3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -216,16 +276,16 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, n_words: int, min_cou
 
     ``frequent(lang, word, n)`` are the words that do, ``n_words`` is how many words the texts have.
     """
-    rows = pointers(docs, parts_by_slot(frequent), max_words, text_col, lang_col)
+    parts = parts_by_slot(frequent)
+    rows = pointers(docs, parts, pair_bits(docs, parts, min_count, text_col, lang_col), max_words, text_col, lang_col)
     groups = max(64, -(-n_words // TASK))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("lang", "part"), F.lit(groups)))
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         prefixes: dict[tuple, list] = {}
-        for lang, words, n, split in zip(group["lang"], group["words"], group["n"].tolist(), group["split"].tolist()):
-            first, *rest = words.split(" ")
-            prefixes.setdefault((lang, first, split), []).append((rest, n))
-        out = [(lang, *found) for (lang, first, split), seen in prefixes.items() for found in grow([first], seen, min_count, not split)]
+        for lang, prefix, seen, n, split in zip(group["lang"], group["prefix"], group["seen"], group["n"].tolist(), group["split"].tolist()):
+            prefixes.setdefault((lang, prefix, split), []).append((seen, n))
+        out = [(lang, *found) for (lang, prefix, split), seen in prefixes.items() for found in grow(prefix, 1, seen, min_count, not split)]
         return pd.DataFrame(out, columns=["lang", "phrase", "words", "n"])
 
     grown = rows.groupBy("task").applyInPandas(task, "lang string, phrase string, words int, n long")

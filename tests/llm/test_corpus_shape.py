@@ -174,9 +174,17 @@ def test_collocations_of_nothing(spark):
 
 
 def test_growth_is_depth_first_and_stops_where_few_agree():
-    seen = [(["b", "c"], 6), (["b", "d"], 5), (["e"], 3)]
-    assert list(phrases.grow(["a"], seen, 6, True)) == [("a b", 2, 11), ("a b c", 3, 6)]
-    assert list(phrases.grow(["a"], seen, 6, False)) == [("a b", 2, 11), ("a b c", 3, 6), ("a e", 2, 3)]
+    seen = [("b c", 6), ("b d", 5), ("e", 3)]
+    assert list(phrases.grow("a", 1, seen, 6, True)) == [("a b", 2, 11), ("a b c", 3, 6)]
+    assert list(phrases.grow("a", 1, seen, 6, False)) == [("a b", 2, 11), ("a b c", 3, 6), ("a e", 2, 3)]
+
+
+def test_crowded_tables_change_nothing(spark, monkeypatch):
+    """With a handful of slots and bits every word and pair collides: rows grow, results don't."""
+    monkeypatch.setattr(phrases, "SLOTS", 2)
+    monkeypatch.setattr(phrases, "BITS", 64)
+    docs = spark.createDataFrame(TEXTS, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute(TEXTS, 10, 2000)
 
 
 # --- whitening
