@@ -61,17 +61,17 @@ _READ = bytes.maketrans(
 )
 
 
-def tokens(text: bytes) -> Iterator[list[bytes]]:
+def tokens(text: bytes, segment: int = SEGMENT) -> Iterator[list[bytes]]:
     """The words of ``text`` with END wherever a piece ends, a bounded stretch of pieces at a time."""
     read, at = text.translate(_READ), 0
     while at < len(read):
-        to = read.find(END, at + SEGMENT) + 1 or len(read)
+        to = read.find(END, at + segment) + 1 or len(read)
         yield read[at:to].replace(END, b" . ").split()
         at = to
 
 
-def slot(lang: bytes, word: bytes) -> int:
-    return zlib.crc32(lang + b"\x00" + word) % SLOTS
+def slot(lang: bytes, word: bytes, slots: int) -> int:
+    return zlib.crc32(lang + b"\x00" + word) % slots
 
 
 def _slot(lang: Column, word: Column) -> Column:
@@ -130,7 +130,7 @@ class _Vocabulary:
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
         for word in {*found}.difference(self.index):
-            at, self.index[word] = slot(self.code, word), -1
+            at, self.index[word] = slot(self.code, word, len(self.shares)), -1
             if self.shares[at]:
                 self.index[word] = len(self.names)
                 self.names.append(word)
@@ -139,7 +139,7 @@ class _Vocabulary:
         return np.array([*map(self.index.__getitem__, found), -1], np.int64)
 
 
-def _in_bulk(batches: Iterator[pa.RecordBatch], shares: np.ndarray) -> Iterator[tuple[str, _Vocabulary, np.ndarray]]:
+def _in_bulk(batches: Iterator[pa.RecordBatch], shares: np.ndarray, most_waiting: int = PENDING, most_remembered: int = REMEMBERED) -> Iterator[tuple[str, _Vocabulary, np.ndarray]]:
     """The texts of a task as numbers of words, many texts of a language at a time."""
     known: dict[str, _Vocabulary] = {}
     pending: dict[str, list[np.ndarray]] = {}
@@ -151,11 +151,11 @@ def _in_bulk(batches: Iterator[pa.RecordBatch], shares: np.ndarray) -> Iterator[
                 pending.setdefault(lang, []).append(words.numbers(found))
                 waiting += len(found)
                 remembered = sum(len(v.index) for v in known.values())
-                if waiting > PENDING or remembered > REMEMBERED:
+                if waiting > most_waiting or remembered > most_remembered:
                     for each, stretches in pending.items():
                         yield each, known[each], np.concatenate(stretches)
                     pending, waiting = {}, 0
-                    if remembered > REMEMBERED:
+                    if remembered > most_remembered:
                         known = {}
     for each, stretches in pending.items():
         yield each, known[each], np.concatenate(stretches)
@@ -224,7 +224,7 @@ def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: in
             if not words.names:
                 continue
             at, pair = _pairs(ids, words)
-            pair %= np.uint64(BITS)
+            pair %= np.uint64(64 * len(often))
             goes_on = np.zeros(len(ids), bool)
             goes_on[at] = (often[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) == 1
             windows, count = _windows(ids, goes_on, max_words, len(words.names))
@@ -232,7 +232,7 @@ def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: in
             share = shares[slots[windows[:, 0]]].astype(np.int64)
             third = hashes[windows[:, 2]] * (windows[:, 2] >= 0).astype(np.uint64) if max_words > 2 else np.uint64(0)
             tail = ((hashes[windows[:, 1]] * SPREAD ^ third) >> np.uint64(8)).astype(np.int64)
-            part = slots[windows[:, 0]] + SLOTS * (tail % share)
+            part = slots[windows[:, 0]] + len(shares) * (tail % share)
             for k in range(0, len(windows), 100_000):
                 some = slice(k, k + 100_000)
                 column = lambda j: names.take(pa.array(windows[some, j], mask=windows[some, j] < 0))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -155,16 +156,22 @@ def test_collocations_equal_brute_force(spark, monkeypatch, task):
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-def test_collocations_where_workers_hand_on_early(spark, monkeypatch):
-    """Segments, pending positions and remembered words of a few: the counts are the same."""
-    monkeypatch.setattr(phrases, "SEGMENT", 5)
-    monkeypatch.setattr(phrases, "PENDING", 3)
-    monkeypatch.setattr(phrases, "REMEMBERED", 4)
-    read = [w for part in phrases.tokens(b"One two. three,four five six\nseven" * 3) for w in part]
-    assert read == [w for part in [b"one two . three . four five six . sevenone two . three . four five six . sevenone two . three . four five six . seven"] for w in part.split()]
-    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert sorted(map(tuple, phrases.collocations(docs, min_count=4, top=100_000).collect())) == brute(rows, 4, 100_000)
+def test_texts_in_bulk_whatever_a_worker_holds():
+    """Segments, waiting positions and remembered words of a few: the same words in the same order."""
+    read = [w for part in phrases.tokens(b"One two. three,four five six\nseven" * 3, 5) for w in part]
+    assert read == b"one two . three . four five six . sevenone two . three . four five six . sevenone two . three . four five six . seven".split()
+    shares = np.ones(1 << 10, np.int32)
+    shares[phrases.slot(b"en", b"rare", 1 << 10)] = 0
+    batches = [{"lang": pa.array(["en", "de", "en"]), "text": pa.array([b"a b rare c. d e", b"a b", b"f g h a " * 5], pa.binary())}] * 2
+
+    def spoken(*most):
+        out = {}
+        for lang, words, ids in phrases._in_bulk(iter(batches), shares, *most):
+            out.setdefault(lang, []).extend(words.names[i] if i >= 0 else None for i in ids)
+        return out
+
+    assert spoken() == spoken(3, 4) == spoken(1, 1000) == spoken(1000, 1)
+    assert spoken()["en"][:8] == [b"a", b"b", None, b"c", None, b"d", b"e", None]
 
 
 def test_collocations_of_nothing(spark):
