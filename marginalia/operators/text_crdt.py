@@ -2,8 +2,9 @@
 
 Inserts are exploded into characters and deletes into the characters they name by
 built-in expressions; joining the two leaves one row per character with a flag.
-Only the walk over a document's characters, left children before and right ones
-after their parent, is a fold: one task per document, any order of arrival.
+The walk over a document's characters, left children before and right ones after
+their parent, is a fold in one task for documents of up to ``LARGE`` characters;
+longer ones are ranked by :mod:`reading_order`, over as many tasks as there are.
 """
 
 from __future__ import annotations
@@ -12,9 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators import reading_order
 from marginalia.operators.oplog import coalesced_deletes
 from marginalia.session import cut
 
+#: Characters of a document that one task walks.
+LARGE = 100_000
+
 
 def characters(ops: DataFrame) -> DataFrame:
     """A row per character inserted: its id, its parent's id, the side it hangs on, its code point.
@@ -91,9 +96,17 @@ def _rooted(ops: DataFrame) -> DataFrame:
     return nodes(ops).withColumn("parent_counter", top[0]).withColumn("parent_replica", top[1])
 
 
-def ordered(ops: DataFrame) -> DataFrame:
-    """``object, place, counter, replica, code, deleted``: every character where it stands."""
-    return _rooted(ops).groupBy("object").applyInPandas(_places, "object string, place long, counter long, replica string, code int, deleted boolean")
+def ordered(ops: DataFrame, large: int = LARGE) -> DataFrame:
+    """``object, place, counter, replica, code, deleted``: every character where it stands.
+
+    Documents of more than ``large`` characters are ranked by joins, the others walked a document a task.
+    """
+    chars, columns = cut(_rooted(ops)), ["object", "place", "counter", "replica", "code", "deleted"]
+    long = cut(chars.groupBy("object").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("object"))
+    walked = chars.join(long, "object", "left_anti").groupBy("object").applyInPandas(_places, "object string, place long, counter long, replica string, code int, deleted boolean")
+    if long.isEmpty():
+        return walked
+    return walked.unionByName(reading_order.places(chars.join(long, "object", "left_semi")).select(*columns))
 
 
 def fold(ops: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Records as bytes, generated edits and moves, and the pieces they are made of."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.functions import records
-from marginalia.operators import text_crdt, tree
+from marginalia.operators import reading_order, text_crdt, tree
 from marginalia.sources import sinks
 
 FIELDS = [("long", "n"), ("string", "t"), ("long", "m"), ("string", "u")]
@@ -122,3 +124,41 @@ def test_loopback(spark):
     urls = {"http://127.1.2.3/": True, "http://u@localhost:1/": True, "http://[::1]/": True, "http://localhost.example/": False, "http://10.0.0.1/?127.0.0.1": False, "": False}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r["u"]: r["l"] for r in df.select("u", records.is_loopback(F.col("u")).alias("l")).collect()} == urls
+
+
+OPS = "object string, counter long, replica string, kind string, parent struct<counter:bigint,replica:string>, side string, text array<int>, target struct<counter:bigint,replica:string>, count int"
+
+
+def typed(seed, n_ops, name):
+    """Several writers typing after, before and into each other's text; some of it is deleted, some hangs on nothing."""
+    rng, ids, ops, clock = random.Random(seed), [], [], 1
+    for i in range(n_ops):
+        writer, size = rng.choice("abc"), rng.randint(1, 9)
+        parent = None if not ids or rng.random() < 0.05 else ids[-1] if rng.random() < 0.6 else rng.choice(ids)
+        if i % 50 == 49:
+            parent = (10**9 + i, "nobody")
+        ops.append((name, clock, writer, "insert", parent, rng.choice(["left", "right", "right"]), [97 + rng.randrange(26) for _ in range(size)], None, None))
+        ids += [(clock + k, writer) for k in range(size)]
+        clock += size
+        if rng.random() < 0.1:
+            ops.append((name, clock, writer, "delete", None, None, None, rng.choice(ids), rng.randint(1, 3)))
+            clock += 3
+    return ops
+
+
+def test_long_documents_are_read_as_short_ones(spark):
+    """Ranking by joins gives every character the place that the walk gives it."""
+    one = [("one", 7, "a", "insert", None, "left", [97], None, None)]
+    lost = [("lost", 7, "a", "insert", (3, "b"), "left", [97, 98], None, None)]
+    chain = [("deep", k, "a", "insert", (k - 1, "a") if k > 1 else None, "left", [97], None, None) for k in range(1, 400)]
+    circle = [("circle", 5, "a", "insert", (9, "b"), "right", [97], None, None), ("circle", 9, "b", "insert", (5, "a"), "left", [98], None, None), ("circle", 20, "c", "insert", None, "left", [99], None, None)]
+    ops = spark.createDataFrame(typed(1, 400, "x") + typed(2, 300, "y") * 2 + one + lost + chain + circle, OPS)
+    rows = lambda large: sorted(tuple(r) for r in text_crdt.ordered(ops, large).collect())
+    assert rows(0) == rows(10**9) == rows(1500) != []
+
+
+def test_lists_are_ranked_by_doubling(spark):
+    """Three lists, one that ends nowhere and one that goes round."""
+    lists = [(0, 1, 5), (1, 2, 0), (2, None, 7), (10, None, 1), (20, 21, 1), (21, 99, 1), (30, 31, 1), (31, 30, 1)] + [(k, k + 1 if k < 1400 else None, 1) for k in range(400, 1401)]
+    got = {r.id: r.rest for r in reading_order.ranked(spark.createDataFrame(lists, "id long, next long, weight long")).collect()}
+    assert got == {0: 12, 1: 7, 2: 7, 10: 1} | {k: 1401 - k for k in range(400, 1401)}

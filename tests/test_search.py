@@ -68,17 +68,43 @@ def test_many_queries_are_worked_in_blocks(spark, monkeypatch):
     assert sorted(search.topk(search.scored(vectors, asked), 3).collect()) == whole and len(whole) == 90
 
 
-def test_ivf_recall_and_full_probe(spark):
+def test_codes_find_what_exact_search_finds(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(400, 16)) + np.repeat(rng.normal(size=(8, 16)) * 3, 50, axis=0)
+    x = rng.normal(size=(900, 16)) + np.repeat(rng.normal(size=(9, 16)) * 3, 100, axis=0)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    vectors = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "segment int, slot long, vector array<double>")
-    asked = vectors.where("slot % 10 = 0").selectExpr("slot AS q", "vector AS qv")
-    centres = topics.fit(vectors, k=8, iterations=5)
-    index, exact = ann.build(vectors, centres), search.topk(search.scored(vectors, asked), 10)
-    r = retrieval.recall(ann.search(index, asked, centres, 3, 10), exact).first()
-    assert r.identity_recall > 0.95 and r.score_recall > 0.95
-    assert retrieval.recall(ann.search(index, asked, centres, 8, 10), exact).first().identity_recall == 1.0
+    rows = [(i % 3, i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + [(0, 5000, None), (0, 5001, [1.0])], "segment int, slot long, vector array<double>")
+    asked = vectors.where("slot % 10 = 0 AND vector IS NOT NULL").selectExpr("slot AS q", "vector AS qv")
+    for chunk, block in ((32_768, 2_048), (50, 7)):
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        monkeypatch.setattr(ann, "BLOCK", block)
+        book = ann.fit(vectors, cells=9, stretches=8)
+        index = ann.build(vectors, book)
+        assert index.count() == 900 and index.select("cell").distinct().count() == 9
+        exact = search.topk(search.scored(vectors.where("slot < 5000"), asked), 10)
+        r = retrieval.recall(ann.search(index, vectors, asked, book, 3, 10, 60), exact).first()
+        assert r.identity_recall > 0.95 and r.score_recall > 0.95
+        every = ann.search(index, vectors, asked, book, 9, 10, 900)
+        assert retrieval.recall(every, exact).first().identity_recall == 1.0
+    # the dead are no hits, and don't take the place of any
+    dead = vectors.where("slot % 2 = 0").select("segment", "slot")
+    left = search.topk(search.scored(vectors.where("slot % 2 = 1 AND slot < 5000"), asked), 10)
+    got = ann.search(index, vectors, asked, book, 9, 10, 450, dead)
+    rows = lambda d: sorted((r.q, r.rk, r.slot) for r in d.collect())
+    assert rows(got) == rows(left)
+
+
+def test_codes_of_equal_few_or_no_vectors(spark):
+    schema = "segment int, slot long, vector array<double>"
+    same = spark.createDataFrame([(0, i, [1.0, 0.0, 0.5]) for i in range(7)], schema)
+    asked = same.selectExpr("slot AS q", "vector AS qv").where("q = 3")
+    book = ann.fit(same)
+    assert [r.slot for r in ann.search(ann.build(same, book), same, asked, book, 1, 4).orderBy("rk").collect()] == [0, 1, 2, 3]
+    assert ann.search(ann.build(same, book), same, asked, book, 1, 20).count() == 7
+    nothing = same.limit(0)
+    assert ann.fit(nothing) is None
+    assert ann.search(ann.build(nothing, None), nothing, asked, None, 1, 4).count() == 0
+    assert ann.search(ann.build(same, book), same, asked.limit(0), book, 1, 4).count() == 0
 
 
 def test_topics_are_stable_and_add_up(spark):
