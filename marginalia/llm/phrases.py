@@ -49,8 +49,10 @@ END = b"."
 #: Occurrences of a prefix, and pointers of a group, that a task is meant for.
 TASK = 8_000
 SLOTS, BITS = 1 << 22, 1 << 26
+#: Hashes by which pairs are counted: few enough to travel in five bytes.
+PAIRS = 1 << 36
 #: Bytes of a text split at once, words that a worker remembers and positions it sums up before it hands them on.
-SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 2_000_000
+SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 4_000_000
 #: Places where the best of a language are chosen first.
 SALTS = 64
 #: An odd number that spreads the hash of a word over 64 bits.
@@ -136,7 +138,7 @@ class _Vocabulary:
                 self.names.append(word)
                 self.slots.append(at)
                 self.hashes.append(xxhash.xxh64_intdigest(self.code + b"\x00" + word))
-        return np.array([*map(self.index.__getitem__, found), -1], np.int64)
+        return np.array([*map(self.index.__getitem__, found), -1], np.int32)
 
 
 def _in_bulk(batches: Iterator[pa.RecordBatch], shares: np.ndarray, most_waiting: int = PENDING, most_remembered: int = REMEMBERED) -> Iterator[tuple[str, _Vocabulary, np.ndarray]]:
@@ -165,7 +167,7 @@ def _pairs(ids: np.ndarray, words: _Vocabulary) -> tuple[np.ndarray, np.ndarray]
     """Positions where two frequent words follow one another, and a hash of each two."""
     h = np.array(words.hashes, np.uint64)
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return at, (h[ids[at]] * SPREAD) ^ (h[ids[at + 1]] >> np.uint64(1))
+    return at, ((h[ids[at]] * SPREAD) ^ (h[ids[at + 1]] >> np.uint64(1))) % np.uint64(PAIRS)
 
 
 def pair_bits(docs: DataFrame, parts: np.ndarray, min_count: int, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
@@ -209,11 +211,13 @@ def _windows(ids: np.ndarray, goes_on: np.ndarray, width: int, words: int) -> tu
     return np.stack([c[first] for c in columns], axis=1), count
 
 
-def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, prefix, seen, n, part, split``: what occurrences of frequent words see to their right, equal ones added up in each task.
+def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: int, groups: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``task, seen``: what occurrences of frequent words see to their right, equal ones added up in each task.
 
-    ``seen`` has one word at least. ``part`` is a hash by which tasks are dealt: of the
-    prefix, and where that is split of the next two words as well.
+    ``seen`` is the language, the prefix, the words that follow it and how many such pointers there
+    are, tabs between them; the number is negative where the prefix is dealt to several tasks.
+    ``task``, of ``groups``, is a hash of the language and the prefix, and where that is dealt of
+    the next two words as well.
     """
     context = docs.sparkSession.sparkContext
     table, flags = context.broadcast(parts), context.broadcast(bits)
@@ -229,22 +233,20 @@ def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: in
             goes_on[at] = (often[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) == 1
             windows, count = _windows(ids, goes_on, max_words, len(words.names))
             names, hashes, slots = pa.array(words.names, pa.binary()), np.array(words.hashes, np.uint64), np.array(words.slots, np.int64)
-            share = shares[slots[windows[:, 0]]].astype(np.int64)
+            share = shares[slots[windows[:, 0]]].astype(np.uint64)
             third = hashes[windows[:, 2]] * (windows[:, 2] >= 0).astype(np.uint64) if max_words > 2 else np.uint64(0)
-            tail = ((hashes[windows[:, 1]] * SPREAD ^ third) >> np.uint64(8)).astype(np.int64)
-            part = slots[windows[:, 0]] + len(shares) * (tail % share)
+            tail = ((hashes[windows[:, 1]] * SPREAD ^ third) >> np.uint64(8)) % share
+            task = ((hashes[windows[:, 0]] + tail * SPREAD) >> np.uint64(8)) % np.uint64(groups)
+            count = np.where(share > 1, -count, count)
             for k in range(0, len(windows), 100_000):
                 some = slice(k, k + 100_000)
                 column = lambda j: names.take(pa.array(windows[some, j], mask=windows[some, j] < 0))
-                seen = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
-                n = len(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(lang), n), column(0).cast(pa.string()), seen.cast(pa.string()), pa.array(count[some]), pa.array(part[some]), pa.array(share[some] > 1)],
-                    ["lang", "prefix", "seen", "n", "part", "split"],
-                )
+                following = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
+                n = pa.array(count[some]).cast(pa.string()).cast(pa.binary())
+                seen = pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.binary()), column(0), following, n, b"\t")
+                yield pa.RecordBatch.from_arrays([pa.array(task[some].astype(np.int64)), seen.cast(pa.string())], ["task", "seen"])
 
-    schema = "lang string, prefix string, seen string, n long, part long, split boolean"
-    return _texts(docs, text_col, lang_col).mapInArrow(projected, schema)
+    return _texts(docs, text_col, lang_col).mapInArrow(projected, "task long, seen string")
 
 
 def grow(prefix: str, length: int, seen: list[tuple[str, int]], min_count: int, whole: bool) -> Iterator[tuple[str, int, int]]:
@@ -277,15 +279,15 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, n_words: int, min_cou
     ``frequent(lang, word, n)`` are the words that do, ``n_words`` is how many words the texts have.
     """
     parts = parts_by_slot(frequent)
-    rows = pointers(docs, parts, pair_bits(docs, parts, min_count, text_col, lang_col), max_words, text_col, lang_col)
-    groups = max(64, -(-n_words // TASK))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("lang", "part"), F.lit(groups)))
+    rows = pointers(docs, parts, pair_bits(docs, parts, min_count, text_col, lang_col), max_words, max(64, -(-n_words // TASK)), text_col, lang_col)
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         prefixes: dict[tuple, list] = {}
-        for lang, prefix, seen, n, split in zip(group["lang"], group["prefix"], group["seen"], group["n"].tolist(), group["split"].tolist()):
-            prefixes.setdefault((lang, prefix, split), []).append((seen, n))
-        out = [(lang, *found) for (lang, prefix, split), seen in prefixes.items() for found in grow(prefix, 1, seen, min_count, not split)]
+        for row in group["seen"]:
+            lang, prefix, seen, count = row.rsplit("\t", 3)
+            n = int(count)
+            prefixes.setdefault((lang, prefix, n > 0), []).append((seen, abs(n)))
+        out = [(lang, *found) for (lang, prefix, whole), seen in prefixes.items() for found in grow(prefix, 1, seen, min_count, whole)]
         return pd.DataFrame(out, columns=["lang", "phrase", "words", "n"])
 
     grown = rows.groupBy("task").applyInPandas(task, "lang string, phrase string, words int, n long")
@@ -293,11 +295,11 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, n_words: int, min_cou
 
 
 def _cuts(candidates: DataFrame) -> DataFrame:
-    """``lang, phrase, a, k, left, right`` for each way to cut a candidate after its first k words."""
+    """``lang, a, k, left, right`` for each way to cut a candidate after its first k words."""
     words = F.split("phrase", " ")
     at = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).withColumn("w", words)
     join = lambda c: F.array_join(c, " ")
-    return at.select("lang", "phrase", F.col("n").alias("a"), "k", join(F.slice("w", F.lit(1), F.col("k"))).alias("left"), join(F.slice("w", F.col("k") + 1, F.size("w"))).alias("right"))
+    return at.select("lang", F.col("n").alias("a"), "k", join(F.slice("w", F.lit(1), F.col("k"))).alias("left"), join(F.slice("w", F.col("k") + 1, F.size("w"))).alias("right"))
 
 
 def collocations(
@@ -322,7 +324,7 @@ def collocations(
     product = lambda a, b: (exact(a) * exact(b)).cast("decimal(38,0)")
     both = _cuts(found).join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"])
     both = both.withColumn("square", (product("a", "a") * F.lit(scale).cast("decimal(19,0)")).cast("decimal(38,0)")).withColumn("both", product("l", "r"))
-    scored = both.select("lang", "phrase", "a", F.struct(F.expr("square div both").cast("long").alias("score"), "k", "l", "r").alias("cut"))
+    scored = both.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a", F.struct(F.expr("square div both").cast("long").alias("score"), "k", "l", "r").alias("cut"))
     scored = scored.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("cut").alias("cut"))
 
     w = F.split("phrase", " ")
