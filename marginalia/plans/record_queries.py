@@ -251,13 +251,6 @@ def sort_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topics(spark, sf_dir).select(F.col("cluster").cast("long").alias("cluster"), F.row_number().over(order).cast("long").alias("place"))
 
 
-def agg_fetch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per object what was fetched, with every third operation delivered twice, and what of it was new."""
-    rows = log_queries.ops(spark, sf_dir).select("object", "replica", "counter")
-    got = rows.unionByName(rows.where("counter % 3 = 0")).groupBy("object", "replica", "counter").agg(F.count(F.lit(1)).alias("n"))
-    return got.groupBy("object").agg(F.sum("n").alias("fetched"), F.count(F.lit(1)).alias("applied"), F.sum(F.col("n") - 1).alias("repeats"), F.max("counter").alias("cursor_after"))
-
-
 def st_lamport(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of new operations numbered past the highest counter each user has seen."""
     seen = log_queries.ops(spark, sf_dir).groupBy("replica").agg(F.max("counter").alias("high"))
@@ -348,7 +341,7 @@ QUERIES = {
         scan_tree, scan_index_live, scan_segment, scan_relay_fetch, scan_relay_reports, scan_relay_piece, limit_listing, limit_envelopes, scan_eval_tsv, sort_listing,
         sink_oplog, sink_cursor, sink_segment, sink_delete_object, proj_oplog_key, proj_encode_op, proj_encode_manifest, proj_encode_report, proj_entry_to_hit,
         flt_prefix_range, flt_loopback, flt_legal_name, flt_malformed_op, join_missing_segments, set_except_missing, idx_complete, idx_adopt, agg_topic_rollup,
-        sort_topics, agg_fetch_stats, st_lamport, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
+        sort_topics, st_lamport, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
         crypto_open, crypto_seal_det,
     )
 }
@@ -405,9 +398,6 @@ FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem) GROUP BY 1""",
     "agg_topic_rollup": TOPICS + """
 SELECT cluster, chunks, notes, round(cohesion, 6) AS cohesion, round((SELECT sum(chunks * cohesion) / sum(chunks) FROM t), 6) AS overall FROM t""",
     "sort_topics": TOPICS + "SELECT cluster, row_number() OVER (ORDER BY chunks DESC, cohesion DESC, cluster) AS place FROM t",
-    "agg_fetch_stats": """
-SELECT event_type AS object, (count(*) + count(*) FILTER (event_id % 3 = 0))::BIGINT AS fetched, count(*) AS applied, count(*) FILTER (event_id % 3 = 0) AS repeats, max(event_id) AS cursor_after
-FROM events GROUP BY 1""",
     "st_lamport": """
 SELECT o_orderkey, coalesce(high, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS counter
 FROM orders LEFT JOIN (SELECT user_id, max(event_id) AS high FROM events GROUP BY 1) ON user_id = o_custkey""",
