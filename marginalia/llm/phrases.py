@@ -52,7 +52,7 @@ SLOTS, BITS = 1 << 22, 1 << 26
 #: Hashes by which pairs are counted: few enough to travel in five bytes.
 PAIRS = 1 << 36
 #: Bytes of a text split at once, words that a worker remembers and positions it sums up before it hands them on.
-SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 4_000_000
+SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 3_000_000
 #: Places where the best of a language are chosen first.
 SALTS = 64
 #: An odd number that spreads the hash of a word over 64 bits.
@@ -167,7 +167,12 @@ def _pairs(ids: np.ndarray, words: _Vocabulary) -> tuple[np.ndarray, np.ndarray]
     """Positions where two frequent words follow one another, and a hash of each two."""
     h = np.array(words.hashes, np.uint64)
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return at, ((h[ids[at]] * SPREAD) ^ (h[ids[at + 1]] >> np.uint64(1))) % np.uint64(PAIRS)
+    first, second = h[ids[at]], h[ids[at + 1]]
+    first *= SPREAD
+    second >>= np.uint64(1)
+    first ^= second
+    first %= np.uint64(PAIRS)
+    return at, first
 
 
 def pair_bits(docs: DataFrame, parts: np.ndarray, min_count: int, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
@@ -312,10 +317,12 @@ def collocations(
     remainder. A phrase is left out where a longer candidate holds it and has ``covered_pct``
     percent of its occurrences.
     """
-    words = cut(word_counts(docs, text_col, lang_col))
+    often = F.when(F.col("n") >= min_count, F.col("word")).alias("word")
+    # the rare words of a language are one row, without a word
+    words = cut(word_counts(docs, text_col, lang_col).groupBy("lang", often).agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = words.where(F.col("n") >= min_count)
+    frequent = words.where("word IS NOT NULL")
     found = cut(frequent_phrases(docs, frequent, n_words, min_count, max_words, text_col, lang_col))
 
     counts = frequent.select("lang", F.col("word").alias("part"), "n").union(found.select("lang", F.col("phrase").alias("part"), "n"))
