@@ -217,41 +217,48 @@ def _windows(ids: np.ndarray, goes_on: np.ndarray, width: int, words: int) -> tu
 
 
 def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: int, groups: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``task, seen``: what occurrences of frequent words see to their right, equal ones added up in each task.
+    """``task, lang, prefix, split, seen``: what occurrences of frequent words see to their right.
 
-    ``seen`` is the language, the prefix, the words that follow it and how many such pointers there
-    are, tabs between them; the number is negative where the prefix is dealt to several tasks.
-    ``task``, of ``groups``, is a hash of the language and the prefix, and where that is dealt of
-    the next two words as well.
+    A row holds all that a task's texts have for a prefix: ``seen`` is a line for each different
+    continuation, the words and, where it is more than one, after a tab how often they were seen.
+    ``task``, of ``groups``, is a hash of the language and the prefix; where the prefix is
+    ``split`` its continuations are dealt to several tasks by their first two words as well.
     """
     context = docs.sparkSession.sparkContext
     table, flags = context.broadcast(parts), context.broadcast(bits)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, often = table.value, flags.value
+        shares, bitmap = table.value, flags.value
         for lang, words, ids in _in_bulk(batches, shares):
             if not words.names:
                 continue
             at, pair = _pairs(ids, words)
-            pair %= np.uint64(64 * len(often))
+            pair %= np.uint64(64 * len(bitmap))
             goes_on = np.zeros(len(ids), bool)
-            goes_on[at] = (often[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) == 1
+            goes_on[at] = (bitmap[pair >> np.uint64(6)] >> (pair & np.uint64(63))) & np.uint64(1) == 1
             windows, count = _windows(ids, goes_on, max_words, len(words.names))
             names, hashes, slots = pa.array(words.names, pa.binary()), np.array(words.hashes, np.uint64), np.array(words.slots, np.int64)
             share = shares[slots[windows[:, 0]]].astype(np.uint64)
             third = hashes[windows[:, 2]] * (windows[:, 2] >= 0).astype(np.uint64) if max_words > 2 else np.uint64(0)
             tail = ((hashes[windows[:, 1]] * SPREAD ^ third) >> np.uint64(8)) % share
-            task = ((hashes[windows[:, 0]] + tail * SPREAD) >> np.uint64(8)) % np.uint64(groups)
-            count = np.where(share > 1, -count, count)
-            for k in range(0, len(windows), 100_000):
-                some = slice(k, k + 100_000)
-                column = lambda j: names.take(pa.array(windows[some, j], mask=windows[some, j] < 0))
-                following = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
-                n = pa.array(count[some]).cast(pa.string()).cast(pa.binary())
-                seen = pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.binary()), column(0), following, n, b"\t")
-                yield pa.RecordBatch.from_arrays([pa.array(task[some].astype(np.int64)), seen.cast(pa.string())], ["task", "seen"])
-
-    return _texts(docs, text_col, lang_col).mapInArrow(projected, "task long, seen string")
+            task = (((hashes[windows[:, 0]] + tail * SPREAD) >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((task, windows[:, 0]))
+            windows, count, task, split = windows[order], count[order], task[order], share[order] > 1
+            first = np.flatnonzero(np.diff(windows[:, 0], prepend=-1) | np.diff(task, prepend=-1))
+            column = lambda j: names.take(pa.array(windows[:, j], mask=windows[:, j] < 0))
+            often = pa.array(count).cast(pa.string()).cast(pa.binary())
+            following = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
+            lines = pc.if_else(pa.array(count > 1), pc.binary_join_element_wise(following, often, b"\t"), following)
+            for k in range(0, len(first), 10_000):
+                at = first[k : k + 10_000]
+                ends = np.append(at, first[k + 10_000] if k + 10_000 < len(first) else len(windows))
+                seen = pc.binary_join(pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), lines[ends[0] : ends[-1]]), b"\n")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(task[at]), pa.repeat(pa.scalar(lang), len(at)), names.take(pa.array(windows[at, 0])).cast(pa.string()), pa.array(split[at]), seen.cast(pa.string())],
+                    ["task", "lang", "prefix", "split", "seen"],
+                )
+
+    return _texts(docs, text_col, lang_col).mapInArrow(projected, "task long, lang string, prefix string, split boolean, seen string")
 
 
 def grow(prefix: str, length: int, seen: list[tuple[str, int]], min_count: int, whole: bool) -> Iterator[tuple[str, int, int]]:
@@ -288,10 +295,11 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, n_words: int, min_cou
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         prefixes: dict[tuple, list] = {}
-        for row in group["seen"]:
-            lang, prefix, seen, count = row.rsplit("\t", 3)
-            n = int(count)
-            prefixes.setdefault((lang, prefix, n > 0), []).append((seen, abs(n)))
+        for lang, prefix, split, seen in zip(group["lang"], group["prefix"], group["split"], group["seen"]):
+            at = prefixes.setdefault((lang, prefix, not split), [])
+            for line in seen.split("\n"):
+                words, _, n = line.partition("\t")
+                at.append((words, int(n) if n else 1))
         out = [(lang, *found) for (lang, prefix, whole), seen in prefixes.items() for found in grow(prefix, 1, seen, min_count, whole)]
         return pd.DataFrame(out, columns=["lang", "phrase", "words", "n"])
 
