@@ -15,7 +15,9 @@ from marginalia.functions import text
 from marginalia.operators import chunker, retrieval, snapshot, text_crdt, tree
 from marginalia.plans import state_queries
 from marginalia.session import table
+from marginalia.sources import hints
 from marginalia.sources.sinks import json_events
+from marginalia.streaming import flows
 
 
 def before(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +61,56 @@ def st_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", "path", *[F.coalesce(c, F.lit("")).alias(c) for c in ("old_path", "id", "hash")])
 
 
+def _hinted_events(spark: SparkSession, sf_dir: str, lost: bool = False, torn: bool = False) -> DataFrame:
+    """The events that a stream of hints leads to, until nothing is hinted any more."""
+    base = state_queries.new_folder(spark)
+    old, new, asked = before(spark, sf_dir), now(spark, sf_dir), renamed(spark, sf_dir)
+    log, looks = hints.HintLog(f"{base}/hints"), []
+    others = old.select("path").union(new.select("path")).distinct().join(asked, "path", "left_anti").withColumn("renamed", F.lit(False))
+    log.emit_all(others.repartition(4))
+    if lost:
+        log.keep(0)
+    log.emit_all(asked)
+    in_place = old.select("path", "ino").join(new.select("path", "ino"), ["path", "ino"]).where("ino % 3 = 0").select("path", F.lit(True).alias("_torn"))
+
+    def current() -> DataFrame:
+        looks.append(1)
+        if not torn or len(looks) > 1:
+            return new
+        return new.join(in_place, "path", "left").withColumn("stable", F.col("_torn").isNull()).drop("_torn")
+
+    keep = lambda events: events.write.mode("append").parquet(f"{base}/events")
+    again = lambda rows: log.emit_all(rows)
+    step = flows.reconcile_batches(spark, old, current, keep, f"{base}/kept", again)
+    for _ in range(2 if torn else 1):
+        stream = hints.hint_stream(spark, log.path).writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        stream.foreachBatch(step).start().awaitTermination()
+    return spark.read.parquet(f"{base}/events").select("kind", "path", *[F.coalesce(c, F.lit("")).alias(c) for c in ("old_path", "id", "hash")])
+
+
+def src_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hints that were given by hand."""
+    return _hinted_events(spark, sf_dir)
+
+
+def st_overflow_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most hints were lost before they were read; one for the root stands in for them."""
+    return _hinted_events(spark, sf_dir, lost=True)
+
+
+def st_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the files that stayed in place was being written at the first look: they are hinted again."""
+    return _hinted_events(spark, sf_dir, torn=True)
+
+
 def join_hint_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     paths = table(spark, sf_dir, "orders").select(F.concat(F.lit("v/"), k % 40, F.lit("/"), k, F.lit(".md")).alias("path"))
-    hints = spark.range(20).select(
+    asked = spark.range(20).select(
         F.when(F.col("id") < 10, F.concat(F.lit("v/"), F.col("id") * 3)).otherwise(F.concat(F.lit("v/"), F.col("id") % 40, F.lit("/"), F.col("id"), F.lit(".md"))).alias("path"),
         (F.col("id") % 2 == 0).alias("renamed"),
     )
-    return snapshot.hinted(paths, hints)
+    return snapshot.hinted(paths, asked)
 
 
 def flt_vault_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +349,7 @@ WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'VERDICT: ANSWER' || chr(1
 QUERIES = {
     f.__name__: f
     for f in (
-        join_snapshot_diff, join_move_detect, st_reconcile, join_hint_expand, flt_vault_file, flt_path_under, join_local_changes, join_case_collision,
+        join_snapshot_diff, join_move_detect, st_reconcile, src_manual, st_overflow_rescan, st_retry, join_hint_expand, flt_vault_file, flt_path_under, join_local_changes, join_case_collision,
         fn_fold_case, tree_path, tree_listing, tree_is_deleted, join_children, fold_tree, fold_text, proj_explode_run, proj_explode_delete,
         join_op_parent, compact_text, chunk_documents, agg_chunk_digest, agg_build_stats, chunk_lines, fn_link_ratio, fn_words, fn_utf8_len,
         vec_hash_embed, fn_blake2b, fn_parse_citations, fn_read_verdict, answer, sink_json_events, scan_doc_lookup, fn_topic_count, fn_ctx_tokens, fn_label_cleanup,
@@ -382,3 +426,4 @@ SELECT p_partkey, CASE WHEN p_partkey < 2 THEN 0 WHEN p_partkey < 4 THEN 2 ELSE
 SELECT doc_id, least(greatest(pow(2, ceil(log2(strlen(text) * 4 / 3.0 + 1024))), 4096), 32768)::INT AS tokens FROM documents""",
     "fn_label_cleanup": "SELECT n_nationkey, n_name AS label FROM nation",
 }
+ORACLES |= {name: ORACLES["st_reconcile"] for name in ("src_manual", "st_overflow_rescan", "st_retry")}

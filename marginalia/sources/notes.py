@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,27 +66,55 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return entries.mapInPandas(below, STAT)
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """``path, id, dev, ino, nlink, hash`` of the notes in a mounted folder; ids are for new files to be given."""
+def census(spark: SparkSession, root: str, tries: int = 4) -> DataFrame:
+    """``path, id, dev, ino, nlink, hash, stable`` of the notes in a mounted folder; ids are for new files to be given.
+
+    A file that changes while it is read is read again, ``tries`` times in all; one that
+    never settles is not stable and has no hash. What is gone by then is not there.
+    """
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
             for r in batch.itertuples():
-                for _ in range(4):  # a file that changes while it is read is read again
-                    path = os.path.join(root, r.path)
-                    before = os.stat(path)
-                    with open(path, "rb") as f:
-                        content = f.read()
-                    after = os.stat(path)
-                    if (before.st_mtime_ns, before.st_size, before.st_ino) == (after.st_mtime_ns, after.st_size, after.st_ino):
-                        kept.append((r.path, after.st_dev, after.st_ino, after.st_nlink, content))
-                        break
-            yield pd.DataFrame(kept, columns=["path", "dev", "ino", "nlink", "content"])
+                row = stable_read(os.path.join(root, r.path), tries)
+                if row is not None:
+                    kept.append((r.path, *row))
+            yield pd.DataFrame(kept, columns=["path", "dev", "ino", "nlink", "content", "stable"])
 
     files = walk(spark, root).where(~F.col("is_dir") & is_vault_file(F.col("path"))).select("path")
-    read = files.mapInPandas(contents, "path string, dev long, ino long, nlink long, content binary")
-    return read.select("path", F.lit(None).cast("string").alias("id"), "dev", "ino", "nlink", blake2(32)("content").alias("hash"))
+    read = files.mapInPandas(contents, "path string, dev long, ino long, nlink long, content binary, stable boolean")
+    return read.select("path", F.lit(None).cast("string").alias("id"), "dev", "ino", "nlink", blake2(32)("content").alias("hash"), "stable")
+
+
+def stable_read(path: str, tries: int = 4, content: Callable[[str], bytes] | None = None) -> tuple | None:
+    """``dev, ino, nlink, content, stable`` of a file, None where there is none."""
+    identity = lambda s: (s.st_mtime_ns, s.st_size, s.st_ino, s.st_ctime_ns)
+    try:
+        for _ in range(tries):
+            before = os.stat(path)
+            data = content(path) if content else _bytes(path)
+            after = os.stat(path)
+            if identity(before) == identity(after):
+                return after.st_dev, after.st_ino, after.st_nlink, data, True
+    except FileNotFoundError:
+        return None
+    return after.st_dev, after.st_ino, after.st_nlink, None, False
+
+
+def _bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """``path, id, dev, ino, nlink, hash`` of the notes that could be read as one state."""
+    return census(spark, root).where("stable").drop("stable")
+
+
+def primed(census: DataFrame) -> DataFrame:
+    """A first snapshot with an id for each file, the same whenever it is taken again: from its inode and its path."""
+    return census.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws(":", "dev", "ino", "path"), 256).substr(1, 32)))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

@@ -106,12 +106,18 @@ def apply_pages(state_path: str, keys: list[str]) -> Callable[[DataFrame, int],
     return batch
 
 
-def reconcile_batches(spark: SparkSession, previous: DataFrame, current: Callable[[], DataFrame], emit: Callable[[DataFrame], None], kept: str | None = None):
+def reconcile_batches(
+    spark: SparkSession, previous: DataFrame, current: Callable[[], DataFrame], emit: Callable[[DataFrame], None], kept: str | None = None,
+    retry: Callable[[DataFrame], None] | None = None,
+):
     """For ``foreachBatch`` over debounced hints: look at what they cover, emit events, keep the new snapshot.
 
     Snapshots are written under ``kept`` by the batch that made them, and a batch goes on
     from the latest one before it; so a restart, or a batch that comes again, finds what
     it had before. ``previous`` counts where there is none.
+
+    A row of ``current()`` whose ``stable`` is false could not be read as one state: what is
+    known of its path stays as it was, and the path goes back to ``retry(path, renamed)``.
     """
     base = kept or f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
 
@@ -132,13 +138,18 @@ def reconcile_batches(spark: SparkSession, previous: DataFrame, current: Callabl
             return
         before, now = latest(n), cut(current())
         asked = hints.select("path", "renamed")
-        covered = snapshot.hinted(before.select("path").union(now.select("path")).distinct(), asked)
+        covered, again = snapshot.hinted(before.select("path").union(now.select("path")).distinct(), asked), None
+        if "stable" in now.columns:
+            torn = now.where(~F.col("stable")).select("path")
+            again, covered, now = cut(covered.join(torn, "path", "left_semi")), covered.join(torn, "path", "left_anti"), now.drop("stable")
         within = lambda d: d.join(covered.select("path"), "path", "left_semi")
         emit(snapshot.reconcile(within(before), within(now), covered))
         rest = before.join(covered.select("path"), "path", "left_anti")
         known = before.select("path", F.col("id").alias("_id"))
         seen = within(now).join(known, "path", "left").withColumn("id", F.coalesce("_id", "id")).drop("_id")
         write(rest.unionByName(seen), n)
+        if again is not None and retry is not None and not again.isEmpty():
+            retry(again)
 
     return batch
 

@@ -6,10 +6,12 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marginalia.functions import text as text_functions
 from marginalia.operators import chunker, snapshot, text_crdt, tree
-from marginalia.sources import notes, sinks
+from marginalia.session import cut as cut_lineage
+from marginalia.sources import hints, notes, sinks
 from marginalia.streaming import flows
 
 SNAPSHOT = "path string, id string, dev int, ino long, nlink int, hash string"
@@ -311,3 +313,94 @@ def test_reconcile_batches_go_on_after_a_restart(spark, tmp_path):
         )
         step(hint, max(n - 1, 0))
     assert seen == [["modified"], ["modified"], ["modified"]]  # the first, the first again, and the change after it
+
+
+# ------------------------------------------------------------------ hints by hand
+
+
+def test_a_stream_of_hints_goes_on_after_a_restart_and_after_loss(spark, tmp_path):
+    log, seen = hints.HintLog(f"file://{tmp_path}/log"), []
+
+    def run():
+        stream = hints.hint_stream(spark, log.path).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        stream.foreachBatch(lambda rows, n: seen.append(sorted((r.path, r.renamed) for r in rows.collect())) if not rows.isEmpty() else None).start().awaitTermination()
+        got = [h for batch in seen for h in batch]
+        seen.clear()
+        return sorted(got)
+
+    log.emit([("a", False), ("b/c", True), (None, True)])
+    log.emit([("d", False)])
+    assert run() == [("a", False), ("b/c", True), ("d", False)]
+    assert run() == []
+    log.emit_all(spark.createDataFrame([(f"p{i}", i == 3) for i in range(20)] + [(None, True), ("q", None)], "path string, renamed boolean").repartition(3))
+    assert run() == sorted([(f"p{i}", i == 3) for i in range(20)] + [("q", False)])
+    log.emit([("lost", True)])
+    log.emit([("kept", True)])
+    log.keep(1)
+    assert run() == [("", False), ("kept", True)]
+    log.emit([("lost as well", True)])
+    log.keep(0)
+    log.emit([("z", False)])
+    assert run() == [("", False), ("z", False)]
+    with open(f"{log.path}/{log._next()}.json", "w") as f:
+        f.write('["half", tr')
+    assert run() == [("", False)]
+
+
+def test_a_changing_folder_by_hints(spark, tmp_path):
+    """Created, modified, moved and deleted notes, over a restart, and a file that is being written."""
+    root = tmp_path / "vault"
+    (root / "sub").mkdir(parents=True)
+    log, events = hints.HintLog(str(tmp_path / "log")), []
+    first, unsettled = cut_lineage(notes.primed(notes.snapshot(spark, str(root)))), set()
+
+    def now():
+        return notes.census(spark, str(root)).withColumn("stable", F.col("stable") & ~F.col("path").isin(*unsettled, ""))
+
+    def look(*paths, renamed=False):
+        log.emit([(p, renamed) for p in paths])
+        step = flows.reconcile_batches(spark, first, now, lambda e: events.extend((r.kind, r.path, r.old_path) for r in e.collect()), str(tmp_path / "kept"), lambda again: log.emit_all(again))
+        stream = hints.hint_stream(spark, log.path).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        stream.foreachBatch(step).start().awaitTermination()
+        out, events[:] = sorted(events, key=repr), []
+        return out
+
+    (root / "a.md").write_text("a")
+    (root / "sub" / "b.md").write_text("b")
+    assert look("") == [("created", "a.md", None), ("created", "sub/b.md", None)]
+    os.rename(root / "a.md", root / "sub" / "c.md")
+    assert look("a.md", "sub", renamed=True) == [("moved", "sub/c.md", "a.md")]
+    (root / "sub" / "b.md").write_text("being written")
+    unsettled.add("sub/b.md")
+    assert look("sub/b.md") == []
+    unsettled.clear()
+    (root / "d.md").write_text("d")
+    assert look("d.md") == [("created", "d.md", None), ("modified", "sub/b.md", None)]
+    os.remove(root / "d.md")
+    assert look("") == [("deleted", "d.md", None)]
+
+
+def test_files_that_change_while_they_are_read(tmp_path):
+    path = tmp_path / "n.md"
+    path.write_text("x")
+    assert notes.stable_read(str(path))[3:] == (b"x", True)
+    reads = []
+
+    def meddled(p, until):
+        reads.append(p)
+        data = open(p, "rb").read()
+        if len(reads) < until:
+            path.write_text("x" * (len(reads) + 5))
+        return data
+
+    assert notes.stable_read(str(path), 4, lambda p: meddled(p, 3))[4] is True and len(reads) == 3
+    reads.clear()
+    assert notes.stable_read(str(path), 4, lambda p: meddled(p, 99))[3:] == (None, False) and len(reads) == 4
+    assert notes.stable_read(str(tmp_path / "gone.md")) is None
+
+
+def test_first_ids_are_the_same_whenever_they_are_given(spark, tmp_path):
+    for name in ("a.md", "b.md"):
+        (tmp_path / name).write_text(name)
+    ids = lambda: sorted((r.path, r.id) for r in notes.primed(notes.snapshot(spark, str(tmp_path))).collect())
+    assert ids() == ids() and len({i for _, i in ids()}) == 2
