@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import cut
+from marginalia.session import bounded_batches, cut
 
 #: What ends a piece, and what separates words inside one.
 PIECE_ENDS, WORD_GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -52,7 +52,9 @@ SLOTS, BITS = 1 << 22, 1 << 26
 #: Hashes by which pairs are counted: few enough to travel in five bytes.
 PAIRS = 1 << 36
 #: Bytes of a text split at once, words that a worker remembers and positions it sums up before it hands them on.
-SEGMENT, REMEMBERED, PENDING = 1 << 20, 500_000, 3_000_000
+SEGMENT, REMEMBERED, PENDING = 1 << 20, 300_000, 2_000_000
+#: Continuations that a worker puts into words at a time.
+LINES = 50_000
 #: Places where the best of a language are chosen first.
 SALTS = 64
 #: An odd number that spreads the hash of a word over 64 bits.
@@ -245,14 +247,16 @@ def pointers(docs: DataFrame, parts: np.ndarray, bits: np.ndarray, max_words: in
             order = np.lexsort((task, windows[:, 0]))
             windows, count, task, split = windows[order], count[order], task[order], share[order] > 1
             first = np.flatnonzero(np.diff(windows[:, 0], prepend=-1) | np.diff(task, prepend=-1))
-            column = lambda j: names.take(pa.array(windows[:, j], mask=windows[:, j] < 0))
-            often = pa.array(count).cast(pa.string()).cast(pa.binary())
-            following = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
-            lines = pc.if_else(pa.array(count > 1), pc.binary_join_element_wise(following, often, b"\t"), following)
-            for k in range(0, len(first), 10_000):
-                at = first[k : k + 10_000]
-                ends = np.append(at, first[k + 10_000] if k + 10_000 < len(first) else len(windows))
-                seen = pc.binary_join(pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), lines[ends[0] : ends[-1]]), b"\n")
+            edges = np.append(first, len(windows))
+            # as many prefixes at a time as have about LINES continuations
+            cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(windows), LINES)), len(first)))
+            for low, high in zip(cuts.tolist(), cuts[1:].tolist()):
+                at, ends, some = first[low:high], edges[low : high + 1], slice(edges[low], edges[high])
+                column = lambda j: names.take(pa.array(windows[some, j], mask=windows[some, j] < 0))
+                often = pa.array(count[some]).cast(pa.string()).cast(pa.binary())
+                following = pc.binary_join_element_wise(*[column(j) for j in range(1, max_words)], b" ", null_handling="skip")
+                lines = pc.if_else(pa.array(count[some] > 1), pc.binary_join_element_wise(following, often, b"\t"), following)
+                seen = pc.binary_join(pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), lines), b"\n")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(task[at]), pa.repeat(pa.scalar(lang), len(at)), names.take(pa.array(windows[at, 0])).cast(pa.string()), pa.array(split[at]), seen.cast(pa.string())],
                     ["task", "lang", "prefix", "split", "seen"],
@@ -325,6 +329,7 @@ def collocations(
     remainder. A phrase is left out where a longer candidate holds it and has ``covered_pct``
     percent of its occurrences.
     """
+    bounded_batches(docs.sparkSession)
     often = F.when(F.col("n") >= min_count, F.col("word")).alias("word")
     # the rare words of a language are one row, without a word
     words = cut(word_counts(docs, text_col, lang_col).groupBy("lang", often).agg(F.sum("n").alias("n")))
