@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import as_doubles, dot
 from marginalia.operators.search import topk
+from marginalia.session import chosen
 
 SAMPLE, ROUNDS, CODEWORDS = 20_000, 12, 256
 #: Codes and questions of a group: what one task holds at a time.
@@ -89,9 +90,8 @@ def fit(vectors: DataFrame, cells: int | None = None, stretches: int = 16, seed:
     if not d:
         return None
     whole = vectors.where(F.size("vector") == d)
-    share = min(1.0, SAMPLE / n)
-    if share < 1:
-        whole = whole.where(F.abs(F.xxhash64("segment", "slot", F.lit(seed)).cast("double")) < F.lit(share * 2.0**63))
+    if n > SAMPLE:
+        whole = whole.where(chosen(F.xxhash64("segment", "slot", F.lit(seed)), SAMPLE, n))
     # twice the sample at the most, whatever the ids
     got = whole.select(as_doubles(F.col("vector")).alias("v")).orderBy(F.xxhash64("v")).limit(2 * SAMPLE).toPandas()
     if not len(got):

@@ -77,6 +77,11 @@ def numbered(df: DataFrame, order: list, name: str = "place", value: Column | No
     return rows.drop("_part", "_one", "_base")
 
 
+def chosen(key: Column, limit: int, n: int) -> Column:
+    """Whether a row is among ``limit`` of ``n`` in expectation, by all 64 bits of the hash ``key``."""
+    return key < F.lit(min(limit * 2**64 // max(n, 1), 2**64 - 1) - 2**63)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows Arrow sends to Python at once, as texts may be very long.
 

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import ann, chunker, manifest, oplog, retrieval, search, segments, topics
 from marginalia.plans import more_queries, search_queries
+from marginalia.session import chosen
 
 POOL = "q long, segment int, slot long, score double, rk int, resolved boolean, link_ratio int"
 
@@ -202,3 +204,13 @@ def test_the_registered_topic_map_fits_with_the_default_rounds(spark, monkeypatc
     monkeypatch.setattr(topics, "fit", lambda vectors, k=None, iterations=topics.ITERATIONS: asked.append(iterations) or [[1.0] * 64, [-1.0] * 64])
     search_queries.topic_map(spark, "/root/testdata/sf0.001")
     assert asked == [topics.ITERATIONS]
+
+
+def test_samples_keep_their_size_whatever_the_number_of_rows(spark):
+    """A share far below one in a million still draws rows."""
+    ids = spark.range(2_000_000).select(F.xxhash64("id").alias("h"))
+    for limit, n in ((50, 2_000_000), (100, 10**15), (3, 2), (5, 0)):
+        got = ids.where(chosen(F.col("h"), limit, n)).count()
+        want = min(limit / max(n, 1), 1.0) * 2_000_000
+        assert abs(got - want) <= 6 * max(want, 1) ** 0.5
+    assert ids.where(chosen(F.col("h"), 10**14, 10**20)).count() > 0
