@@ -18,9 +18,9 @@ connected, so its output is as long as its tiles and never as long as the pairs
 Defined results
     null, zero or not finite  a vector with such values links with nothing; the
                               same for a null label and for vectors of another width
-    repeated rows             one row remains of those with the same id, label and vector
-    repeated ids              each vector is compared and has its row; classes of equal
-                              vectors whose least id is the same share a component
+    repeated rows             each row stays, and links with its copies
+    repeated ids              each vector is compared for itself: rows of an id have the links
+                              and the component of their own vector
     null id                   links with nothing
     empty table               an empty result
     other columns             not kept
@@ -38,8 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.graph import components, union
-from marginalia.session import cut
+from marginalia.llm.graph import components, union, with_value
+from marginalia.session import chosen, cut, numbered
 
 TILE, SAMPLE, SLICES, AXES = 1024, 4096, 4096, 16
 #: Places that the tiles of one stretch of the first axis are dealt to where tiles meet.
@@ -58,8 +58,7 @@ def usable() -> Column:
 
 def principal_axes(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     """For each width an orthogonal matrix whose columns are axes, from a sample of bounded size."""
-    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit("axes")), F.lit(1 << 20)) < share).select("dim", "embedding").limit(2 * SAMPLE)
+    sample = rows.where(chosen(F.xxhash64("id", F.lit("axes")), SAMPLE, n)).select("dim", "embedding").limit(2 * SAMPLE)
     axes = {}
     got = sample.toPandas()
     for dim, part in got.groupby("dim"):
@@ -199,23 +198,25 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64("embedding", F.lit("second")))
     same = ["label", "h1", "h2"]
-    marked = cut(rows.select("id", *same, usable().alias("good")).distinct())
-    groups = cut(marked.where("good").groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    firsts = rows.join(groups, [*same, "id"]).dropDuplicates([*same, "id"])
-    good = firsts.select("id", "n", "label", F.size("embedding").alias("dim"), "embedding")
+    marked = cut(rows.select("id", *same, usable().alias("good")))
+    groups = marked.where("good").groupBy(*same).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = cut(numbered(groups, ["h1", "h2", "label"], "group"))
+    firsts = rows.join(groups.withColumnRenamed("least", "id"), [*same, "id"]).dropDuplicates(["group"])
+    good = firsts.select(F.col("group").alias("id"), "n", "label", F.size("embedding").alias("dim"), "embedding")
     axes = principal_axes(good, groups.count())
     found = cut(_tiled(good, axes, threshold).groupBy("pair").applyInPandas(_compare(threshold, axes), "id long, links long, other long"))
-    roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    # a row for each group of equal vectors: what it links to, and its component
-    told = cut(groups.join(counts, "id", "left").join(roots, "id", "left").select(
-        *same, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"), F.lit(True).alias("good")
+    roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "group")
+    counts = found.groupBy(F.col("id").alias("group")).agg(F.sum("links").alias("links"))
+    # a row for each group of equal vectors: what it links to, and the least id that it reaches
+    linked = cut(groups.join(counts, "group", "left").join(roots, "group", "left").select(
+        *same, "group", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "group").alias("root")
     ))
-    out = marked.join(told, [*same, "good"], "left")
-    component = F.coalesce("root", "id")
-    return out.select(
+    component = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = cut(with_value(linked, component, "root", "group").select(*same, "n_links", "component_id", F.lit(True).alias("good")))
+    reached = F.coalesce("component_id", "id")
+    return marked.join(told, [*same, "good"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        reached.alias("component_id"),
+        reached.eqNullSafe(F.col("id")).alias("kept"),
     )
