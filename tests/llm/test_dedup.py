@@ -183,7 +183,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     labels[0], labels[1], labels[200] = 0, 1, 1
     rows = [(i, [float(v) for v in x[i]], labels[i]) for i in range(len(x))]
     odd = [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] + [1.0] * 23, 0), (903, rows[0][1], None), (904, [1.0, 2.0], 0), (905, [], 1), (906, [None] + [1.0] * 23, 1)]
-    table = spark.createDataFrame([*rows, *odd, rows[5]], "vec_id long, embedding array<double>, label int")
+    table = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, threshold=0.93).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     close = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :]) & ~np.eye(len(x), dtype=bool)
@@ -195,6 +195,27 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows) + len(odd)
 
 
+def test_embeddings_of_repeated_ids_and_rows(spark, monkeypatch):
+    """Every row of the table has its own links: against brute force over rows, whatever their ids."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6))
+    x[30:60] = x[:30] + rng.normal(scale=0.08, size=(30, 6))
+    ids = [int(i) for i in rng.integers(0, 40, len(x))]
+    at = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0, 0.0, 0.0]
+    rows = [(i, [float(c) for c in v]) for i, v in zip(ids, x)] + [(5, at(0.0)), (5, at(3.0)), (6, at(0.1)), (7, at(0.2)), (8, at(3.1))]
+    rows += [rows[0], rows[0], (77, rows[0][1]), (None, rows[0][1])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int"), threshold=0.93).collect()
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    usable = np.array([i is not None for i, _ in rows])
+    close = (u @ u.T >= 0.93 - 1e-12) & usable[:, None] & usable[None, :] & ~np.eye(len(rows), dtype=bool)
+    root = classes(len(rows), [(int(i), int(j)) for i, j in zip(*np.nonzero(close))])
+    least = {r: min(i for (i, _), q in zip(rows, root) if q == r and i is not None) if usable[r] else None for r in set(root)}
+    want = sorted((((i, int(n), least[r], least[r] == i)) for (i, _), n, r in zip(rows, close.sum(axis=1), root)), key=repr)
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == want
+
+
 def test_many_copies_of_one_vector_cost_as_one(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 64)
     copies = spark.range(100_000).selectExpr("id AS vec_id", "array(1D, 2D, 3D) AS embedding", "1 AS label")
@@ -359,3 +380,9 @@ def test_passages_with_a_changed_word_are_found(spark):
 
 def test_passages_on_an_empty_table(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
+
+
+def test_passages_longer_than_windows_can_be_are_refused(spark):
+    for words in (2001, 4):
+        with pytest.raises(ValueError):
+            substring_dedup.repeated_passages(docs(spark, [(1, "a")]), min_words=words)
