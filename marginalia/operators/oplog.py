@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.session import numbered
+
 PAGE_CAP, WINDOW, PIECE = 512, 64, 4 << 20
 
 
@@ -65,9 +67,9 @@ def last_write(ops: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def coalesced_deletes(ids: DataFrame) -> DataFrame:
-    """Runs of consecutive counters of one replica: ``object, replica, counter, count``."""
-    island = F.col("counter") - F.row_number().over(chain())
-    runs = ids.select("object", "replica", "counter").distinct().withColumn("_island", island)
+    """Runs of consecutive counters of one replica: ``object, replica, counter, count``. A chain may be of any length."""
+    each = numbered(ids.select("object", "replica", "counter").distinct(), ["counter"], "_place", within=("object", "replica"))
+    runs = each.withColumn("_island", F.col("counter") - F.col("_place"))
     return runs.groupBy("object", "replica", "_island").agg(F.min("counter").alias("counter"), F.count(F.lit(1)).alias("count")).drop("_island")
 
 

@@ -74,8 +74,9 @@ def opened(manifest: DataFrame, entries: DataFrame, model: str, dimension: int)
 
 
 def digests(entries: DataFrame) -> DataFrame:
-    """``segment, count, digest``: of a segment's slots and objects in order."""
-    row = F.concat_ws(":", "slot", "object")
+    """``segment, count, digest``: of all that a segment's entries hold, in order of their slots."""
+    columns = sorted(c for c in entries.columns if c != "segment")
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     listed = F.array_sort(F.collect_list(F.struct("slot", row.alias("row"))))
     return entries.groupBy("segment").agg(F.count(F.lit(1)).alias("count"), F.sha2(F.array_join(listed.getField("row"), ","), 256).alias("digest"))
 

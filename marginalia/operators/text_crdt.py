@@ -171,11 +171,21 @@ def compacted(chars: DataFrame, watermark: DataFrame) -> DataFrame:
         n = left
 
 
+def _common(a: str, b: str, most: int, at_end: bool = False) -> int:
+    """How many characters, ``most`` at the most, two texts share at their start or end: by halves, each compared as a whole."""
+    low, high = 0, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        same = a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if at_end else a[low:mid] == b[low:mid]
+        low, high = (mid, high) if same else (low, mid - 1)
+    return low
+
+
 def replaced_middle(old: str, new: str) -> tuple[int, int, str]:
     """``start, deleted, inserted``: the edit that remains between a common prefix and suffix."""
     short = min(len(old), len(new))
-    start = next((i for i in range(short) if old[i] != new[i]), short)
-    end = next((i for i in range(short - start) if old[-1 - i] != new[-1 - i]), short - start)
+    start = _common(old, new, short)
+    end = _common(old, new, short - start, at_end=True)
     return start, len(old) - start - end, new[start : len(new) - end]
 
 

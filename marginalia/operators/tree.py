@@ -8,10 +8,10 @@ of one vault are folded by one task; different vaults spread by their id.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import cut
+from marginalia.session import cut, numbered
 
 ROOT, TRASH = "root", "trash"
 SEPARATOR = "/"
@@ -50,17 +50,20 @@ def fold(moves: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, root: str = ROOT) -> DataFrame:
     """``vault, child, path, is_dir`` of every node below ``root``.
 
-    One join per level of the tree; what is in the trash or cut off never joins.
+    Pointers are doubled: in each round a node takes over the path and the pointer of the
+    node it points to, so the rounds grow with the logarithm of the depth. What leads to no
+    node, or round in a circle, is cut off.
     """
-    nodes = nodes.select("vault", "child", "parent", "name", "is_dir")
-    level = nodes.where(F.col("parent") == root).select("vault", "child", F.col("name").alias("path"), "is_dir")
-    found = level = cut(level)
-    while not level.isEmpty():
-        above = level.select("vault", F.col("child").alias("parent"), F.col("path").alias("_above"))
-        below = nodes.join(above, ["vault", "parent"])
-        level = cut(below.select("vault", "child", F.concat_ws(SEPARATOR, "_above", "name").alias("path"), "is_dir"))
-        found = found.unionByName(level)
-    return found
+    now = cut(nodes.select("vault", "child", F.col("parent").alias("at"), F.col("name").alias("path"), "is_dir"))
+    going = F.col("at") != root
+    for _ in range(max(now.count(), 1).bit_length() + 1):
+        left = now.where(going)
+        if left.isEmpty():
+            break
+        above = now.select("vault", F.col("child").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"))
+        moved = left.join(above, ["vault", "at"]).select("vault", "child", F.col("_at").alias("at"), F.concat_ws(SEPARATOR, "_path", "path").alias("path"), "is_dir")
+        now = cut(now.where(~going).unionByName(moved))
+    return now.where(~going).select("vault", "child", "path", "is_dir")
 
 
 def listing(nodes: DataFrame) -> DataFrame:
@@ -85,11 +88,11 @@ def moves_for(events: DataFrame, clock: int, replica: str) -> DataFrame:
     ``events(vault, kind, path, id)``. A writer numbers its own moves one after the
     other, by path and kind, from ``clock`` on. What is only modified does not move.
     """
-    order = Window.partitionBy("vault").orderBy("path", "kind")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return events.where("kind <> 'modified'").select(
+    placed = numbered(events.where("kind <> 'modified'"), ["path", "kind"], "_place", within=("vault",))
+    return placed.select(
         "vault",
-        (F.row_number().over(order) + clock).cast("long").alias("counter"),
+        (F.col("_place") + clock).cast("long").alias("counter"),
         F.lit(replica).alias("replica"),
         F.coalesce("id", "path").alias("child"),
         F.when(F.col("kind") == "deleted", TRASH).when(folder == "", ROOT).otherwise(folder).alias("parent"),

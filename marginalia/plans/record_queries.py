@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import records, vectors
 from marginalia.operators import manifest, segments, text_crdt, topics, tree
 from marginalia.plans import log_queries, search_queries, text_queries
-from marginalia.session import shared_dir, table
+from marginalia.session import numbered, shared_dir, table
 from marginalia.sources import notes, sinks
 
 KEY = b"0123456789abcdef"  # of these examples
@@ -85,7 +85,7 @@ def scan_eval_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tree.paths(text_queries._nodes(spark, sf_dir))
-    return rows.select("path", "child", F.row_number().over(Window.partitionBy("vault").orderBy("path", "child")).cast("long").alias("place"))
+    return numbered(rows, ["path", "child"], within=("vault",)).select("path", "child", "place")
 
 
 # ------------------------------------------------------------------ sinks
@@ -128,8 +128,8 @@ def sink_delete_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proj_oplog_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of an object's operations by their packed keys."""
     key = F.concat(F.unhex(F.md5(F.col("replica").cast("string").cast("binary"))), records.number(F.col("counter")))
-    order = Window.partitionBy("object").orderBy(key)
-    return log_queries.ops(spark, sf_dir).select("object", "counter", F.row_number().over(order).cast("long").alias("place"))
+    rows = log_queries.ops(spark, sf_dir).select("object", "counter", key.alias("key"))
+    return numbered(rows, ["key"], within=("object",)).select("object", "counter", "place")
 
 
 def proj_encode_op(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def proj_encode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proj_entry_to_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search_queries.scores(spark, sf_dir)
-    return ranked.where("q = 0").select(F.col("slot").alias("vec_id"), F.col("segment").cast("string").alias("place"), F.round("score", 6).alias("score"))
+    return ranked.select("q", F.col("slot").alias("vec_id"), F.col("segment").cast("string").alias("place"), F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ filters
@@ -285,7 +285,7 @@ def gen_set_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edit between a document and the same with a mark put in place of five characters."""
     text, at = F.coalesce("text", F.lit("")), F.col("doc_id") % 40
     new = F.concat(F.substring(text, F.lit(1), at.cast("int")), F.lit("\x01"), F.substring(text, (at + 6).cast("int"), F.length(text)))
-    pairs = table(spark, sf_dir, "documents").where(F.length("text") > 60).select(F.col("doc_id").alias("object"), text.alias("old"), new.alias("new"))
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object"), text.alias("old"), new.alias("new"))
     return text_crdt.edits(pairs).select(F.col("object").alias("doc_id"), "edit.start", "edit.deleted", F.length("edit.inserted").alias("inserted"))
 
 
@@ -382,7 +382,7 @@ FROM (SELECT *, CASE WHEN l_orderkey % 11 = 0 THEN 'other' ELSE 'own' END AS mod
 WITH s AS (SELECT user_id, event_id % 7 AS source, CASE WHEN user_id % 6 = 0 AND event_id % 7 = 0 THEN 0 ELSE max(event_id) END AS mark
            FROM events GROUP BY user_id, event_id % 7, user_id % 6 = 0 AND event_id % 7 = 0)
 SELECT user_id AS replica, CASE WHEN user_id % 5 = 0 OR min(mark) = 0 THEN 'refused' ELSE string_agg(source || '=' || mark, ',' ORDER BY source) END AS marks FROM s GROUP BY 1""",
-    "proj_entry_to_hit": search_queries.SCORED + "SELECT slot AS vec_id, segment::VARCHAR AS place, round(score, 6) AS score FROM s WHERE q = 0",
+    "proj_entry_to_hit": search_queries.SCORED + "SELECT q, slot AS vec_id, segment::VARCHAR AS place, round(score, 6) AS score FROM s",
     "flt_prefix_range": "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 0 AND 255 OR o_orderkey BETWEEN 65280 AND 65535",
     "flt_loopback": "SELECT page_id, page_id % 5 < 3 AS is_local FROM pages",
     "flt_legal_name": "SELECT c_custkey, c_custkey % 5 > 2 AS legal FROM customer",
@@ -405,7 +405,9 @@ FROM orders LEFT JOIN (SELECT user_id, max(event_id) AS high FROM events GROUP B
     "gen_insert": CHARS + """
 SELECT v.object, CASE WHEN length(t) = i THEN counter ELSE counter + 1 END AS parent_counter, CASE WHEN length(t) = i THEN 'right' ELSE 'left' END AS side FROM v WHERE nth = 1""",
     "gen_delete": CHARS + "SELECT object, min(counter) AS counter, count(*) AS count FROM v WHERE nth < 3 GROUP BY object, n",
-    "gen_set_content": "SELECT doc_id, (doc_id % 40)::INT AS start, 5 AS deleted, 1 AS inserted FROM documents WHERE length(text) > 60",
+    "gen_set_content": """
+SELECT doc_id, least(doc_id % 40, n)::INT AS start, greatest(least(5, n - doc_id % 40), 0)::INT AS deleted, 1 AS inserted
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)""",
     "gen_change": f"""
 WITH f AS ({text_queries.ORACLES['st_reconcile']})
 SELECT 100 + row_number() OVER (ORDER BY path, kind) AS counter, CASE WHEN id = '' THEN path ELSE id END AS child,

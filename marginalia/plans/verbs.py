@@ -1,8 +1,8 @@
 """The verbs of a notes index: build, ask, evaluate, topics, stats, compact.
 
-An index is a folder with three tables: ``entries`` (one row per passage, dealt
-into buckets of the segment's hash), ``tombstones`` and ``manifest``. Rows are only
-ever added; a passage is live while nothing buries it and nothing present replaces
+An index is a folder with four tables: ``entries`` (one row per passage, dealt
+into buckets of the segment's hash), ``tombstones``, ``manifest`` and ``notes`` (digests
+of the texts it was built from). Rows are only ever added; a passage is live while nothing buries it and nothing present replaces
 its segment.
 """
 
@@ -14,18 +14,19 @@ from pyspark.sql import functions as F
 from marginalia.functions import text
 from marginalia.operators import chunker, manifest, retrieval, search, segments, topics
 from marginalia.session import cut
+from marginalia.sources.sinks import exists
 
 DIMENSION, BUCKETS = 128, 64
 ENTRIES = (
     "segment string, slot int, object string, ordinal int, start int, end int, kind string, link_ratio int, heading_path string, vector array<double>, bucket int"
 )
+NOTES = "object string, digest string, turn long"
 TOMBSTONES, MANIFEST = "segment string, slot int", "kind string, segment string, count long, superseded_by string"
 
 
 def _table(spark: SparkSession, index: str, name: str, schema: str) -> DataFrame:
     """One of the index's tables, without rows where nothing was written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{index}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{index}/{name}"):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{index}/{name}")
 
@@ -52,16 +53,26 @@ def embedded(passages: DataFrame, column: str = "text", dimension: int = DIMENSI
 def build(notes: DataFrame, index: str, dimension: int = DIMENSION) -> DataFrame:
     """Bring the index up to date with ``notes(object, text)``; one row of what was done.
 
-    Notes whose passages are as they were are left alone, before they are
-    embedded they are still cut, as a changed note is known by its passages.
+    A note is known by the digest of its text: one whose text is as it was is neither cut
+    nor embedded. Digests are written last, so a build that breaks off is done again, and
+    passages that are there by then are left alone.
     """
     spark = notes.sparkSession
-    passages = embedded(chunker.chunks(notes), dimension=dimension).where("vector IS NOT NULL").drop("text")
+    digests = _table(spark, index, "notes", NOTES)
+    turn = (digests.agg(F.max("turn")).first()[0] or 0) + 1
+    known = digests.groupBy("object").agg(F.max_by("digest", "turn").alias("digest")).where("digest IS NOT NULL")
+    now = notes.select("object", F.sha2(F.concat_ws(":", F.lit(str(dimension)), F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    changed = cut(now.join(known, ["object", "digest"], "left_anti"))
+    lost = cut(known.select("object").join(now, "object", "left_anti").select("object", F.lit(None).cast("string").alias("digest")))
+    looked_at = notes.join(changed.select("object"), "object", "left_semi")
+    passages = embedded(chunker.chunks(looked_at), dimension=dimension).where("vector IS NOT NULL").drop("text")
     held = entries(spark, index).select("segment", "slot", "object", "ordinal", "start", "end", "vector")
     retired = _table(spark, index, "manifest", MANIFEST).where("kind = 'retire'").count()
     generation = retired + _table(spark, index, "tombstones", TOMBSTONES).count()
     fresh, dead = segments.put(cut(passages), held, generation)
-    gone = segments.remove(held.select("object").distinct().join(notes.select("object"), "object", "left_anti"), held)
+    # what is no longer there, and what changed until no passage of it was left
+    empty = changed.select("object").join(passages.select("object"), "object", "left_anti")
+    gone = segments.remove(held.select("object").distinct().join(notes.select("object"), "object", "left_anti").union(empty), held)
     fresh, dead = cut(fresh), cut(dead.unionByName(gone).distinct())
     bucket = F.pmod(F.xxhash64("segment"), F.lit(BUCKETS)).cast("int")
     columns = [c.split()[0] for c in ENTRIES.split(", ")]
@@ -69,8 +80,9 @@ def build(notes: DataFrame, index: str, dimension: int = DIMENSION) -> DataFrame
     _append(dead.select("segment", F.col("slot").cast("int").alias("slot")), index, "tombstones")
     adds = fresh.groupBy("segment").agg(F.count(F.lit(1)).alias("count"))
     _append(adds.select(F.lit("add").alias("kind"), "segment", "count", F.lit(None).cast("string").alias("superseded_by")), index, "manifest")
+    _append(changed.unionByName(lost).withColumn("turn", F.lit(turn).cast("long")), index, "notes")
     added = fresh.agg(F.count(F.lit(1)).alias("added"), F.count_distinct("object").alias("notes"))
-    return added.crossJoin(dead.agg(F.count(F.lit(1)).alias("buried")))
+    return added.crossJoin(dead.agg(F.count(F.lit(1)).alias("buried"))).crossJoin(changed.agg(F.count(F.lit(1)).alias("embedded")))
 
 
 def ask(

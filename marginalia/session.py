@@ -60,21 +60,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, order: list, name: str = "place", value: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str = "place", value: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``name``: its row number in ``order``, from 1, or the sum of ``value`` over the rows before.
 
-    The rows are dealt by ranges of the order and numbered inside each; only the
-    totals of the ranges, one row a task, are added up in one place.
+    With ``within`` the rows of each such group are numbered for themselves. The rows are
+    dealt by ranges of group and order and numbered inside each range, so a group may be of
+    any size; only totals of the ranges are added up: of those that a group began before.
     """
     one = F.lit(1).cast("long") if value is None else value
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_one", one))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("_part").agg(F.sum("_one").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_base") + F.sum("_one").over(inside)
-    # one row for each task of the sort: as many as spark.sql.shuffle.partitions
-    rows = ranged.join(F.broadcast(bases), "_part").withColumn(name, upto if value is None else upto - F.col("_one"))
-    return rows.drop("_part", "_one", "_base")
+    ranged = cut(df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()).withColumn("_one", one))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*within, "_part").agg(F.sum("_one").alias("_sum"))
+    bases = sums.select(*within, "_part", F.sum("_sum").over(before).alias("_base")).where("_base IS NOT NULL")
+    inside = Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row for each task of the sort at the most: a range goes on with one group, others begin in it
+    key = F.col("_part") == F.col("_p")
+    same = [F.col(c).eqNullSafe(F.col(f"_w{k}")) for k, c in enumerate(within)]
+    for s in same:
+        key = key & s
+    renamed = bases.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)], "_base")
+    rows = ranged.withColumn("_upto", F.sum("_one").over(inside)).join(F.broadcast(renamed), key, "left")
+    upto = F.coalesce("_base", F.lit(0)) + F.col("_upto")
+    rows = rows.withColumn(name, upto if value is None else upto - F.col("_one"))
+    return rows.drop("_part", "_one", "_base", "_upto", "_p", *[f"_w{k}" for k in range(len(within))])
 
 
 def chosen(key: Column, limit: int, n: int) -> Column:

@@ -27,18 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.session import cut
+from marginalia.sources.sinks import exists
 
 BUCKETS = 64
 NOTES = "n long, version string, bucket int"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _notes(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.schema(NOTES).parquet(f"{path}/notes") if _exists(spark, f"{path}/notes") else None
+    return spark.read.schema(NOTES).parquet(f"{path}/notes") if exists(spark, f"{path}/notes") else None
 
 
 def _current(spark: SparkSession, path: str) -> dict[int, str]:

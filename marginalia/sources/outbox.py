@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.session import cut, numbered
-from marginalia.sources.keyed import _exists
+from marginalia.sources.sinks import exists
 
 
 class Outbox:
@@ -28,7 +28,7 @@ class Outbox:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         read = self.spark.read.schema(schema)
-        return read.parquet(f"{self.path}/{name}") if _exists(self.spark, f"{self.path}/{name}") else self.spark.createDataFrame([], schema)
+        return read.parquet(f"{self.path}/{name}") if exists(self.spark, f"{self.path}/{name}") else self.spark.createDataFrame([], schema)
 
     def _rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows").dropDuplicates(self.keys)

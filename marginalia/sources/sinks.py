@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or a file at ``path``, in whatever store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Append what is not there yet by its keys: sending a batch again changes nothing."""
     spark, fresh = rows.sparkSession, rows.dropDuplicates(keys)
-    try:
-        there = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # no table yet; anything else is the caller's to see
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = None
-    (fresh if there is None else fresh.join(there, keys, "left_anti")).write.mode("append").parquet(path)
+    if exists(spark, path):
+        fresh = fresh.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
+    fresh.write.mode("append").parquet(path)
 
 
 def advance(moved: DataFrame, path: str, keys: list[str]) -> None:

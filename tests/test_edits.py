@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.functions import records
-from marginalia.operators import reading_order, text_crdt, tree
+from marginalia.operators import reading_order, segments, text_crdt, tree
+from marginalia.session import numbered
 from marginalia.sources import sinks
 
 FIELDS = [("long", "n"), ("string", "t"), ("long", "m"), ("string", "u")]
@@ -162,3 +163,48 @@ def test_lists_are_ranked_by_doubling(spark):
     lists = [(0, 1, 5), (1, 2, 0), (2, None, 7), (10, None, 1), (20, 21, 1), (21, 99, 1), (30, 31, 1), (31, 30, 1)] + [(k, k + 1 if k < 1400 else None, 1) for k in range(400, 1401)]
     got = {r.id: r.rest for r in reading_order.ranked(spark.createDataFrame(lists, "id long, next long, weight long")).collect()}
     assert got == {0: 12, 1: 7, 2: 7, 10: 1} | {k: 1401 - k for k in range(400, 1401)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12), st.text("ab", max_size=9), st.text("ab", max_size=9))
+def test_common_ends_by_halves(a, b, x, y):
+    old, new = a + x + b, a + y + b
+    start, deleted, inserted = text_crdt.replaced_middle(old, new)
+    assert old[:start] + inserted + old[start + deleted :] == new
+    assert start >= len(a) or old[:start] == new[:start]
+    kept = len(old) - deleted
+    naive = 0
+    while naive < min(len(old), len(new)) and old[naive] == new[naive]:
+        naive += 1
+    assert start == naive and kept >= len(a) if len(old) >= len(a) + len(b) else True
+
+
+def test_rows_are_numbered_within_groups_of_any_size(spark):
+    rows = [("big", i % 97, i) for i in range(3000)] + [(f"g{i % 40}", i, i) for i in range(200)] + [(None, i, i) for i in range(5)]
+    random.Random(3).shuffle(rows)
+    got = numbered(spark.createDataFrame(rows, "g string, o int, n int").repartition(7), ["o", "n"], within=("g",)).collect()
+    want = {}
+    for g, o, n in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want[g, o, n] = want[g, "last"] = want.get((g, "last"), 0) + 1
+    assert all(r.place == want[r.g, r.o, r.n] for r in got) and len(got) == len(rows)
+    upto = {r.n: r.before for r in numbered(spark.createDataFrame(rows, "g string, o int, n int").where("g = 'big'"), ["n"], "before", F.col("o").cast("long"), within=("g",)).collect()}
+    assert all(upto[n] == sum(i % 97 for i in range(n)) for n in (0, 1, 500, 2999))
+
+
+def test_paths_of_a_deep_chain_and_of_circles(spark):
+    """A thousand levels in a few rounds; what leads nowhere or round is left out."""
+    chain = [("v", f"c{i}", f"c{i - 1}" if i else "root", f"n{i}", True) for i in range(1000)]
+    rows = chain + [("v", "a", "b", "x", True), ("v", "b", "a", "y", True), ("v", "lost", "nobody", "z", False), ("v", "t", "trash", "t", False), ("w", "c0", "root", "other", False)]
+    got = {(r.vault, r.child): r.path for r in tree.paths(spark.createDataFrame(rows, "vault string, child string, parent string, name string, is_dir boolean")).collect()}
+    assert len(got) == 1001 and got["w", "c0"] == "other"
+    assert got["v", "c999"] == "/".join(f"n{i}" for i in range(1000))
+
+
+def test_a_changed_vector_is_not_opened(spark):
+    entries = spark.createDataFrame([("s", i, "o", [float(i), 1.0], i * 10, "h") for i in range(4)] + [("t", 0, "p", [1.0, 2.0], 0, None)], "segment string, slot int, object string, vector array<double>, start int, heading string")
+    sealed = segments.digests(entries).withColumn("model", F.lit("m")).withColumn("dimension", F.lit(2))
+    look = lambda rows: {r.segment: r.refused for r in segments.opened(sealed, rows, "m", 2).collect()}
+    assert look(entries) == look(entries.repartition(3)) == {"s": None, "t": None}
+    for column, value in (("vector", F.array(F.lit(1.0), F.lit(2.5))), ("start", F.lit(1)), ("heading", F.lit("x"))):
+        changed = entries.withColumn(column, F.when(F.col("segment") == "t", value).otherwise(F.col(column)))
+        assert look(changed) == {"s": None, "t": "damaged"}
