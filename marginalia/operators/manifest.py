@@ -20,12 +20,27 @@ def distinct_ops(ops: DataFrame) -> DataFrame:
     return ops.where(well).dropDuplicates(["counter", "replica"])
 
 
+def conflicting(ops: DataFrame) -> DataFrame:
+    """Adds that say another count than the earliest add of their segment: ``counter, replica, segment, count, agreed``.
+
+    A segment is named by its content, so whoever adds it again must count the same.
+    """
+    adds = distinct_ops(ops).where("kind = 'add'").select("counter", "replica", "segment", "count")
+    first = adds.groupBy("segment").agg(F.min(F.struct("counter", "replica", "count")).alias("first")).select("segment", F.col("first.count").alias("agreed"))
+    return adds.join(first, "segment").where(F.col("count") != F.col("agreed")).select("counter", "replica", "segment", "count", "agreed")
+
+
+def agreeing(ops: DataFrame) -> DataFrame:
+    """The operations without adds that contradict an earlier one."""
+    return ops.join(conflicting(ops).select("counter", "replica"), ["counter", "replica"], "left_anti")
+
+
 def fold(ops: DataFrame, model: Column | None = None) -> DataFrame:
     """``segment, count, bytes, added_at, added_by, dead, superseded_by``.
 
     The earliest add of the index's own model gives count and bytes; adds of
     another model are refused. A segment that only a tombstone or a retirement
-    names has a null count.
+    names has a null count. Adds that contradict an earlier one: :func:`conflicting`.
     """
     rows = distinct_ops(ops)
     if model is not None:

@@ -36,6 +36,14 @@ def flt_manifest_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.distinct_ops(ops).groupBy("kind").agg(F.count(F.lit(1)).alias("ops"))
 
 
+def flt_manifest_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second adds of every third segment by another device, of which some count otherwise."""
+    ops = log_queries.manifest_ops(spark, sf_dir)
+    n = F.col("segment")
+    second = ops.where((F.col("kind") == "add") & (n % 3 == 0)).withColumn("replica", F.lit("d")).withColumn("count", F.when(n % 5 == 0, F.col("count") + 1).otherwise(F.col("count")))
+    return manifest.conflicting(ops.unionByName(second.withColumn("counter", F.col("counter") + F.when(n % 2 == 0, 1).otherwise(-1))))
+
+
 def flt_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = log_queries.manifest_ops(spark, sf_dir).where("kind = 'add'").distinct()
     return ops.groupBy((F.col("model") == "own").alias("own")).agg(F.count(F.lit(1)).alias("adds"), F.sum("count").alias("vectors"))
@@ -288,7 +296,7 @@ TEXT_OPS = "SELECT user_id::VARCHAR AS object, event_id, length(event_type) AS n
 QUERIES = {
     f.__name__: f
     for f in (
-        flt_after_cursor, flt_already_compacted, flt_malformed_move, flt_manifest_malformed, flt_model, flt_utf8, flt_resolved, flt_demote_link,
+        flt_after_cursor, flt_already_compacted, flt_malformed_move, flt_manifest_malformed, flt_manifest_conflict, flt_model, flt_utf8, flt_resolved, flt_demote_link,
         join_tombstones, join_superseded, join_push_diff, join_previous_slots, join_roster_label, join_path_resolve, join_recall, set_union_dead,
         set_wants, set_devices, set_intersect_recall, win_best_broadcast, win_second_best, win_first_match_rank, win_ordinal, win_cited_flag,
         proj_op_span, proj_encode_tree, proj_basename, proj_prompt, proj_object_for_path, agg_coverage, agg_state_hash, agg_tombstone_count,
@@ -305,6 +313,11 @@ SELECT user_id AS replica, count(*) FILTER (event_id <= mark) AS settled, count(
     "flt_manifest_malformed": SLOTS + """
 SELECT 'add' AS kind, count(*) AS ops FROM s WHERE segment % 13 <> 0 UNION ALL SELECT 'tombstone', count(*) FROM e WHERE dead
 UNION ALL SELECT 'retire', count(*) FROM s WHERE segment % 7 = 0""",
+    "flt_manifest_conflict": SLOTS + """
+, a AS (SELECT segment, count(*) AS n FROM e GROUP BY 1)
+SELECT CASE WHEN segment % 2 = 0 THEN segment * 100 + 2 ELSE segment * 100 + 1 END AS counter, CASE WHEN segment % 2 = 0 THEN 'd' ELSE 'a' END AS replica, segment,
+       CASE WHEN segment % 2 = 0 THEN n + 1 ELSE n END AS count, CASE WHEN segment % 2 = 0 THEN n ELSE n + 1 END AS agreed
+FROM a WHERE segment % 15 = 0 AND NOT (segment = 0 AND segment % 2 = 1)""",
     "flt_model": SLOTS + "SELECT segment % 11 <> 0 AS own, count(DISTINCT segment) AS adds, count(*) AS vectors FROM e GROUP BY 1",
     "flt_resolved": search_queries.POOL + "SELECT q, slot AS vec_id FROM p WHERE resolved",
     "flt_demote_link": search_queries.POOL + "SELECT q, slot AS vec_id, link_ratio FROM p WHERE link_ratio >= 6000",

@@ -214,3 +214,11 @@ def test_samples_keep_their_size_whatever_the_number_of_rows(spark):
         want = min(limit / max(n, 1), 1.0) * 2_000_000
         assert abs(got - want) <= 6 * max(want, 1) ** 0.5
     assert ids.where(chosen(F.col("h"), 10**14, 10**20)).count() > 0
+
+
+def test_adds_must_agree_with_the_earliest(spark):
+    schema = "counter long, replica string, kind string, segment string, count long, bytes long, model string, slot int, superseded_by string"
+    add = lambda c, r, s, n: (c, r, "add", s, n, 1, "m", None, None)
+    ops = spark.createDataFrame([add(5, "b", "s", 3), add(2, "a", "s", 4), add(9, "c", "s", 4), add(1, "a", "t", 2), (3, "a", "tombstone", "s", None, None, None, 0, None)], schema)
+    assert [tuple(r) for r in manifest.conflicting(ops).collect()] == [(5, "b", "s", 3, 4)]
+    assert sorted(r.counter for r in manifest.agreeing(ops).collect()) == [1, 2, 3, 9]
