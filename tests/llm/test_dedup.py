@@ -386,3 +386,37 @@ def test_passages_longer_than_windows_can_be_are_refused(spark):
     for words in (2001, 4):
         with pytest.raises(ValueError):
             substring_dedup.repeated_passages(docs(spark, [(1, "a")]), min_words=words)
+
+
+def test_passages_against_brute_force(spark):
+    """All pairs of documents that share a shingle: those with a window of fifty words that is similar to 0.8 are found."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    long = next(t for t in rows.values() if len(t.split()) > 200).split()
+    near = long[60:120]
+    near[20] = "changed"
+    rows |= {10_001: " ".join(long[60:130]), 10_002: "first other words " + " ".join(near) + " and more", 10_003: " ".join(long[60:105])}
+    got = substring_dedup.repeated_passages(docs(spark, list(rows.items()))).collect()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    shingles = {i: [" ".join(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in ((i, words(t)) for i, t in rows.items())}
+    at = {}
+    for i, s in shingles.items():
+        for k, x in enumerate(s):
+            at.setdefault(x, []).append((i, k))
+    diagonals = {}
+    for places in at.values():
+        for i, k in places:
+            for j, m in places:
+                if j < i:
+                    diagonals.setdefault((i, j, k - m), []).append(k)
+    share = set()
+    for (i, _, _), ks in diagonals.items():
+        ks = sorted(ks)
+        # 41 equal shingles of 46 are 41 of 51 different ones
+        if any(ks[k + 40] - ks[k] < 46 for k in range(len(ks) - 40)):
+            share.add(i)
+    found = {r.doc_id for r in got}
+    assert len(share) > 5 and {10_001, 10_002} <= share and len(share & found) >= 0.95 * len(share)
+    for r in got:
+        a, b = set(shingles[r.doc_id][r.start_word : r.end_word - 4]), set(shingles[r.other_id][r.other_start : r.other_end - 4])
+        assert r.other_id < r.doc_id and len(a & b) / len(a | b) >= 0.8 and r.end_word - r.start_word >= 41  # without what is changed at either end
