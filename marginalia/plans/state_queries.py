@@ -132,7 +132,7 @@ def st_wanted_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ops, came), base = wanted_streams(spark, sf_dir), new_folder(spark)
     by_counter(ops, f"{base}/ops")
     by_counter(came, f"{base}/came")
-    stateful.run(stateful.wanted(files_of(ops, f"{base}/ops", 8), files_of(came, f"{base}/came", 8), HORIZON), f"{base}/state", f"{base}/out")
+    stateful.run(stateful.wanted(files_of(ops, f"{base}/ops", 64), files_of(came, f"{base}/came", 64), HORIZON), f"{base}/state", f"{base}/out", processors=False)
     return spark.read.parquet(f"{base}/out").where("segment IS NOT NULL").select("counter", "replica", "kind", "segment", "here")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +40,13 @@ def state_store(spark: SparkSession):
             spark.conf.set(PROVIDER, had)
 
 
-def run(stream: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """Everything that has arrived through ``stream`` to files under ``out``, exactly once over restarts."""
+def run(stream: DataFrame, checkpoint: str, out: str, processors: bool = True) -> StreamingQuery:
+    """Everything that has arrived through ``stream`` to files under ``out``, exactly once over restarts.
+
+    A stream without ``processors`` of this module keeps the session's state store.
+    """
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession) if processors else nullcontext():
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
     return query

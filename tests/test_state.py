@@ -124,7 +124,7 @@ def test_a_log_shrinks_once_all_readers_have_reported(spark, base):
 def test_wanted_operations_whichever_stream_is_ahead(spark, base, first):
     """One stream is there whole before the other begins: same result, and nothing is held at the end."""
     streams = dict(zip(("ops", "came"), state_queries.wanted_streams(spark, SF)))
-    flow = lambda: stateful.run(stateful.wanted(*[state_queries.files_of(streams[n], f"{base}/{n}", 8) for n in ("ops", "came")], state_queries.HORIZON), f"{base}/state", f"{base}/out")
+    flow = lambda: stateful.run(stateful.wanted(*[state_queries.files_of(streams[n], f"{base}/{n}", 8) for n in ("ops", "came")], state_queries.HORIZON), f"{base}/state", f"{base}/out", processors=False)
     for rows, name in ((r, n) for n, r in streams.items()):
         rows.limit(0).write.parquet(f"{base}/{name}")
     for name in (first, ({"ops", "came"} - {first}).pop()):
