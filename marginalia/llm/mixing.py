@@ -4,8 +4,8 @@ A source's documents stand in one order; each is worth ``rate = target / size of
 the source`` copies. With one offset per source, a document is emitted once for
 every integer that the running sum crosses while passing it. The running sum is
 rank times rate, and the rank is a prefix sum in two levels: counts per bucket of
-a source, then a row number inside a bucket. A bucket is a size class and a salt,
-so a source that holds a third of all rows still spreads over many tasks, and as
+a source, then a row number inside a bucket. A bucket is a size class and a salt, of
+which there are as many as the table needs, so a source that holds a third of all rows still spreads over many tasks, and as
 the order runs by size class the words taken come close to the target.
 
 Defined results
@@ -27,7 +27,8 @@ from marginalia.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed by the task: weights by the source's place, the share of all words, the most copies.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-SALTS = 64
+#: Salts of a size class at the least, and rows of a table that one more of them stands for.
+SALTS, SALT_ROWS = 64, 4_000_000
 RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -82,21 +83,27 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def salt(key: Column, size: Column, salts: int) -> Column:
+    """A number under ``salts`` by a digest, so that ids with a common factor, and null ones of many sizes, are spread."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), size).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(salts))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 7,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Every row of ``docs`` with ``size, source_size, target, copies, taken``."""
+    salts = max(SALTS, -(-docs.count() // SALT_ROWS))
     keep = [c for c in docs.columns if c not in RESULT]
     # the explode of one value keeps Catalyst from counting again for each use of the size
     sized = docs.withColumn("size", F.explode(F.array(word_count(docs[text_col])))).select(*keep, "size")
     rows = (
         sized.withColumn("__mix_class", size_class(F.col("size")))
-        .withColumn("__mix_salt", F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(salts)))
+        .withColumn("__mix_salt", salt(F.col(id_col), F.col("size"), salts))
         .withColumn("__mix_src", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
     )
     keys = ["__mix_src", "__mix_class", "__mix_salt"]

@@ -160,10 +160,11 @@ t AS (
          ('0x' || substr(md5('7:' || coalesce('s' || source, 'null')), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS start
   FROM l),
 k AS (
-  SELECT *, greatest(length(bin(size)) - 4, 0) AS shift FROM d),
+  SELECT *, greatest(length(bin(size)) - 4, 0) AS shift,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 8))::UBIGINT % (SELECT greatest(64, ceil(count(*) / 4000000.0))::UBIGINT FROM d) AS salt FROM d),
 o AS (
   SELECT doc_id, source, size,
-         row_number() OVER (PARTITION BY source ORDER BY shift * 16 + (size >> shift), ((doc_id % 64) + 64) % 64, size, doc_id) AS rank FROM k),
+         row_number() OVER (PARTITION BY source ORDER BY shift * 16 + (size >> shift), salt, size, doc_id) AS rank FROM k),
 x AS (
   SELECT doc_id, size, source_size, target, rank, start,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate

@@ -375,3 +375,11 @@ def test_chat_query_holds_the_trial_conversation(spark):
     assert row.n_turns == 2 and row.loss_chars == len(text)
     assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_ids_with_a_common_factor_and_null_ids_spread_over_salts(spark):
+    sizes = F.col("id") % 90
+    even = spark.range(4000).select(mixing.salt(F.col("id") * 64, sizes, 64).alias("s")).groupBy("s").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert even[1] == 64 and even[0] < 110
+    null = spark.range(4000).select(mixing.salt(F.lit(None).cast("long"), sizes, 64).alias("s")).distinct().count()
+    assert null > 40
