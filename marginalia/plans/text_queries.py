@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import chunker, retrieval, snapshot, text_crdt, tree
+from marginalia.operators import chunker, retrieval, search, snapshot, text_crdt, tree
 from marginalia.plans import state_queries
 from marginalia.session import table
 from marginalia.sources import hints
@@ -299,10 +299,15 @@ def sink_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_doc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages that some document contains: a stated set of queries against all documents."""
+    """Benchmark passages that some document contains: a stated set of queries against all documents, a bounded block of them at a time."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("want"))
-    found = docs.crossJoin(F.broadcast(wanted)).where(F.contains(F.col("text"), F.col("want")))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("want"))
+    blocks = max(1, -(-asked.count() // search.QUERY_BLOCK))
+    wanted = asked.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        hits = docs.crossJoin(F.broadcast(wanted.where(F.col("block") == b))).where(F.contains(F.col("text"), F.col("want"))).select("item_id", "doc_id")
+        found = hits if found is None else found.unionByName(hits)
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 

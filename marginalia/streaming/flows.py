@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ def debounced(hints: DataFrame, quiet_ms: int = QUIET_MS, max_delay_ms: int = MA
             yield pd.DataFrame([], columns=["vault", "path", "renamed", "flushed_at"])
             return
         pending, oldest, newest = state.get if state.exists else ("", -1, -1)
-        held = dict(x.rsplit("\x01", 1) for x in pending.split("\x02") if x)
+        held = json.loads(pending) if pending else {}
         out = []
 
         def flush(at: int) -> None:
@@ -50,7 +51,7 @@ def debounced(hints: DataFrame, quiet_ms: int = QUIET_MS, max_delay_ms: int = MA
         if held and state.getCurrentWatermarkMs() >= due:
             flush(due)
         if held:
-            state.update(("\x02".join(f"{p}\x01{f}" for p, f in held.items()), oldest, newest))
+            state.update((json.dumps(held), oldest, newest))
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
