@@ -8,7 +8,7 @@ each task adds up one vector per cluster before anything is shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions import text
 from marginalia.functions.vectors import as_doubles
 
 ITERATIONS, EXAMPLES, LOOSE, STILL = 25, 3, 0.45, 1e-12
+#: Parts of a cluster whose nearest members are found first.
+SALTS = 64
 
 
 def default_count(n: int) -> int:
@@ -123,14 +126,36 @@ def topic_map(vectors: DataFrame, centres: list[list[float]], examples: int = EX
     """
     points = vectors.withColumn("_v", as_doubles(F.col("vector"))).drop("vector")
     placed = assign(points, centres)
-    order = Window.partitionBy("cluster").orderBy(F.desc("similarity"), "object", "start")
-    ranked = placed.withColumn("_rk", F.row_number().over(order))
-    shown = F.when(F.col("_rk") <= examples, F.struct(F.col("_rk").alias("rk"), "object", "start", "similarity"))
-    rolled = ranked.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_distinct("object").alias("notes"), F.avg("similarity").alias("cohesion"),
-        F.array_sort(F.collect_list(shown)).alias("examples"),
+    rolled = placed.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct("object").alias("notes"), F.avg("similarity").alias("cohesion")
     )
-    return rolled.withColumn("loose", F.col("cohesion") < LOOSE)
+    # the best of each part of a cluster first, so that no cluster is sorted as a whole
+    best = lambda rows, *by: rows.withColumn("_rk", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "object", "start"))).where(F.col("_rk") <= examples)
+    dealt = placed.select("cluster", "object", "start", "similarity").withColumn("_salt", F.pmod(F.xxhash64("object", "start"), F.lit(SALTS)))
+    nearest_few = best(best(dealt, "cluster", "_salt").drop("_rk"), "cluster")
+    shown = nearest_few.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(F.col("_rk").alias("rk"), "object", "start", "similarity"))).alias("examples"))
+    return rolled.join(shown, "cluster").withColumn("loose", F.col("cohesion") < LOOSE)
+
+
+#: Fixed: what a model is asked for, and what stands between two excerpts.
+QUESTION = "Name the common subject of these excerpts in two to five words. Reply with the name alone, no punctuation, no preamble."
+BETWEEN = "\n---\n"
+
+
+def labelled(topics: DataFrame, passages: DataFrame, generate: Callable[[Column, Column], Column]) -> DataFrame:
+    """``topics`` with ``label``: what ``generate(question, excerpts)`` replies to the texts of the examples, cleaned up.
+
+    ``passages(object, start, text)``. ``generate`` makes a column of replies of two columns, so
+    it may be an expression or a UDF that asks a model, once a topic. The label is null where no
+    example has a text, or the reply is null or nothing but marks.
+    """
+    each = topics.select("cluster", F.explode("examples").alias("e")).select("cluster", "e.rk", "e.object", "e.start")
+    texts = each.join(passages.select("object", "start", "text").where("text <> ''"), ["object", "start"])
+    excerpts = F.array_join(F.array_sort(F.collect_list(F.struct("rk", F.concat("text", F.lit(BETWEEN)).alias("t")))).getField("t"), "")
+    prompts = texts.groupBy("cluster").agg(excerpts.alias("excerpts"))
+    reply = generate(F.lit(QUESTION), F.col("excerpts"))
+    named = prompts.select("cluster", F.nullif(text.label(reply), F.lit("")).alias("label"))
+    return topics.join(named, "cluster", "left")
 
 
 def in_order(topics: DataFrame) -> DataFrame:

@@ -246,6 +246,13 @@ def agg_topic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(every).select(F.col("cluster").cast("long").alias("cluster"), "chunks", "notes", F.round("cohesion", 6).alias("cohesion"), F.round(F.col("_s") / F.col("_n"), 6).alias("overall"))
 
 
+def topic_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics named by a stand-in for a model: a digest of the excerpts, with the marks that a model puts around a title."""
+    passages = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("object"), F.col("doc_id").alias("start"), "text")
+    reply = lambda _, excerpts: F.concat(F.lit('# "**'), F.substring(F.md5(excerpts.cast("binary")), 1, 12), F.lit('.**"\nand more'))
+    return topics.labelled(_topics(spark, sf_dir), passages, reply).select(F.col("cluster").cast("long").alias("cluster"), "label")
+
+
 def sort_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy(F.desc("chunks"), F.desc("cohesion"), "cluster")
     return _topics(spark, sf_dir).select(F.col("cluster").cast("long").alias("cluster"), F.row_number().over(order).cast("long").alias("place"))
@@ -341,7 +348,7 @@ QUERIES = {
         scan_tree, scan_index_live, scan_segment, scan_relay_fetch, scan_relay_reports, scan_relay_piece, limit_listing, limit_envelopes, scan_eval_tsv, sort_listing,
         sink_oplog, sink_cursor, sink_segment, sink_delete_object, proj_oplog_key, proj_encode_op, proj_encode_manifest, proj_encode_report, proj_entry_to_hit,
         flt_prefix_range, flt_loopback, flt_legal_name, flt_malformed_op, join_missing_segments, set_except_missing, idx_complete, idx_adopt, agg_topic_rollup,
-        sort_topics, st_lamport, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
+        sort_topics, topic_label, st_lamport, fold_text_walk, gen_insert, gen_delete, gen_set_content, gen_change, tree_cycle_check,
         crypto_open, crypto_seal_det,
     )
 }
@@ -397,6 +404,10 @@ SELECT CASE WHEN n % 11 = 0 THEN 'model-mismatch' WHEN n % 7 = 0 THEN 'width-mis
 FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem) GROUP BY 1""",
     "agg_topic_rollup": TOPICS + """
 SELECT cluster, chunks, notes, round(cohesion, 6) AS cohesion, round((SELECT sum(chunks * cohesion) / sum(chunks) FROM t), 6) AS overall FROM t""",
+    "topic_label": TOPICS + """
+, x AS (SELECT cluster, slot, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, slot % 100, slot) AS n FROM m WHERE rk = 1)
+SELECT t.cluster, substr(md5(string_agg(text || chr(10) || '---' || chr(10), '' ORDER BY n)), 1, 12) AS label
+FROM t LEFT JOIN x ON x.cluster = t.cluster AND n <= 3 LEFT JOIN documents ON doc_id = slot AND text <> '' GROUP BY t.cluster""",
     "sort_topics": TOPICS + "SELECT cluster, row_number() OVER (ORDER BY chunks DESC, cohesion DESC, cluster) AS place FROM t",
     "st_lamport": """
 SELECT o_orderkey, coalesce(high, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS counter

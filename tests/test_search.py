@@ -222,3 +222,17 @@ def test_adds_must_agree_with_the_earliest(spark):
     ops = spark.createDataFrame([add(5, "b", "s", 3), add(2, "a", "s", 4), add(9, "c", "s", 4), add(1, "a", "t", 2), (3, "a", "tombstone", "s", None, None, None, 0, None)], schema)
     assert [tuple(r) for r in manifest.conflicting(ops).collect()] == [(5, "b", "s", 3, 4)]
     assert sorted(r.counter for r in manifest.agreeing(ops).collect()) == [1, 2, 3, 9]
+
+
+def test_topics_are_named_by_whatever_replies(spark):
+    example = "array<struct<rk:int,object:string,start:int,similarity:double>>"
+    found = spark.createDataFrame([(0, [(2, "b", 0, 0.8), (1, "a", 5, 0.9)]), (1, [(1, "c", 0, 0.7)]), (2, [(1, "a", 5, 0.5)]), (3, [])], f"cluster int, examples {example}")
+    passages = spark.createDataFrame([("a", 5, "first"), ("b", 0, "second"), ("a", 0, "elsewhere"), ("c", 0, "")], "object string, start int, text string")
+    asked = []
+
+    def reply(question, excerpts):
+        asked.append(question)
+        return F.when(F.col("cluster") == 2, F.lit(' *"#')).otherwise(F.concat(F.lit('"**'), F.translate(excerpts, "\n", "_"), F.lit('."\nmore')))
+
+    got = {r.cluster: r.label for r in topics.labelled(found, passages, reply).collect()}
+    assert got == {0: "first_---_second_---_", 1: None, 2: None, 3: None} and len(asked) == 1
