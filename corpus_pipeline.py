@@ -69,11 +69,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Remove what no later stage reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder."""
+    """All stages over the documents table, each written to the shared folder; a stage's table goes when the next one's is there."""
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            _forget(spark, f"{base}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
