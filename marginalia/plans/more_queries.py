@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import codecs, text, vectors
 from marginalia.operators import chunker, manifest, oplog, retrieval, search, segments, snapshot, text_crdt, tree
 from marginalia.plans import log_queries, search_queries, text_queries
-from marginalia.session import numbered, table
+from marginalia.session import cut, numbered, table
 
 
 def flt_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ def join_path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the exact ten a search of even slots alone would find."""
-    scores = search_queries.scores(spark, sf_dir)
-    exact, found = search.topk(scores, 10), search.topk(scores.where("slot % 2 = 0"), 10)
+    live, asked = search_queries.live_vectors(spark, sf_dir), search_queries.question_vectors(spark, sf_dir)
+    exact, found = search.topk(search.scored(live, asked, 10), 10), search.topk(search.scored(live.where("slot % 2 = 0"), asked, 10), 10)
     return exact.join(found.select("q", "segment", "slot"), ["q", "segment", "slot"], "left_semi").groupBy("q").agg(F.count(F.lit(1)).alias("found"))
 
 
@@ -126,24 +126,25 @@ def set_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_intersect_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search_queries.scores(spark, sf_dir)
-    top = lambda d: search.topk(d, 20).select("q", F.col("slot").alias("vec_id"))
-    return top(scores).intersect(top(scores.where("slot % 3 <> 0")))
+    live, asked = search_queries.live_vectors(spark, sf_dir), search_queries.question_vectors(spark, sf_dir)
+    top = lambda d: search.topk(search.scored(d, asked, 20), 20).select("q", F.col("slot").alias("vec_id"))
+    return top(live).intersect(top(live.where("slot % 3 <> 0")))
 
 
 def win_best_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.max("score").over(Window.partitionBy("q"))
-    rows = search_queries.scores(spark, sf_dir).withColumn("best", best)
-    return rows.groupBy("q").agg(F.round(F.max("best"), 6).alias("best"), F.count_if(F.col("score") >= 0.9 * F.col("best")).alias("near_best"))
+    best = cut(search_queries.best_scores(spark, sf_dir))
+    asked = search_queries.question_vectors(spark, sf_dir).join(best.select("q", (0.9 * F.col("best")).alias("least")), "q")
+    near = best.join(search_queries.scores_above(spark, sf_dir, asked).select("q", "score"), "q", "left")
+    return near.groupBy("q").agg(F.round(F.max("best"), 6).alias("best"), F.count_if(F.col("score") >= 0.9 * F.col("best")).alias("near_best"))
 
 
 def win_second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = retrieval.retrieval_shape(search.topk(search_queries.scores(spark, sf_dir), 2))
+    shape = retrieval.retrieval_shape(search.topk(search_queries.scores(spark, sf_dir, 2), 2))
     return shape.select("q", F.round("second_score", 6).alias("runner_up"))
 
 
 def win_first_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = search.topk(search_queries.scores(spark, sf_dir).where("q <> slot"), 50)
+    ranked = search.topk(search_queries.scores(spark, sf_dir, 50, apart=True).where("q <> slot"), 50)
     return ranked.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("segment") == 3, F.col("rk"))), F.lit(0)).cast("long").alias("rank"))
 
 

@@ -92,7 +92,7 @@ def ask(
     spark = questions.sparkSession
     live = entries(spark, index)
     asked = embedded(questions, "question", dimension).select("q", F.col("vector").alias("qv"))
-    scored = search.scored(live.select("segment", "slot", "object", "start", "end", "kind", "link_ratio", "heading_path", "vector"), asked)
+    scored = search.scored(live.select("segment", "slot", "object", "start", "end", "kind", "link_ratio", "heading_path", "vector"), asked, retrieval.OVERFETCH * k)
     pool = retrieval.resolve(retrieval.candidates(scored, k), notes.select("object", "text"))
     return retrieval.retrieve(pool, k=k, floor=floor)
 

@@ -236,3 +236,30 @@ def test_topics_are_named_by_whatever_replies(spark):
 
     got = {r.cluster: r.label for r in topics.labelled(found, passages, reply).collect()}
     assert got == {0: "first_---_second_---_", 1: None, 2: None, 3: None} and len(asked) == 1
+
+
+def test_scores_by_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """Odd vectors, ties and floors, in groups of a few: as one expression over the cross product has them."""
+    rng = np.random.default_rng(3)
+    same, inf, nan = [1.0, 2.0, 2.0], float("inf"), float("nan")
+    odd = [same] * 9 + [None, [], [1.0], [1.0, None, 2.0], [nan, 0.0, 1.0], [inf, 1.0, 1.0], [-inf, 1.0, 1.0], [0.0, -0.0, 0.0]]
+    rows = [(i % 3 or None, i, v) for i, v in enumerate(odd + rng.normal(size=(40, 3)).tolist())]
+    vectors = spark.createDataFrame(rows, "segment int, slot long, vector array<double>")
+    asked = vectors.where("vector IS NOT NULL AND slot % 2 = 0").selectExpr("slot AS q", "vector AS qv")
+    product = vectors.crossJoin(asked).select("segment", "slot", "q", F.expr(
+        "CASE WHEN size(vector) = size(qv) THEN aggregate(zip_with(vector, qv, (x, y) -> x * y), 0D, (a, x) -> a + x) ELSE 0D END AS score"))
+    shown = lambda d: sorted(str(r.asDict()) for r in d.select("q", "segment", "slot", "score", *[c for c in d.columns if c == "rk"]).collect())
+    monkeypatch.setattr(search, "CHUNK", 13)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ASKED", 4)
+    assert shown(search.scored(vectors, asked)) == shown(product)
+    for k in (1, 5):
+        assert shown(search.topk(search.scored(vectors, asked, k), k)) == shown(search.topk(product, k))
+        assert shown(search.topk_per_segment(search.scored(vectors, asked, k, per_segment=True), k)) == shown(search.topk_per_segment(product, k))
+        others = search.scored(vectors, asked, k, apart=True)
+        assert shown(search.topk(others, k)) == shown(search.topk(product.where("q <> slot"), k))
+    high = search.scored(vectors, asked.withColumn("least", F.lit(0.5)))
+    assert shown(high.where("score >= 0.5")) == shown(product.where("score >= 0.5"))
+    # what leaves a group is bounded by the questions, not by the pairs
+    assert search.scored(vectors, asked, 1).count() < product.count() / 3
+    assert search.scored(vectors.limit(0), asked, 1).count() == search.scored(vectors, asked.limit(0)).count() == 0
