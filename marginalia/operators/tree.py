@@ -52,13 +52,16 @@ def paths(nodes: DataFrame, root: str = ROOT) -> DataFrame:
 
     Pointers are doubled: in each round a node takes over the path and the pointer of the
     node it points to, so the rounds grow with the logarithm of the depth. What leads to no
-    node, or round in a circle, is cut off.
+    node, or round in a circle, is cut off: as a node has others at every depth above it,
+    none is left once a round brings none to the root, and no path goes round for long.
     """
     now = cut(nodes.select("vault", "child", F.col("parent").alias("at"), F.col("name").alias("path"), "is_dir"))
     going = F.col("at") != root
-    for _ in range(max(now.count(), 1).bit_length() + 1):
+    arrived = 0
+    while True:
         left = now.where(going)
-        if left.isEmpty():
+        before, arrived = arrived, now.where(~going).count()
+        if arrived == before or left.isEmpty():
             break
         above = now.select("vault", F.col("child").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"))
         moved = left.join(above, ["vault", "at"]).select("vault", "child", F.col("_at").alias("at"), F.concat_ws(SEPARATOR, "_path", "path").alias("path"), "is_dir")

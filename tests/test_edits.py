@@ -208,3 +208,20 @@ def test_a_changed_vector_is_not_opened(spark):
     for column, value in (("vector", F.array(F.lit(1.0), F.lit(2.5))), ("start", F.lit(1)), ("heading", F.lit("x"))):
         changed = entries.withColumn(column, F.when(F.col("segment") == "t", value).otherwise(F.col(column)))
         assert look(changed) == {"s": None, "t": "damaged"}
+
+
+def test_paths_round_a_circle_stop_with_the_last_arrival(spark, monkeypatch):
+    """Below a circle nothing arrives, so that paths there must not double as often as the table has bits."""
+    rows = [("v", "a", "b"), ("v", "b", "a"), ("v", "x0", "root"), ("w", "r", "trash")] + [("v", f"n{i}", "a") for i in range(600)] + [("v", f"x{i}", f"x{i - 1}") for i in range(1, 6)]
+    nodes = spark.createDataFrame([(v, c, p, c, False) for v, c, p in rows], "vault string, child string, parent string, name string, is_dir boolean")
+    real, longest = tree.cut, []
+
+    def watched(rows):
+        out = real(rows)
+        longest.append(out.agg(F.max(F.length("path"))).first()[0])
+        return out
+
+    monkeypatch.setattr(tree, "cut", watched)
+    assert {(r.vault, r.child) for r in tree.detached(nodes).collect()} == {("v", "a"), ("v", "b")} | {("v", f"n{i}") for i in range(600)}
+    assert max(r.path.count("/") for r in tree.paths(nodes).collect()) == 5
+    assert max(longest) < 100
