@@ -338,6 +338,19 @@ def test_a_repeat_beside_an_edited_passage_in_the_smallest_document_is_found(spa
     assert {r.doc_id for r in got if r.other_id == r.doc_id - 1} >= {i + 2 for i in range(0, 3 * n, 3)}
 
 
+def test_a_passage_behind_many_documents_that_hold_its_parts_is_found(spark):
+    """The smallest document of every key and the two before the passage hold parts alone; one between them holds it."""
+    rng = random.Random(23)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows, n = [], 30
+    for i in range(0, 5 * n, 5):
+        passage = words(55)
+        parts = lambda: " ".join(words(30) + passage[:40] + words(50) + passage[8:48] + words(50) + passage[15:])  # noqa: B023, E731
+        rows += [(i, parts()), (i + 1, " ".join(words(30) + passage)), (i + 2, parts()), (i + 3, parts()), (i + 4, " ".join(words(9) + passage + words(25)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(i + 4, i + 1) for i in range(0, 5 * n, 5)}
+
+
 def test_windows_agree_where_their_beginnings_meet():
     rng = np.random.default_rng(5)
     for _ in range(60):
