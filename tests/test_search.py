@@ -263,3 +263,39 @@ def test_scores_by_groups_are_those_of_all_pairs(spark, monkeypatch):
     # what leaves a group is bounded by the questions, not by the pairs
     assert search.scored(vectors, asked, 1).count() < product.count() / 3
     assert search.scored(vectors.limit(0), asked, 1).count() == search.scored(vectors, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("per_segment", [False, True])
+def test_pairs_that_cannot_be_among_the_first_are_not_added_up(spark, per_segment):
+    """Near ties, equal vectors and long ones: what the rough product leaves out is never among the first."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 8))
+    x = np.concatenate([base, base, base * (1 + 1e-16), base + rng.normal(size=base.shape) * 1e-16, base * 1e8])
+    rows = [(i % 3, i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "segment int, slot long, vector array<double>")
+    asked = vectors.where("slot % 7 = 0").selectExpr("slot AS q", "vector AS qv")
+    rank = search.topk_per_segment if per_segment else search.topk
+    some = search.scored(vectors, asked, 5, per_segment)
+    assert sorted(rank(some, 5).collect()) == sorted(rank(search.scored(vectors, asked), 5).collect())
+    assert some.count() < 200 * asked.count() / 2
+    floors = asked.join(search.scored(vectors, asked).where("segment = 1 AND slot % 4 = 0").groupBy("q").agg(F.max("score").alias("least")), "q")
+    above = search.scored(vectors, asked).join(floors.select("q", "least"), "q").where("score >= least").drop("least")
+    assert sorted(search.scored(vectors, floors).select(above.columns).collect()) == sorted(above.collect())
+
+
+def test_few_pairs_are_added_up_one_by_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, asked, added = rng.normal(size=(500, 16)), rng.normal(size=(20, 16)), []
+    whole, single = search._dots(asked, np.ascontiguousarray(x.T)), search._pairs
+    monkeypatch.setattr(search, "_pairs", lambda *a: added.append(len(a[2])) or single(*a))
+    axes = np.ascontiguousarray(x.T)
+    rows, cols, scores = search._near(asked, axes, search._slack(asked, axes), [0, 500], 3, None, np.zeros((20, 500), bool))
+    want = np.argsort(-whole, axis=1, kind="stable")[:, :3]
+    assert added == [60] and (np.sort(want, axis=1) == cols.reshape(20, 3)).all() and (scores == whole[rows, cols]).all()
+
+
+def test_rounded_scores_are_those_of_decimals(spark):
+    values = [0.0, -0.0, -1e-9, 0.1234565, -0.1234565, 2.5e-6, 0.0000005, -0.0000005, 1e7, 1e300, float("nan"), float("inf"), None, 0.25, 0.9999995]
+    values += [float(v) for v in np.round(np.random.default_rng(3).normal(size=500), 7)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("a"), search.rounded(F.col("x")).alias("b")).collect()
+    assert [repr(r.a) for r in got] == [repr(r.b) for r in got]
