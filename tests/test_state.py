@@ -139,3 +139,31 @@ def test_wanted_operations_whichever_stream_is_ahead(spark, base, first):
     assert rows(got) == rows(want)
     held = query.lastProgress["stateOperators"] if hasattr(query.lastProgress, "__getitem__") else query.lastProgress.stateOperators
     assert sum(o["numRowsTotal"] if isinstance(o, dict) else o.numRowsTotal for o in held) < 60
+
+
+def test_a_log_costs_by_its_records_and_not_by_how_far_apart_they_are(spark, base):
+    moves = spark.createDataFrame([("v", 1000 * i, "a", f"c{i % 9}", "root", f"n{i}", True) for i in range(1, 41)], MOVE)
+    lay(moves, f"{base}/in", [moves.collect()[20:], moves.collect()[:20]])
+    stateful.run(stateful.replayed(state_queries.files_of(moves, f"{base}/in")), f"{base}/state", f"{base}/out")
+    assert stateful.state_rows(spark, f"{base}/state", "log").count() == 1
+    ops = spark.createDataFrame([("x", f"r{i % 3}", 1000 * i) for i in range(1, 61)], "object string, replica string, counter long")
+    reports = spark.createDataFrame([("p", "r1", 10000)], "reader string, replica string, counter long")
+    lay(ops, f"{base}/ops", [ops.collect()[30:], ops.collect()[:30]])
+    lay(reports, f"{base}/reports", [reports.collect()])
+    stateful.run(stateful.shrinking(state_queries.files_of(ops, f"{base}/ops"), state_queries.files_of(reports, f"{base}/reports"), ["p"]), f"{base}/state2", f"{base}/out2")
+    assert stateful.state_rows(spark, f"{base}/state2", "log").count() == 3
+    assert spark.read.parquet(f"{base}/out2").count() + 4 >= 60
+
+
+def test_chains_of_one_group_do_not_mix(spark, base, monkeypatch):
+    from marginalia.streaming import flows
+
+    monkeypatch.setattr(flows, "bucket", lambda *_: F.lit(0))
+    rows = [(o, str(r), c, c - 1) for o in "ab" for r in range(4) for c in range(1, 9) if (r, c) != (2, 5)]
+    ops = spark.createDataFrame(rows, "object string, replica string, counter long, prev long")
+    random.Random(4).shuffle(rows)
+    lay(ops, f"{base}/in", [rows[:30], rows[30:]])
+    stream = flows.gap_checked(state_queries.files_of(ops, f"{base}/in"))
+    stateful.run(stream, f"{base}/state", f"{base}/out", processors=False)
+    got = sorted((r.object, r.replica, r.counter) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == sorted((o, r, c) for o, r, c, _ in rows if r != "2" or c < 5)
