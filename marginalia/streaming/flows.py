@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from marginalia.operators import snapshot
 from marginalia.session import cut, shared_dir
 from marginalia.sources.sinks import append_new
+from marginalia.streaming.stateful import bucket
 
 QUIET_MS, MAX_DELAY_MS = 40, 400
 
@@ -23,69 +24,85 @@ def debounced(hints: DataFrame, quiet_ms: int = QUIET_MS, max_delay_ms: int = MA
 
     A vault's hints wait until it has been quiet for a while or the oldest has
     waited long enough, by event time. A path is flushed once, renamed if any of
-    its hints was. State is the pending paths of one vault.
+    its hints was. State is the pending paths of the vaults of one bucket: calls and
+    state of a group cost more than a vault, so that many vaults share one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # hints of nobody only move the watermark on
-            yield pd.DataFrame([], columns=["vault", "path", "renamed", "flushed_at"])
-            return
-        pending, oldest, newest = state.get if state.exists else ("", -1, -1)
-        held = json.loads(pending) if pending else {}
-        out = []
+        waiting = {vault: (held, oldest, newest) for vault, held, oldest, newest in json.loads(state.get[0])} if state.exists else {}
+        out, hinted = [], {}
 
-        def flush(at: int) -> None:
-            out.extend((key[0], path, flag == "1", at) for path, flag in sorted(held.items()))
+        def flush(vault: str, held: dict, at: int) -> None:
+            out.extend((vault, path, flag == "1", at) for path, flag in sorted(held.items()))
             held.clear()
 
-        rows = sorted((int(r.ts.value // 1_000_000), r.path, bool(r.renamed)) for b in batches for r in b.itertuples())
-        for ts, path, renamed in rows:
+        for b in batches:
+            times = (b["ts"].to_numpy("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+            for vault, ts, path, renamed in zip(b["vault"].tolist(), times, b["path"].tolist(), b["renamed"].tolist()):
+                if vault is not None:  # hints of nobody only move the watermark on
+                    hinted.setdefault(vault, []).append((ts, path, bool(renamed)))
+        for vault, rows in hinted.items():
+            held, oldest, newest = waiting.get(vault, ({}, -1, -1))
+            for ts, path, renamed in sorted(rows):
+                due = min(newest + quiet_ms, oldest + max_delay_ms)
+                if held and ts >= due:
+                    flush(vault, held, due)
+                if not held:
+                    oldest = ts
+                newest = max(newest, ts) if held else ts
+                held[path] = "1" if renamed or held.get(path) == "1" else "0"
+            waiting[vault] = held, oldest, newest
+        passed, first, left = state.getCurrentWatermarkMs(), None, []
+        for vault, (held, oldest, newest) in waiting.items():
             due = min(newest + quiet_ms, oldest + max_delay_ms)
-            if held and ts >= due:
-                flush(due)
-            if not held:
-                oldest = ts
-            newest = max(newest, ts) if held else ts
-            held[path] = "1" if renamed or held.get(path) == "1" else "0"
-        due = min(newest + quiet_ms, oldest + max_delay_ms)
-        if held and state.getCurrentWatermarkMs() >= due:
-            flush(due)
-        if held:
-            state.update((json.dumps(held), oldest, newest))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            if passed >= due:
+                flush(vault, held, due)
+            if held:
+                first = due if first is None else min(first, due)
+                left.append((vault, held, oldest, newest))
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(max(first, passed + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["vault", "path", "renamed", "flushed_at"])
 
     rows = hints.select("vault", "path", "renamed", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", f"{max_delay_ms} milliseconds")
-    return rows.groupBy("vault").applyInPandasWithState(
-        step, "vault string, path string, renamed boolean, flushed_at long", "pending string, oldest long, newest long", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.withColumn("bucket", bucket("vault")).groupBy("bucket").applyInPandasWithState(
+        step, "vault string, path string, renamed boolean, flushed_at long", "pending string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def gap_checked(ops: DataFrame) -> DataFrame:
     """Operations of a stream in the order of their chain; what follows a gap waits for it to close.
 
-    State per object and replica: the last counter let through, and the rows that
-    wait, as ``counter:prev`` pairs. Repeats are dropped.
+    State per object and replica, of all of one bucket: the last counter let through, and
+    the rows that wait, as counter and prev. Repeats are dropped. Chains are many and short,
+    and calls and state of a group cost more than a chain, so that many share one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (0, "")
-        held = {int(p): int(c) for c, p in (x.split(":") for x in waiting.split(",") if x)}
+        chains = {(o, r): (last, {p: c for c, p in waits}) for o, r, last, waits in json.loads(state.get[0])} if state.exists else {}
+        moved = {}
         for b in batches:
-            held |= {int(r.prev): int(r.counter) for r in b.itertuples() if r.counter > last}
+            for o, r, counter, prev in zip(*(b[c].tolist() for c in ("object", "replica", "counter", "prev"))):
+                last, held = chains.get((o, r)) or chains.setdefault((o, r), (0, {}))
+                if counter > last:
+                    held[int(prev)] = int(counter)
+                    moved[o, r] = True
         out = []
-        while last in held:
-            last = held.pop(last)
-            out.append((*key, last))
-        held = {p: c for p, c in held.items() if c > last}
-        state.update((last, ",".join(f"{c}:{p}" for p, c in sorted(held.items()))))
+        for o, r in moved:
+            last, held = chains[o, r]
+            while last in held:
+                last = held.pop(last)
+                out.append((o, r, last))
+            chains[o, r] = last, {p: c for p, c in held.items() if c > last}
+        state.update((json.dumps([(o, r, last, sorted((c, p) for p, c in held.items())) for (o, r), (last, held) in chains.items()]),))
         yield pd.DataFrame(out, columns=["object", "replica", "counter"])
 
-    rows = ops.select("object", "replica", "counter", "prev")
-    return rows.groupBy("object", "replica").applyInPandasWithState(
-        step, "object string, replica string, counter long", "last long, waiting string", "append", GroupStateTimeout.NoTimeout
+    rows = ops.select("object", "replica", "counter", "prev").withColumn("bucket", bucket("object", "replica"))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, "object string, replica string, counter long", "chains string", "append", GroupStateTimeout.NoTimeout
     )
 
 
