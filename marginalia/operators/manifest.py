@@ -14,18 +14,23 @@ from marginalia.session import numbered
 TIER_RATIO = 4
 
 
-def distinct_ops(ops: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """``rows`` in ``parts`` by ``keys``: with as many as the table needs a task holds the same of any table."""
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
+def distinct_ops(ops: DataFrame, parts: int | None = None) -> DataFrame:
     """Each operation once, by its id; rows with no counter or an empty add are malformed and left out."""
     well = (F.col("counter") > 0) & ~((F.col("kind") == "add") & (F.coalesce("count", F.lit(0)) == 0))
-    return ops.where(well).dropDuplicates(["counter", "replica"])
+    return dealt(ops.where(well), ["counter", "replica"], parts).dropDuplicates(["counter", "replica"])
 
 
-def conflicting(ops: DataFrame) -> DataFrame:
+def conflicting(ops: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds that say another count than the earliest add of their segment: ``counter, replica, segment, count, agreed``.
 
     A segment is named by its content, so whoever adds it again must count the same.
     """
-    adds = distinct_ops(ops).where("kind = 'add'").select("counter", "replica", "segment", "count")
+    adds = dealt(distinct_ops(ops, parts).where("kind = 'add'").select("counter", "replica", "segment", "count"), ["segment"], parts)
     first = adds.groupBy("segment").agg(F.min(F.struct("counter", "replica", "count")).alias("first")).select("segment", F.col("first.count").alias("agreed"))
     return adds.join(first, "segment").where(F.col("count") != F.col("agreed")).select("counter", "replica", "segment", "count", "agreed")
 
@@ -35,20 +40,20 @@ def agreeing(ops: DataFrame) -> DataFrame:
     return ops.join(conflicting(ops).select("counter", "replica"), ["counter", "replica"], "left_anti")
 
 
-def fold(ops: DataFrame, model: Column | None = None) -> DataFrame:
+def fold(ops: DataFrame, model: Column | None = None, parts: int | None = None) -> DataFrame:
     """``segment, count, bytes, added_at, added_by, dead, superseded_by``.
 
     The earliest add of the index's own model gives count and bytes; adds of
     another model are refused. A segment that only a tombstone or a retirement
     names has a null count. Adds that contradict an earlier one: :func:`conflicting`.
     """
-    rows = distinct_ops(ops)
+    rows = distinct_ops(ops, parts)
     if model is not None:
         rows = rows.where((F.col("kind") != "add") | (F.col("model") == model))
     is_add = F.col("kind") == "add"
     first = F.min(F.when(is_add, F.struct("counter", "replica", "count", "bytes")))
     return (
-        rows.groupBy("segment")
+        dealt(rows, ["segment"], parts).groupBy("segment")
         .agg(
             first.alias("add"),
             F.array_sort(F.collect_set(F.when(F.col("kind") == "tombstone", F.col("slot")))).alias("dead"),
@@ -60,9 +65,9 @@ def fold(ops: DataFrame, model: Column | None = None) -> DataFrame:
     )
 
 
-def counters(ops: DataFrame, model: Column) -> DataFrame:
+def counters(ops: DataFrame, model: Column, parts: int | None = None) -> DataFrame:
     """One row: operations applied, repeated, and refused for their model."""
-    own = ops.groupBy("counter", "replica").agg(F.count(F.lit(1)).alias("n"), F.first("kind").alias("kind"), F.first("model").alias("model"))
+    own = dealt(ops, ["counter", "replica"], parts).groupBy("counter", "replica").agg(F.count(F.lit(1)).alias("n"), F.first("kind").alias("kind"), F.first("model").alias("model"))
     return own.agg(
         F.count(F.lit(1)).alias("applied"),
         F.sum(F.col("n") - 1).alias("duplicate"),

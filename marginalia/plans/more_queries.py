@@ -41,7 +41,7 @@ def flt_manifest_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = log_queries.manifest_ops(spark, sf_dir)
     n = F.col("segment")
     second = ops.where((F.col("kind") == "add") & (n % 3 == 0)).withColumn("replica", F.lit("d")).withColumn("count", F.when(n % 5 == 0, F.col("count") + 1).otherwise(F.col("count")))
-    return manifest.conflicting(ops.unionByName(second.withColumn("counter", F.col("counter") + F.when(n % 2 == 0, 1).otherwise(-1))))
+    return manifest.conflicting(ops.unionByName(second.withColumn("counter", F.col("counter") + F.when(n % 2 == 0, 1).otherwise(-1))), log_queries.parts(spark, sf_dir))
 
 
 def flt_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,3 +167,12 @@ def test_chains_of_one_group_do_not_mix(spark, base, monkeypatch):
     stateful.run(stream, f"{base}/state", f"{base}/out", processors=False)
     got = sorted((r.object, r.replica, r.counter) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == sorted((o, r, c) for o, r, c, _ in rows if r != "2" or c < 5)
+
+
+def test_the_manifest_is_dealt_to_more_parts_as_the_index_grows(spark, monkeypatch):
+    from marginalia.plans import log_queries
+
+    monkeypatch.setattr(log_queries, "PART_ROWS", 200)
+    many = log_queries.parts(spark, SF)
+    assert many > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert log_queries.state(spark, SF).rdd.getNumPartitions() == many
