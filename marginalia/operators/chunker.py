@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import blake2
+from marginalia.session import bounded_batches
 
 #: Fixed values.
 MAX_DOCUMENT, TARGET, MAX, MIN, LINK_LIST = 64 << 20, 1024, 1536, 64, 6000
@@ -258,6 +259,7 @@ def chunks(documents: DataFrame) -> DataFrame:
     ``object, ordinal, start, end, kind, link_ratio, heading_path, text``; ends are
     exclusive and count bytes.
     """
+    bounded_batches(documents.sparkSession)
     usable = documents.where((chunk_status(F.col("text")) == "ok") & (F.octet_length("text") > 0))
     kind = usable.schema["object"].dataType.simpleString()
 

@@ -404,3 +404,14 @@ def test_first_ids_are_the_same_whenever_they_are_given(spark, tmp_path):
         (tmp_path / name).write_text(name)
     ids = lambda: sorted((r.path, r.id) for r in notes.primed(notes.snapshot(spark, str(tmp_path))).collect())
     assert ids() == ids() and len({i for _, i in ids()}) == 2
+
+
+def test_a_worker_cuts_few_documents_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        passages = chunker.chunks(spark.createDataFrame([(k, f"# t\n\nbody {k}\n") for k in range(600)], "object long, text string"))
+        assert int(spark.conf.get(key)) <= 256 and passages.select("object").distinct().count() == 600
+    finally:
+        spark.conf.set(key, had)
