@@ -28,13 +28,18 @@ def hinted(paths: DataFrame, hints: DataFrame) -> DataFrame:
     """Paths that a hint covers, with whether any of those hints reported a rename.
 
     A path is joined to hints by its own ancestors, so the prefix join is an
-    equality join and does not compare every path with every hint.
+    equality join and does not compare every path with every hint. What the root was
+    told is one row for all paths: they never meet under its name.
     """
     parts = F.split("path", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    spread = paths.select("path", F.explode(F.concat(F.array(F.lit("")), ancestors)).alias("hint"))
-    asked = hints.groupBy(F.col("path").alias("hint")).agg(F.bool_or("renamed").alias("renamed"))
-    return spread.join(asked, "hint").groupBy("path").agg(F.bool_or("renamed").alias("renamed"))
+    every = paths.where("path IS NOT NULL").select("path").distinct()
+    spread = every.select("path", F.explode(F.filter(ancestors, lambda a: a != "")).alias("hint"))
+    asked = hints.where("path <> ''").groupBy(F.col("path").alias("hint")).agg(F.bool_or("renamed").alias("renamed"))
+    own = spread.join(asked, "hint").groupBy("path").agg(F.bool_or("renamed").alias("_own"), F.lit(True).alias("_named"))
+    root = hints.where("path = ''").agg((F.count(F.lit(1)) > 0).alias("_all"), F.bool_or("renamed").alias("_root"))
+    found = every.join(own, "path", "left").crossJoin(F.broadcast(root)).where(F.col("_named") | F.col("_all"))
+    return found.select("path", F.coalesce(F.col("_own") | F.col("_root"), "_own", "_root").alias("renamed"))
 
 
 def deltas(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _hinted_events(spark: SparkSession, sf_dir: str, lost: bool = False, torn: b
     old, new, asked = before(spark, sf_dir), now(spark, sf_dir), renamed(spark, sf_dir)
     log, looks = hints.HintLog(f"{base}/hints"), []
     others = old.select("path").union(new.select("path")).distinct().join(asked, "path", "left_anti").withColumn("renamed", F.lit(False))
-    log.emit_all(others.repartition(4))
+    log.emit_all(others)
     if lost:
         log.keep(0)
     log.emit_all(asked)

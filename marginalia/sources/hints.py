@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 ROOT_HINT = ("", False)
+#: Hints of one entry that a task writes at the most.
+ENTRY = 50_000
 
 
 def _numbers(path: str) -> list[int]:
@@ -52,22 +54,27 @@ class HintLog:
         os.replace(name, os.path.join(self.path, f"{self._next()}.json"))
 
     def emit_all(self, hints: DataFrame) -> None:
-        """The rows ``path, renamed``, an entry a task; numbered here, where only names are seen."""
+        """The rows ``path, renamed``, an entry for each ENTRY rows of a task; numbered here, where only names are seen."""
         staged = os.path.join(self.path, f"staged-{uuid.uuid4().hex}")
         os.makedirs(staged)
 
-        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            name, n = uuid.uuid4().hex, 0
-            with open(f"{staged}/{name}", "w") as f:
-                for batch in batches:
-                    n += len(batch)
-                    f.writelines(json.dumps([p, bool(r)]) + "\n" for p, r in zip(batch["path"], batch["renamed"]))
-            yield pd.DataFrame({"name": [name], "n": [n]})
+        def write(batches: Iterator[pd.DataFrame], most: int = ENTRY) -> Iterator[pd.DataFrame]:
+            names, sizes = [], []
+            for batch in batches:
+                for low in range(0, len(batch), most):
+                    some = batch.iloc[low : low + most]
+                    if not names or sizes[-1] + len(some) > most:
+                        names.append(uuid.uuid4().hex)
+                        sizes.append(0)
+                    sizes[-1] += len(some)
+                    with open(f"{staged}/{names[-1]}", "a") as f:
+                        f.writelines(json.dumps([p, bool(r)]) + "\n" for p, r in zip(some["path"], some["renamed"]))
+            yield pd.DataFrame({"name": names, "n": sizes})
 
         # what a task wrote counts if it is told of: another try of it has another name
         written = hints.where("path IS NOT NULL").select("path", F.coalesce("renamed", F.lit(False)).alias("renamed")).mapInPandas(write, "name string, n long")
-        for r in written.where("n > 0").orderBy("name").collect():
-            os.replace(f"{staged}/{r.name}", os.path.join(self.path, f"{self._next()}.json"))
+        for k, r in enumerate(written.where("n > 0").orderBy("name").collect(), self._next()):
+            os.replace(f"{staged}/{r.name}", os.path.join(self.path, f"{k}.json"))
 
     def keep(self, entries: int) -> None:
         """Lose all but the last ``entries``."""

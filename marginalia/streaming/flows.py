@@ -152,14 +152,19 @@ def reconcile_batches(
     previous.write.mode("ignore").parquet(f"{base}/-1")
 
     def batch(hints: DataFrame, n: int) -> None:
-        if hints.isEmpty():
+        # read once, as a source of hints may be slow
+        asked = cut(hints.where("path IS NOT NULL").groupBy("path").agg(F.bool_or("renamed").alias("renamed")))
+        if asked.isEmpty():
             return
         before, now = latest(n), cut(current())
-        asked = hints.select("path", "renamed")
-        covered, again = snapshot.hinted(before.select("path").union(now.select("path")).distinct(), asked), None
+        covered, again = snapshot.hinted(before.select("path").union(now.select("path")), asked), None
         if "stable" in now.columns:
-            torn = now.where(~F.col("stable")).select("path")
-            again, covered, now = cut(covered.join(torn, "path", "left_semi")), covered.join(torn, "path", "left_anti"), now.drop("stable")
+            torn = now.where(~F.col("stable")).select("path", F.lit(True).alias("_torn")).distinct()
+            marked = cut(covered.join(torn, "path", "left"))
+            again, covered = (marked.where(c).drop("_torn") for c in ("_torn", "_torn IS NULL"))
+            now = now.drop("stable")
+        else:
+            covered = cut(covered)
         within = lambda d: d.join(covered.select("path"), "path", "left_semi")
         emit(snapshot.reconcile(within(before), within(now), covered))
         rest = before.join(covered.select("path"), "path", "left_anti")

@@ -415,3 +415,36 @@ def test_a_worker_cuts_few_documents_at_a_time(spark):
         assert int(spark.conf.get(key)) <= 256 and passages.select("object").distinct().count() == 600
     finally:
         spark.conf.set(key, had)
+
+
+def test_hints_come_in_small_entries_and_are_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hints, "ENTRY", 6)
+    log = hints.HintLog(str(tmp_path / "log"))
+    log.emit_all(spark.range(20).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(True).alias("renamed")).coalesce(1))
+    sizes = [sum(1 for _ in open(tmp_path / "log" / n)) for n in os.listdir(tmp_path / "log") if n.endswith(".json")]
+    assert sum(sizes) == 20 and max(sizes) <= 6
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(path):
+        reads.add(1)
+        return path
+
+    row = lambda k: (f"n/{k}.md", f"i{k}", 1, k, 1, "h")
+    columns = "path string, id string, dev int, ino long, nlink int, hash string"
+    old, new = (spark.createDataFrame([row(k) for k in r], columns) for r in (range(6), range(1, 8)))
+    out = []
+    step = flows.reconcile_batches(spark, old, lambda: new, lambda e: out.extend((r.kind, r.path) for r in e.collect()), str(tmp_path / "kept"))
+    given = spark.createDataFrame([("", False), ("n/0.md", True), (None, True)], "path string, renamed boolean").coalesce(1)
+    step(given.select(seen("path").alias("path"), "renamed"), 0)
+    assert sorted(out) == [("created", "n/6.md"), ("created", "n/7.md"), ("deleted", "n/0.md")]
+    # a filter and what goes on may each ask for a value of the one read
+    assert reads.value <= 6
+
+
+def test_the_root_covers_all_paths_without_a_common_key(spark):
+    paths = spark.createDataFrame([("a/x",), ("a/x",), ("/b",), ("",), (None,), ("c",)], "path string")
+    told = lambda rows: {r.path: r.renamed for r in snapshot.hinted(paths, spark.createDataFrame(rows, "path string, renamed boolean")).collect()}
+    assert told([("", False), ("a", True)]) == {"a/x": True, "/b": False, "": False, "c": False}
+    assert told([("", None), ("c", False)]) == {"a/x": None, "/b": None, "": None, "c": False}
+    assert told([("a/x", None), ("/b", True), (None, True)]) == {"a/x": None, "/b": True}
