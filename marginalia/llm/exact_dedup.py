@@ -43,7 +43,7 @@ def _bit(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
 
 
-def _gate(repeated: DataFrame, key: str) -> DataFrame:
+def gate(repeated: DataFrame, key: str) -> DataFrame:
     """The bitmap of ``key``: at most GATE_WORDS rows by construction."""
     return (
         repeated.select(_word(F.col(key)).alias("_w"), _bit(F.col(key)).alias("_b"))
@@ -52,7 +52,7 @@ def _gate(repeated: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _through(rows: DataFrame, gate: DataFrame, key: str) -> DataFrame:
+def through(rows: DataFrame, gate: DataFrame, key: str) -> DataFrame:
     """Rows whose key may be in the gate. The broadcast side has GATE_WORDS rows at most."""
     return (
         rows.withColumn("_w", _word(F.col(key)))
@@ -68,12 +68,12 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_length = rows.withColumn("_len", F.octet_length("_t").cast("long"))
     lengths = by_length.groupBy("_len").count().where("count > 1")
 
-    prefixed = _through(by_length, _gate(lengths, "_len"), "_len").withColumn(
+    prefixed = through(by_length, gate(lengths, "_len"), "_len").withColumn(
         "_pre", F.xxhash64(F.col("_len"), ascii_lower(F.substring("_t", 1, PREFIX_CHARS)))
     )
     prefixes = prefixed.groupBy("_pre").count().where("count > 1")
 
-    return _through(prefixed, _gate(prefixes, "_pre"), "_pre").select(
+    return through(prefixed, gate(prefixes, "_pre"), "_pre").select(
         "_id", F.sha2(ascii_lower(F.col("_t")), 256).alias("text_sha256")
     )
 

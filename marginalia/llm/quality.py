@@ -6,9 +6,11 @@ good one wins. A weighted sum of features then ranks any document, and a quantil
 of the ranks of the training documents, placed at the share of bad ones among
 them, becomes the score 0.5.
 
-Only labelled rows are sampled, and only for fitting: ``MAX_LABELLED`` bounds the
-expected number of documents read for training, ``PAIRS_PER_DOC`` the pairs. What
-tells good from bad is learnt: the features are hashed byte n-grams of the whole text
+Every labelled row is fitted on. Their features are dealt to blocks by a hash, with
+copies of the rarer class where a block would have few, and a good and a bad document of
+a block make a pair; ``PAIRS_PER_DOC`` says how many each of the commoner class is in. The
+loss is minimised by Newton steps: tasks add up gradient and curvature of their blocks'
+pairs, which are never written down, and the sums are of fixed size. What tells good from bad is learnt: the features are hashed byte n-grams of the whole text
 and a few general shares of it, in an Arrow UDF, so scoring is one narrow projection
 without a shuffle.
 
@@ -24,21 +26,27 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.session import bounded_batches, chosen
+from marginalia.llm.exact_dedup import gate, through
+from marginalia.session import bounded_batches, cut
 
-#: Documents read for fitting, in expectation, and pairs per document of the rarer class.
-MAX_LABELLED, PAIRS_PER_DOC = 12_000, 4
+#: Pairs per document of the commoner class; documents of a block, and of its rarer class at the least, in expectation.
+PAIRS_PER_DOC, BLOCK, RARER = 4, 128, 16
+#: Newton steps at the most, the slope at which they end, and the rows that the sums of all tasks are added up in.
+STEPS, FLAT, SUMS = 30, 1e-7, 16
+#: Blocks of a task.
+BLOCKS = 64
 #: Buckets of byte n-grams, their length, and the regularisation of all weights.
 BUCKETS, GRAM, RIDGE = 512, 3, 1e-3
 SHAPE = ("letters", "capitals", "spaces", "digits", "marks", "repeats", "distinct", "word_bytes", "log_words")
@@ -111,34 +119,97 @@ class Ranking:
         return F.aggregate(F.zip_with(x, F.lit(list(self.weights)), lambda a, w: a * w), F.lit(0.0), lambda t, a: t + a)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit: int) -> DataFrame:
-    """Documents with a label, thinned by a hash of the id to ``limit`` in expectation; a label that is given twice counts once."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``_id, _y, _x``: the features of every document with a label; a label that is given twice counts once."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        id_col, F.col(label_col).cast("int").alias("_y")
+        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")
     ).distinct()
-    n = usable.count()
-    if n > limit:
-        usable = usable.where(chosen(F.xxhash64(F.col(id_col), F.lit("quality")), limit, n))
-    # `limit` rows of two numbers, two an id at the most: a bounded broadcast, so the texts of the others are never moved
-    return docs.join(F.broadcast(usable), id_col)
-
-
-def preference_pairs(sample: DataFrame, per_doc: int = PAIRS_PER_DOC) -> DataFrame:
-    """``_d, _round``: features of a good document less those of a bad one.
-
-    Bad and good documents meet by a shared slot number, so the pairs grow with
-    the sample and not with the product of the classes.
-    """
-    counts = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = max(1, min(counts.get(0, 0), counts.get(1, 0)))
-    seat = lambda i: F.pmod(F.xxhash64("_id", F.lit(i)), F.lit(slots))
-    seats = F.explode(F.array(*[F.struct(seat(i).alias("slot"), F.lit(i).alias("round")) for i in range(per_doc)]))
-    placed = sample.select("_id", "_y", "_x", seats.alias("_s")).select("_y", "_x", "_s.slot", "_s.round")
-    good = placed.where("_y = 1").select("slot", "round", F.col("_x").alias("_g"))
-    bad = placed.where("_y = 0").select("slot", "round", F.col("_x").alias("_b"))
-    return good.join(bad, ["slot", "round"]).select(
-        F.zip_with("_g", "_b", lambda g, b: g.cast("double") - b).alias("_d"), F.col("round").alias("_round")
-    )
+    # a bitmap of fixed size keeps the texts without a label where they are
+    key = F.xxhash64("_id").alias("_key")
+    some = through(docs.select(F.col(id_col).alias("_id"), text_col).select("*", key), gate(usable.select(key), "_key"), "_key")
+    return cut(with_features(some, text_col).select("_id", "_x").join(usable, "_id"))
+
+
+def blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``block, x, y, own``: the features, labels and first copies of a block's documents, a row a block."""
+    n, rarer = max(-(-sum(counts.values()) // BLOCK), 1), min(counts, key=counts.__getitem__)
+    copies = F.when(F.col("_y") == rarer, -(-RARER * n // counts[rarer])).otherwise(1)
+    dealt = rows.select("_id", "_y", "_x", F.explode(F.sequence(F.lit(0), F.least(copies, F.lit(n)) - 1)).alias("_copy"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("_id", "_copy", F.lit("block")), F.lit(n)))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        # in an order that does not depend on how rows came
+        rows = rows.sort_by([("_id", "ascending"), ("_copy", "ascending"), ("_y", "ascending")])
+        x = rows["_x"].combine_chunks().flatten().to_numpy().astype(np.float32)
+        y, own = rows["_y"].to_numpy().astype(np.int8), (rows["_copy"].to_numpy() == 0).astype(np.int8)
+        return pa.table({"block": rows["block"][:1], "x": [x.tobytes()], "y": [y.tobytes()], "own": [own.tobytes()]})
+
+    packed = cut(dealt.groupBy("block").applyInArrow(pack, "block long, x binary, y binary, own binary"))
+    # a task sends sums of fixed size however few blocks it has
+    return packed.coalesce(max(-(-n // BLOCKS), 1))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for k, x, y, own in zip(*(batch[c].to_pylist() for c in ("block", "x", "y", "own"))):
+            yield k, np.frombuffer(x, np.float32).reshape(-1, WIDTH), np.frombuffer(y, np.int8), np.frombuffer(own, np.int8)
+
+
+def differences(block: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features of a good document less those of a bad one, a row a pair; the same for a block each time."""
+    good, bad = x[y == 1], x[y == 0]
+    if not len(good) or not len(bad):
+        return np.empty((0, WIDTH), np.float32)
+    n = max(len(good), len(bad))
+    met = np.random.default_rng(block).integers(0, min(len(good), len(bad)), PAIRS_PER_DOC * n)
+    each = np.tile(np.arange(n), PAIRS_PER_DOC)
+    return good[each] - bad[met] if len(good) == n else good[met] - bad[each]
+
+
+def _sums(packed: DataFrame, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Pairs, and the sums over them of loss, gradient and curvature at the weights ``w``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, slope, curve = 0, 0.0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
+        for k, x, y, _ in _read(batches):
+            d = differences(k, x, y)
+            z = d.astype(np.float64) @ w
+            lost = 1 / (1 + np.exp(np.clip(z, -700, 700)))
+            n, loss = n + len(d), loss + np.logaddexp(0, -z).sum()
+            slope -= d.T.astype(np.float64) @ lost
+            heavy = d * np.sqrt(lost * (1 - lost)).astype(np.float32)[:, None]
+            curve += heavy.T @ heavy
+        raw = np.concatenate(([n, loss], slope, curve.ravel())).tobytes()
+        yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), "raw": pa.array([raw], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(r.as_py()) for r in rows["raw"])
+        return pa.table({"raw": pa.array([total.tobytes()], pa.binary())})
+
+    parts = packed.mapInArrow(task, "k int, raw binary").groupBy("k").applyInArrow(add, "raw binary").collect()
+    total = sum((np.frombuffer(bytes(r.raw)) for r in parts), np.zeros(2 + WIDTH + WIDTH * WIDTH))
+    return total[0], total[1], total[2 : 2 + WIDTH], total[2 + WIDTH :].reshape(WIDTH, WIDTH)
+
+
+def _weights(packed: DataFrame) -> np.ndarray:
+    """The weights of least mean loss and ridge, the ridge in units of each feature's spread."""
+    w, step, least, ridge = np.zeros(WIDTH), np.zeros(WIDTH), math.inf, None
+    for _ in range(STEPS):
+        n, loss, slope, curve = _sums(packed, w)
+        if not n:
+            break
+        ridge = 4 * RIDGE * np.diag(curve) / n if ridge is None else ridge
+        now = loss / n + (ridge * w * w).sum() / 2
+        if now > least + 1e-9:
+            step = step / 2
+            w = w - step
+            continue
+        least, down = now, slope / n + ridge * w
+        if np.abs(down).max() < FLAT:
+            break
+        step = -np.linalg.solve(curve / n + np.diag(ridge + 1e-9), down)
+        w = w + step
+    return w
 
 
 def fit(
@@ -147,31 +218,24 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    limit: int = MAX_LABELLED,
 ) -> Ranking:
-    """Learn from ``labels(id, label)``; the caller leaves held-out rows away."""
-    sample = labelled_sample(docs.select(id_col, text_col), labels, id_col, label_col, limit)
-    sample = with_features(sample, text_col).select(F.col(id_col).alias("_id"), "_y", "_x").persist()
-    # every other pair is turned round, so that there are wins and losses
-    turned = F.transform("_d", lambda x: -x)
-    both = preference_pairs(sample).select(
-        array_to_vector(F.when(F.col("_round") % 2 == 0, F.col("_d")).otherwise(turned)).alias("features"),
-        (1.0 - F.col("_round") % 2).alias("label"),
-    ).persist()
-    try:
-        if both.isEmpty():
-            return Ranking((0.0,) * WIDTH, 0.0)
-        model = LogisticRegression(fitIntercept=False, regParam=RIDGE, maxIter=60).fit(both)
-        weights = tuple(float(w) for w in model.coefficients)
-        ranked = sample.select(Ranking(weights, 0.0).rank(F.col("_x")).alias("r"), "_y")
-        bad = float(ranked.agg(F.avg(1 - F.col("_y"))).first()[0])
-        at = ranked.agg(
-            F.expr(f"percentile_approx(r, array({max(bad - 0.005, 0.0)}, {min(bad + 0.005, 1.0)}), 10000)").alias("q")
-        ).first()["q"]
-        return Ranking(weights, (float(at[0]) + float(at[1])) / 2)
-    finally:
-        both.unpersist()
-        sample.unpersist()
+    """Learn from all ``labels(id, label)``; the caller leaves held-out rows away."""
+    rows = labelled(docs, labels, id_col, text_col, label_col)
+    counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return Ranking((0.0,) * WIDTH, 0.0)
+    packed = blocks(rows, counts)
+    w = _weights(packed)
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, _, own in _read(batches):
+            yield pa.RecordBatch.from_pydict({"r": pa.array(x[own == 1].astype(np.float64) @ w)})
+
+    bad = counts[0] / (counts[0] + counts[1])
+    at = packed.mapInArrow(ranks, "r double").agg(
+        F.expr(f"percentile_approx(r, array({max(bad - 0.005, 0.0)}, {min(bad + 0.005, 1.0)}), 10000)").alias("q")
+    ).first()["q"]
+    return Ranking(tuple(map(float, w)), (float(at[0]) + float(at[1])) / 2)
 
 
 def score(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:

@@ -318,6 +318,28 @@ def test_quality_on_odd_input(spark):
     assert quality.score(table.limit(0), blank).count() == 0
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Small blocks and a rare class: each document is in a block once as itself, and the weights are where the loss is least."""
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choices(["ab", "cd", "ef", "zz9"] if k % 20 else ["zz9", "q!", "ab"], k=30))) for k in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 20 > 0)) for k in range(300)] * 2 + [(999, 1), (5, None)], "doc_id long, quality int")
+    rows = quality.labelled(table, labels, "doc_id", "text", "quality")
+    assert sorted((r._id, r._y) for r in rows.collect()) == [(k, int(k % 20 > 0)) for k in range(300)]
+    packed = quality.blocks(rows, {0: 15, 1: 285})
+    kept = list(quality._read([b for b in packed.toArrow().to_batches()]))
+    assert len(kept) > 1 and sum(int(own.sum()) for *_, own in kept) == 300 and all(0 < y.sum() < len(y) for _, _, y, _ in kept)
+    assert sum(int(own[y == 0].sum()) for _, _, y, own in kept) == 15
+    w = quality._weights(packed)
+    d = np.concatenate([quality.differences(k, x, y) for k, x, y, _ in kept]).astype(float)
+    ridge = quality.RIDGE * (d * d).mean(axis=0)
+    slope = ridge * w - (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0)
+    assert len(d) >= 4 * 285 and np.abs(slope).max() < 1e-5
+    scored = {r.doc_id: r.predicted for r in quality.score(table, quality.fit(table, labels)).collect()}
+    assert sum(scored[k] == (k % 20 > 0) for k in range(300)) >= 294
+
+
 # ------------------------------------------------------------------ pipeline
 
 
