@@ -351,6 +351,35 @@ def test_a_passage_behind_many_documents_that_hold_its_parts_is_found(spark):
     assert {(r.doc_id, r.other_id) for r in got} == {(i + 4, i + 1) for i in range(0, 5 * n, 5)}
 
 
+def test_the_last_round_gives_each_window_one_cover(spark, monkeypatch):
+    """Many documents that hold parts of a passage, and many that hold it: a row or two for each of those, not one for each pair."""
+    monkeypatch.setattr(substring_dedup, "ROOM", 1 << 14)
+    rng = random.Random(24)
+    words = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    passage, n = words(55), 40
+    parts = lambda: " ".join(words(30) + passage[:40] + words(50) + passage[8:48] + words(50) + passage[15:])
+    rows = [(i, parts()) for i in range(n)] + [(n, " ".join(words(30) + passage))] + [(i, parts()) for i in range(n + 1, 2 * n)]
+    rows += [(i, " ".join(words(i % 7) + passage + words(25))) for i in range(2 * n, 3 * n)]
+    taken = []
+    passages = substring_dedup.remaining_passages
+    monkeypatch.setattr(substring_dedup, "remaining_passages", lambda *a: taken.append(passages(*a)) or taken[0])
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(2 * n, 3 * n)) and all(r.other_id == n or r.other_id >= 2 * n for r in got)
+    # all pairs of what holds the passage would be 780
+    assert taken and taken[0].count() <= 6 * n
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    rng = random.Random(25)
+    words = lambda n, m: " ".join("".join(rng.choices("abc", k=m)) for _ in range(n))
+    texts = [words(rng.randint(0, 200), rng.choice((1, 4, 9))) for _ in range(60)] + [None, "", "same " * 300]
+    which, key, at = substring_dedup.text_windows(texts, 46, 3, 28)
+    for k, text in enumerate(texts):
+        alone = substring_dedup.text_windows([text], 46, 3, 28)
+        assert (alone[1] == key[which == k]).all() and (alone[2] == at[which == k]).all() and len(set(alone[1].tolist())) == len(alone[1])
+    assert set(which.tolist()) == {k for k, t in enumerate(texts) if len((t or "").split()) >= 50}
+
+
 def test_windows_agree_where_their_beginnings_meet():
     rng = np.random.default_rng(5)
     for _ in range(60):
