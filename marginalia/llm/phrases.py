@@ -46,8 +46,9 @@ from marginalia.session import bounded_batches, cut
 PIECE_ENDS, WORD_GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: One byte of the above stands for all ends of pieces once a text is read.
 END = b"."
-#: Occurrences of a prefix, and pointers of a group, that a task is meant for.
-TASK = 8_000
+#: Occurrences of a prefix, and pointers of a group, that a task is meant for: a megabyte or two. Each part of a
+#: prefix is a row of each task that reads texts, so parts grow with the input twice: there are few for it.
+TASK = 64_000
 SLOTS, BITS = 1 << 22, 1 << 26
 #: Hashes by which pairs are counted: few enough to travel in five bytes.
 PAIRS = 1 << 36

@@ -146,6 +146,13 @@ TEXTS = [
 ] * 4
 
 
+def test_a_prefix_is_dealt_to_few_parts(spark):
+    """Each part is a row of each task that reads texts."""
+    counts = spark.createDataFrame([("en", "some", 60_000), ("en", "many", 640_000)], "lang string, word string, n long")
+    parts = phrases.parts_by_slot(counts)
+    assert sorted(parts[parts > 0].tolist()) == [1, 10]
+
+
 @pytest.mark.parametrize("task", [phrases.TASK, 3])
 def test_collocations_equal_brute_force(spark, monkeypatch, task):
     monkeypatch.setattr(phrases, "TASK", task)
