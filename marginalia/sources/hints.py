@@ -69,7 +69,8 @@ class HintLog:
                     sizes[-1] += len(some)
                     with open(f"{staged}/{names[-1]}", "a") as f:
                         f.writelines(json.dumps([p, bool(r)]) + "\n" for p, r in zip(some["path"], some["renamed"]))
-            yield pd.DataFrame({"name": names, "n": sizes})
+            if names:  # a task may have no rows
+                yield pd.DataFrame({"name": names, "n": sizes})
 
         # what a task wrote counts if it is told of: another try of it has another name
         written = hints.where("path IS NOT NULL").select("path", F.coalesce("renamed", F.lit(False)).alias("renamed")).mapInPandas(write, "name string, n long")

@@ -448,3 +448,10 @@ def test_the_root_covers_all_paths_without_a_common_key(spark):
     assert told([("", False), ("a", True)]) == {"a/x": True, "/b": False, "": False, "c": False}
     assert told([("", None), ("c", False)]) == {"a/x": None, "/b": None, "": None, "c": False}
     assert told([("a/x", None), ("/b", True), (None, True)]) == {"a/x": None, "/b": True}
+
+
+def test_a_task_without_hints_writes_no_entry(spark, tmp_path):
+    log = hints.HintLog(str(tmp_path / "log"))
+    log.emit_all(spark.createDataFrame([("a", True)], "path string, renamed boolean").repartition(4))
+    log.emit_all(spark.createDataFrame([], "path string, renamed boolean").repartition(2))
+    assert [open(f"{log.path}/{n}").read() for n in os.listdir(log.path) if n.endswith(".json")] == ['["a", true]\n']
