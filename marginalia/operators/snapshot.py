@@ -6,6 +6,8 @@ the inode is evidence of a move, and only where a rename was also reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,14 @@ def moves(changed: DataFrame, renamed: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(before: DataFrame, now: DataFrame, renamed: DataFrame) -> DataFrame:
+def reconcile(before: DataFrame, now: DataFrame, renamed: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Events ``kind, path, old_path, id, hash``; nothing for what is touched but unchanged.
 
-    A created file has no id yet: its id is given where the event is stored.
+    A created file has no id yet: its id is given where the event is stored. What is read
+    more than once goes through ``keep``: written there, its joins are planned and run once.
     """
-    changed = deltas(before, now)
-    moved = moves(changed, renamed)
+    changed = keep(deltas(before, now))
+    moved = keep(moves(changed, renamed))
     rest = (
         changed.join(moved.select("path", F.lit(True).alias("took")), "path", "left")
         .join(moved.select(F.col("old_path").alias("path"), F.lit(True).alias("gave")), "path", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.operators import snapshot
-from marginalia.session import cut, shared_dir
+from marginalia.session import cut, shared_dir, stored
 from marginalia.sources.sinks import append_new
 from marginalia.streaming.stateful import bucket
 
@@ -166,7 +166,7 @@ def reconcile_batches(
         else:
             covered = cut(covered)
         within = lambda d: d.join(covered.select("path"), "path", "left_semi")
-        emit(snapshot.reconcile(within(before), within(now), covered))
+        emit(snapshot.reconcile(within(before), within(now), covered, stored))
         rest = before.join(covered.select("path"), "path", "left_anti")
         known = before.select("path", F.col("id").alias("_id"))
         seen = within(now).join(known, "path", "left").withColumn("id", F.coalesce("_id", "id")).drop("_id")

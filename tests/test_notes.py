@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as text_functions
 from marginalia.operators import chunker, snapshot, text_crdt, tree
-from marginalia.session import cut as cut_lineage
+from marginalia.session import cut as cut_lineage, stored
 from marginalia.sources import hints, notes, sinks
 from marginalia.streaming import flows
 
@@ -455,3 +455,16 @@ def test_a_task_without_hints_writes_no_entry(spark, tmp_path):
     log.emit_all(spark.createDataFrame([("a", True)], "path string, renamed boolean").repartition(4))
     log.emit_all(spark.createDataFrame([], "path string, renamed boolean").repartition(2))
     assert [open(f"{log.path}/{n}").read() for n in os.listdir(log.path) if n.endswith(".json")] == ['["a", true]\n']
+
+
+def test_events_of_a_batch_plan_their_joins_once(spark):
+    row = lambda k, ino: (f"n/{k}.md", f"i{k}", 1, ino, 1, "h")
+    columns = "path string, id string, dev int, ino long, nlink int, hash string"
+    old = spark.createDataFrame([row(k, k) for k in range(6)], columns)
+    new = spark.createDataFrame([row(k, k) for k in range(1, 5)] + [row(9, 5)], columns)
+    told = spark.createDataFrame([("n/9.md", True)], "path string, renamed boolean")
+    once, again = snapshot.reconcile(old, new, told, stored), snapshot.reconcile(old, new, told)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    assert {(r.kind, r.path) for r in once.collect()} == {("deleted", "n/0.md"), ("moved", "n/9.md")}
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(once) == 2 < joins(again)
