@@ -176,3 +176,17 @@ def test_the_manifest_is_dealt_to_more_parts_as_the_index_grows(spark, monkeypat
     many = log_queries.parts(spark, SF)
     assert many > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert log_queries.state(spark, SF).rdd.getNumPartitions() == many
+
+
+def test_a_range_of_many_files_comes_whole(spark, monkeypatch):
+    """However many files hold a range of counters, none of its rows is late."""
+    monkeypatch.setattr(state_queries, "RANGE", 1000, raising=False)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        got = state_queries.st_wanted_memory(spark, SF).groupBy("here").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    ops, came = state_queries.wanted_streams(spark, SF)
+    come = came.select(F.col("segment").alias("s"), F.col("counter").alias("c")).distinct()
+    here = ops.join(come, (F.col("segment") == F.col("s")) & (F.abs(F.col("counter") - F.col("c")) <= state_queries.HORIZON), "left_semi").count()
+    assert {r["here"]: r["count"] for r in got} == {True: here, False: ops.count() - here}
