@@ -19,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import as_doubles, dot
-from marginalia.operators.search import topk
-from marginalia.session import chosen
+from marginalia.operators.search import scored, topk
+from marginalia.session import chosen, cut
 
 SAMPLE, ROUNDS, CODEWORDS = 20_000, 12, 256
+#: Questions that tell how many vectors the others must read, and the share of their exact answers that has to be among those.
+TOLD_BY, SHARE = 256, 0.98
 #: Codes and questions of a group: what one task holds at a time.
 CHUNK, BLOCK = 32_768, 2_048
 
@@ -170,7 +173,33 @@ def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, book: Codeb
     if book is None:
         return topk(vectors.limit(0).crossJoin(queries.limit(0)).select("q", "segment", "slot", F.lit(0.0).alias("score")), k)
     live = index if dead is None else index.join(dead.select("segment", "slot").distinct(), ["segment", "slot"], "left_anti")
-    chosen = candidates(live, queries, book, probes, max(k, rerank)).select("q", "segment", "slot")
-    own = vectors.select("segment", "slot", as_doubles(F.col("vector")).alias("_v"))
-    asked = queries.select("q", as_doubles(F.col("qv")).alias("_q"))
-    return topk(chosen.join(own, ["segment", "slot"]).join(asked, "q").select("q", "segment", "slot", dot(F.col("_v"), F.col("_q")).alias("score")), k)
+    read = candidates(live, queries, book, probes, max(k, rerank)).select("q", "segment", "slot")
+    own, asked = vectors.select("segment", "slot", "vector"), queries.select("q", "qv")
+    score = dot(as_doubles(F.col("vector")), as_doubles(F.col("qv"))).alias("score")
+    return topk(read.join(own, ["segment", "slot"]).join(asked, "q").select("q", "segment", "slot", score), k)
+
+
+def settled(index: DataFrame, vectors: DataFrame, queries: DataFrame, book: Codebook | None, probes: int, k: int, rerank: int) -> tuple[int, int]:
+    """``probes, rerank`` with which SHARE of the exact answers is found, by TOLD_BY of the questions in expectation; not less than is given.
+
+    How far down by its codes an answer may lie grows with the table. The places of the exact
+    answers of a few questions say it, and where cells that are not probed keep answers away, all are.
+    """
+    n = vectors.count()
+    if book is None or rerank >= n:
+        return probes, rerank
+    asked = queries.where(F.size("qv") == book.width)
+    asked = cut(asked.where(chosen(F.xxhash64("q"), TOLD_BY, asked.count())))
+    exact = cut(topk(scored(vectors, asked, k), k).select("q", "segment", "slot"))
+    wanted, cells = exact.count(), len(book.centres)
+    for tried, most in ((probes, max(8 * rerank, n // 10)), (cells, n)):
+        ranks, read = 8 * rerank, 0
+        while read < most:
+            read = min(ranks, most)
+            places = candidates(index, asked, book, tried, read).join(exact, ["q", "segment", "slot"], "left_semi").select("rk")
+            found = sorted(r.rk for r in places.collect())  # k places a question
+            needed = math.ceil(wanted * SHARE)
+            if len(found) >= needed:
+                return tried, max(rerank, found[needed - 1] if needed else 0)
+            ranks *= 8
+    return cells, n

@@ -120,7 +120,7 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.evaluation(asked.select("q", "expected"), passages).withColumn("mrr", F.round("mrr", 6))
 
 
-#: Cells, how many of them a question probes, and how many vectors it reads. The test vectors are spread almost evenly, so that few cells can be left out.
+#: Cells, how many of them a question probes, and how many vectors it reads at the least. The test vectors are spread almost evenly, so that few cells can be left out.
 CELLS, PROBES, RERANK = 16, 15, 80
 
 
@@ -131,9 +131,11 @@ def _codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ann.Codebook]:
     return cut(ann.build(live, book)), book
 
 
-def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, book = _codes(spark, sf_dir)
-    return ann.search(index, live_vectors(spark, sf_dir), question_vectors(spark, sf_dir), book, PROBES, 10, RERANK)
+def _approximate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The answers, and how many vectors a question reads for them."""
+    (index, book), live, asked = _codes(spark, sf_dir), live_vectors(spark, sf_dir), question_vectors(spark, sf_dir)
+    probes, rerank = ann.settled(index, live, asked, book, PROBES, 10, RERANK)
+    return ann.search(index, live, asked, book, probes, 10, rerank), rerank
 
 
 def idx_ann_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,19 +146,20 @@ def idx_ann_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the exact answers is found, and what share of the vectors a question reads for it."""
-    n = F.lit(RERANK) / F.lit(max(live_vectors(spark, sf_dir).count(), 1))
-    return retrieval.recall(_approximate(spark, sf_dir), search.topk(scores(spark, sf_dir, 10), 10)).withColumn("vectors_read", F.least(n, F.lit(1.0)))
+    found, read = _approximate(spark, sf_dir)
+    n = F.lit(read) / F.lit(max(live_vectors(spark, sf_dir).count(), 1))
+    return retrieval.recall(found, search.topk(scores(spark, sf_dir, 10), 10)).withColumn("vectors_read", F.least(n, F.lit(1.0)))
 
 
 def idx_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether at least 0.95 of the exact answers are found."""
-    found = cut(_approximate(spark, sf_dir))
+    found = cut(_approximate(spark, sf_dir)[0])
     ok = retrieval.recall(found, search.topk(scores(spark, sf_dir, 10), 10)).select((F.col("score_recall") >= 0.95).alias("held"))
     return found.agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("q").alias("questions")).crossJoin(F.broadcast(ok))
 
 
 def topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_approximate(spark, sf_dir))
+    return _shown(_approximate(spark, sf_dir)[0])
 
 
 def agg_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,3 +299,20 @@ def test_rounded_scores_are_those_of_decimals(spark):
     values += [float(v) for v in np.round(np.random.default_rng(3).normal(size=500), 7)]
     got = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("a"), search.rounded(F.col("x")).alias("b")).collect()
     assert [repr(r.a) for r in got] == [repr(r.b) for r in got]
+
+
+def test_a_question_reads_as_many_vectors_as_its_answers_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(search_queries, "RERANK", 10)
+    row = search_queries.idx_ann_search(spark, "/root/testdata/sf0.01").first()
+    assert row.held and row.hits == 10 * row.questions
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16))
+    vectors = spark.createDataFrame([(i % 3, i, v.tolist()) for i, v in enumerate(x)], "segment int, slot long, vector array<double>")
+    asked = vectors.where("slot % 30 = 0").select(F.col("slot").alias("q"), F.col("vector").alias("qv"))
+    book = ann.fit(vectors, cells=9, stretches=4)
+    index = ann.build(vectors, book)
+    probes, rerank = ann.settled(index, vectors, asked, book, 9, 5, 6)
+    assert probes == 9 and 6 < rerank < 1500
+    share = retrieval.recall(ann.search(index, vectors, asked, book, probes, 5, rerank), search.topk(search.scored(vectors, asked, 5), 5)).first().identity_recall
+    assert share >= ann.SHARE
+    assert ann.settled(index, vectors, asked, book, 1, 5, 6)[0] == 9
