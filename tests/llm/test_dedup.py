@@ -462,3 +462,15 @@ def test_passages_against_brute_force(spark):
     for r in got:
         a, b = set(shingles[r.doc_id][r.start_word : r.end_word - 4]), set(shingles[r.other_id][r.other_start : r.other_end - 4])
         assert r.other_id < r.doc_id and len(a & b) / len(a | b) >= 0.8 and r.end_word - r.start_word >= 41  # without what is changed at either end
+
+
+def test_texts_that_share_few_shingles_in_a_part_are_not_close():
+    a, few = np.arange(100, dtype=np.uint64), np.arange(30, dtype=np.uint64)
+    for n in range(31):
+        assert not len(substring_dedup._close(a, few[:n], np.zeros(n, np.int32), 1, 46, 40))
+    key, at, bare = np.array([5]), np.array([60 << 25]), np.array([60])
+    asked = substring_dedup.Listed(9, a, key, at, bare)
+    other = substring_dedup.Listed(2, np.concatenate((few, a[50:] + np.uint64(1000))), key, at, bare)
+    assert not list(substring_dedup.first_covers([asked], [other], 46, 0.8, 1))
+    same = substring_dedup.Listed(3, a[10:], key, np.array([50 << 25]), bare)
+    assert [r[3] for r in substring_dedup.first_covers([asked], [other, same], 46, 0.8, 1)] == [3]
