@@ -316,3 +316,20 @@ def test_a_question_reads_as_many_vectors_as_its_answers_ask_for(spark, monkeypa
     share = retrieval.recall(ann.search(index, vectors, asked, book, probes, 5, rerank), search.topk(search.scored(vectors, asked, 5), 5)).first().identity_recall
     assert share >= ann.SHARE
     assert ann.settled(index, vectors, asked, book, 1, 5, 6)[0] == 9
+
+
+def test_where_any_pair_goes_on_no_vector_is_shuffled_for_each_block(spark, monkeypatch):
+    for name, most in (("TOLD", 7), ("SHARE", 16), ("HELD", 50), ("HELD_ABOVE", 50)):
+        monkeypatch.setattr(search, name, most, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(i % 3, i, v.tolist() if i % 10 else None) for i, v in enumerate(rng.normal(size=(60, 4)))]
+    vectors = spark.createDataFrame(rows, "segment int, slot long, vector array<double>")
+    asked = vectors.where("slot % 2 = 1").select(F.col("slot").alias("q"), F.col("vector").alias("qv"))
+    got = search.scored(vectors, asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Generate explode" not in plan
+    held = {i: v for _, i, v in rows if v}
+    assert {(r.q, r.slot): round(r.score, 9) for r in got.collect() if r.slot in held} == {(q, i): round(float(np.dot(held[q], v)), 9) for q in held if q % 2 for i, v in held.items()}
+    above = search.scored(vectors, asked.withColumn("least", F.lit(0.5)), apart=True)
+    assert {(r.q, r.slot) for r in above.collect()} == {(q, i) for q in held if q % 2 for i, v in held.items() if i != q and np.dot(held[q], v) >= 0.5}
+    assert search.scored(vectors, asked.limit(0)).count() == 0 and search.scored(vectors.limit(0), asked).count() == 0
