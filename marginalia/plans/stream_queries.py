@@ -15,16 +15,16 @@ from marginalia.streaming import flows
 FILES = 3
 
 
-def _drained(spark: SparkSession, rows: DataFrame, flow: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def _drained(spark: SparkSession, rows: DataFrame, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``flow`` has written when all of ``rows`` went through it, a file at a time."""
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.repartition(FILES).write.parquet(f"{base}/in")
     stream = flow(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
 
     def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("append").parquet(f"{base}/out")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     query = writer.foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -53,7 +53,19 @@ def st_cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_manifest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, log_queries.manifest_ops(spark, sf_dir), flows.manifest_totals, "complete").select("segment", F.coalesce("count", F.lit(0)).alias("count"), "dead", "retired")
+    """The fold of a stream of operations, each of them applied once.
+
+    What was applied is kept as a table and not as state, which executors would hold for every
+    operation there ever was; joins and folds of a table go to disk where they have to.
+    """
+    rows = log_queries.manifest_ops(spark, sf_dir).select(*flows.MANIFEST_ID, "segment", "kind", "count", "slot", "superseded_by")
+    base = f"{shared_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    rows.repartition(FILES).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(flows.apply_pages(f"{base}/applied", flows.MANIFEST_ID)).start().awaitTermination()
+    folded = flows.totals(spark.read.schema(rows.schema).parquet(f"{base}/applied"))
+    return folded.select("segment", F.coalesce("count", F.lit(0)).alias("count"), "dead", "retired")
 
 
 def _in_time_order(spark: SparkSession, rows: DataFrame, time: str, base: str) -> None:

@@ -17,6 +17,8 @@ from marginalia.sources.sinks import append_new
 from marginalia.streaming.stateful import bucket
 
 QUIET_MS, MAX_DELAY_MS = 40, 400
+#: What tells manifest operations apart.
+MANIFEST_ID = ["counter", "replica"]
 
 
 def debounced(hints: DataFrame, quiet_ms: int = QUIET_MS, max_delay_ms: int = MAX_DELAY_MS) -> DataFrame:
@@ -108,8 +110,13 @@ def gap_checked(ops: DataFrame) -> DataFrame:
 
 def manifest_totals(ops: DataFrame) -> DataFrame:
     """A running fold of manifest operations: adds, dead slots and retirements per segment."""
+    return totals(ops.dropDuplicates(MANIFEST_ID))
+
+
+def totals(ops: DataFrame) -> DataFrame:
+    """The fold of operations that are there once."""
     kind = F.col("kind")
-    return ops.dropDuplicates(["counter", "replica"]).groupBy("segment").agg(
+    return ops.groupBy("segment").agg(
         F.max(F.when(kind == "add", F.col("count"))).alias("count"),
         F.size(F.collect_set(F.when(kind == "tombstone", F.col("slot")))).alias("dead"),
         F.size(F.collect_set(F.when(kind == "retire", F.col("superseded_by")))).alias("retired"),

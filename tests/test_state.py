@@ -1,5 +1,6 @@
 """Streams that look back: whatever order rows arrive in, and over restarts, they come to what a fold of everything gives."""
 
+import os
 import random
 import uuid
 
@@ -7,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import text_crdt, tree
-from marginalia.plans import state_queries
+from marginalia.plans import log_queries, state_queries, stream_queries
 from marginalia.session import shared_dir
-from marginalia.streaming import stateful
+from marginalia.streaming import flows, stateful
 
 SF = "/root/testdata/sf0.001"
 MOVE = "vault string, counter long, replica string, child string, parent string, name string, is_dir boolean"
@@ -190,3 +191,13 @@ def test_a_range_of_many_files_comes_whole(spark, monkeypatch):
     come = came.select(F.col("segment").alias("s"), F.col("counter").alias("c")).distinct()
     here = ops.join(come, (F.col("segment") == F.col("s")) & (F.abs(F.col("counter") - F.col("c")) <= state_queries.HORIZON), "left_semi").count()
     assert {r["here"]: r["count"] for r in got} == {True: here, False: ops.count() - here}
+
+
+def test_the_manifest_of_a_stream_is_not_held_as_state(spark):
+    root = shared_dir(spark).removeprefix("file:")
+    stores = lambda: {d for d in os.listdir(root) if os.path.isdir(f"{root}/{d}/state/state")}
+    had = stores()
+    got = stream_queries.st_manifest_fold(spark, SF)
+    want = flows.manifest_totals(log_queries.manifest_ops(spark, SF)).select("segment", F.coalesce("count", F.lit(0)).alias("count"), "dead", "retired")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert stores() == had
